@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from siltstone.llm import substring_dedup
+from siltstone.llm import chat_format, packing, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op3_packing": packing.op3_packing,
+    "op8_chat_format": chat_format.op8_chat_format,
 }
 SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
+    "op8_chat_format": chat_format.SQL,
 }

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat_format, packing, substring_dedup
+from siltstone.llm import chat_format, html_extract, license_scan, packing, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_packing": packing.op3_packing,
     "op8_chat_format": chat_format.op8_chat_format,
+    "op9_html_extract": html_extract.op9_html_extract,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
     "op8_chat_format": chat_format.SQL,
+    "op10_license_scan": license_scan.SQL,
 }

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat_format, html_extract, license_scan, packing, substring_dedup
+from siltstone.llm import chat_format, html_extract, license_scan, ngram_join, packing, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_packing": packing.op3_packing,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_html_extract": html_extract.op9_html_extract,
     "op10_license_scan": license_scan.op10_license_scan,
 }
 SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
+    "op7_ngram_join": ngram_join.SQL,
     "op8_chat_format": chat_format.SQL,
     "op10_license_scan": license_scan.SQL,
 }

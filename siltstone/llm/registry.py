@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat_format, html_extract, license_scan, ngram_join, packing, substring_dedup
+from siltstone.llm import chat_format, html_extract, license_scan, line_crf, ngram_join, packing, quality_resample, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op3_packing": packing.op3_packing,
+    "op5_quality_resample": quality_resample.op5_quality_resample,
+    "op6_line_crf": line_crf.op6_line_crf,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_html_extract": html_extract.op9_html_extract,

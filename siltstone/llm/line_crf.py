@@ -46,7 +46,7 @@ SYMBOLS = "#*$%&|<>"
 #: names of the features, in order
 FEATURES = (
     "one", "few words", "words", "word length", "symbols", "upper case", "digits", "marks", "repeated words", "same words on",
-    "same as earlier", "ends a sentence", "starts upper case",
+    "same as earlier", "ends a sentence", "starts upper case", "cells",
 )
 
 
@@ -71,6 +71,7 @@ def line_features(line: str, words: list[str], seen: bool) -> list[float]:
         float(seen),
         float(line.rstrip()[-1:] in ".!?…\"'»"),
         float(line.lstrip()[:1].isupper()),
+        min(1.0, 2.0 * (line.count("|") + line.count("»") + line.count("•") + line.count("·")) / n),
     ]
 
 
@@ -135,8 +136,9 @@ class Field:
         return np.array(out[::-1], dtype=bool)
 
 
-def train(sequences: list[tuple[np.ndarray, int]]) -> Field | None:
-    """sequences: (features of the lines, label of all of them)."""
+def train(sequences: list[tuple[np.ndarray, int]], prior: float = 0.5) -> Field | None:
+    """sequences: (features of the lines, label of all of them); prior: the share
+    of content."""
     if len({y for _, y in sequences}) < 2:
         return None
     cut = [(x[i : i + STRETCH], y) for x, y in sequences for i in range(0, len(x), STRETCH)]
@@ -147,8 +149,9 @@ def train(sequences: list[tuple[np.ndarray, int]]) -> Field | None:
     for i, (x, _) in enumerate(cut):
         X[i, : len(x)] = x
     mask = np.arange(longest) < length[:, None]
-    # documents of the rarer kind weigh as much as those of the other, each line alike
-    weight = np.where(Y == 1, 0.5 / max(1, mask[Y == 1].sum()), 0.5 / max(1, mask[Y == 0].sum()))
+    # the sample has as many documents of either kind; each counts as often as its kind stands in the corpus
+    lines = mask.sum(axis=1)
+    weight = np.where(Y == 1, prior / max(1, lines[Y == 1].sum()), (1 - prior) / max(1, lines[Y == 0].sum()))
     w, moves = np.zeros(k), np.zeros((2, 2))
     m = [np.zeros(k + 4), np.zeros(k + 4)]
     both = mask[:, 1:] & mask[:, :-1]
@@ -195,7 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> F
 
     got = sample.mapInArrow(lines, "doc_id long, quality int, lines array<array<double>>").collect()
     got.sort(key=lambda r: (r["doc_id"], str(r["lines"])))
-    return train([(np.array(r["lines"]), int(r["quality"])) for r in got if r["lines"]])
+    shares = known.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
+    return train([(np.array(r["lines"]), int(r["quality"])) for r in got if r["lines"]], shares or 0.5)
 
 
 SCHEMA = (

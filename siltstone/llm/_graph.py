@@ -1,25 +1,11 @@
-"""Connected components and durable intermediate results."""
+"""Connected components."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one only where none is set (tests)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
-    return sc.getCheckpointDir()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from siltstone.session import durable
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

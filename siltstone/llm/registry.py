@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from siltstone.llm import chat_format, html_extract, license_scan, line_crf, ngram_join, packing, quality_resample, substring_dedup
+from siltstone.llm import (
+    chat_format, decontaminate, html_extract, license_scan, line_crf, ngram_join, packing, quality_resample, substring_dedup, toxicity,
+)
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_packing": packing.op3_packing,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_resample": quality_resample.op5_quality_resample,
     "op6_line_crf": line_crf.op6_line_crf,
     "op7_ngram_join": ngram_join.op7_ngram_join,

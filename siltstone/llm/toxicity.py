@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 Terms are lower-cased words and their first 4, 5 and 6 characters.  Those that
-depend on the label by the chi-square test are kept (CHI2, at most TERMS); the
+depend on the label by the chi-square test are kept (CHI2 and PHI2, at most
+TERMS); the
 weight of a term is (1 + log tf) * idf, with idf counted over all documents.
 
 The examples are a bounded sample of labelled rows (EXAMPLES, half of either
@@ -39,7 +40,8 @@ from siltstone.session import durable
 
 EXAMPLES = 8_192
 TERMS = 2_048
-CHI2 = 30.0
+#: Least chi-square of a term, and least share of it per example (phi squared).
+CHI2, PHI2 = 30.0, 0.012
 LEAST_DOCS = 3
 PREFIXES = (4, 5, 6)
 BLOCK = 64
@@ -215,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, max_terms:
     c, d = F.lit(float(n_toxic)) - a, F.lit(float(n - n_toxic)) - b
     below = (a + b) * (c + d) * (a + c) * (b + d)
     scored = stats.withColumn("chi2", F.when(below > 0, float(n) * (a * d - b * c) ** 2 / below).otherwise(0.0))
-    terms = sorted(r["term"] for r in scored.where(F.col("chi2") >= chi2).orderBy(F.desc("chi2"), "term").limit(max_terms).collect())
+    terms = sorted(r["term"] for r in scored.where(F.col("chi2") >= max(chi2, PHI2 * n)).orderBy(F.desc("chi2"), "term").limit(max_terms).collect())
 
     def frequencies(batches):
         vocabulary, total, rows = Vocabulary(terms), np.zeros(len(terms), np.int64), 0

@@ -18,11 +18,12 @@ BLOCK_MB = 8
 
 
 def in_blocks(docs: DataFrame, block_mb: float = BLOCK_MB) -> tuple[DataFrame, int]:
-    """(block, doc_id, text) and the number of blocks; one pass over the lengths."""
+    """docs with their block first, and the number of blocks; one pass over the lengths."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()
     blocks = max(1, -(-int((size["b"] or 0) + 64 * size["n"]) // int(block_mb * 1e6)))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-    return docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text"), blocks
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "block")]
+    return docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text", *others), blocks
 
 
 def ordered(table: pa.Table) -> pa.Table:

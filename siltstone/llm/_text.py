@@ -105,18 +105,35 @@ class Words:
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), self.count)
 
+    def _pack(self) -> None:
+        """The words' bytes, each followed by one space unless its row ends there."""
+        keep = ~SPACE[self.raw]
+        after = self.end[self.end < len(self.raw)]
+        keep[after] = True
+        packed = self.raw[keep]
+        self._packed = np.where(SPACE[packed], np.uint8(32), packed)
+        self._from = (np.cumsum(keep) - 1)[self.start] if len(self.start) else np.zeros(0, np.int64)
+        self._to = self._from + (self.end - self.start)
+
     def text(self, a: int, b: int) -> bytes:
-        """Words a .. b - 1 joined by one space."""
-        raw = self.raw
-        s, e = self.start, self.end
+        """Words a .. b - 1 of one row joined by one space."""
         if b <= a:
             return b""
-        if int(e[b - 1] - s[a]) == int((e[a:b] - s[a:b]).sum()) + (b - a - 1):
-            # single separators; they may still be tabs or line feeds
-            out = raw[s[a] : e[b - 1]]
-            out = np.where(SPACE[out], np.uint8(32), out)
-            return out.tobytes()
-        return b" ".join(raw[x:y].tobytes() for x, y in zip(s[a:b].tolist(), e[a:b].tolist()))
+        if not hasattr(self, "_packed"):
+            self._pack()
+        return self._packed[self._from[a] : self._to[b - 1]].tobytes()
+
+    def texts(self, a: np.ndarray, b: np.ndarray) -> bytes:
+        """text(a[i], b[i]) for all i (none empty), each followed by a line feed."""
+        if not hasattr(self, "_packed"):
+            self._pack()
+        x, y = self._from[a], self._to[b - 1]
+        size = y - x + 1
+        last = np.cumsum(size)
+        at = np.arange(int(last[-1]) if len(last) else 0) + np.repeat(x - (last - size), size)
+        out = self._packed[np.minimum(at, len(self._packed) - 1)]
+        out[last - 1] = 10
+        return out.tobytes()
 
 
 def grams(h: np.ndarray, k: int, q: np.uint64 = Q1) -> np.ndarray:

@@ -57,10 +57,13 @@ class _Block:
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchors and in how many documents of the block (2: or more)."""
-        order = np.lexsort((self.row, self.anchor))
-        a, r = self.anchor[order], self.row[order]
-        if not len(a):
-            return a, np.zeros(0, np.int64)
+        if not len(self.anchor):
+            return self.anchor, np.zeros(0, np.int64)
+        new = np.ones(len(self.anchor), dtype=bool)  # neighbouring windows often have one anchor
+        new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.row[1:] != self.row[:-1])
+        a, r = self.anchor[new], self.row[new]
+        order = np.argsort(a, kind="stable")  # rows stay in order
+        a, r = a[order], r[order]
         first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
         last = np.append(first[1:], len(a)) - 1
         return a[first], 1 + (r[first] != r[last])
@@ -69,10 +72,13 @@ class _Block:
         """For each window: its class, the class's first window and least doc_id here."""
         h1 = T.grams(self.words.hash, window)[self.at]
         h2 = T.grams(self.words.hash, window, T.Q2)[self.at]
-        order = np.lexsort((h2, h1))
-        h1, h2 = h1[order], h2[order]
+        order = np.argsort(h1, kind="stable")
+        same = h1[order][1:] == h1[order][:-1]
+        if (same & (h2[order][1:] != h2[order][:-1])).any():  # h1 alone does not tell them apart
+            order = np.lexsort((h2, h1))
+            same = h1[order][1:] == h1[order][:-1]
         new = np.ones(len(order), dtype=bool)
-        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+        new[1:] = ~same | (h2[order][1:] != h2[order][:-1])
         kind = np.empty(len(order), dtype=np.int64)
         kind[order] = np.cumsum(new) - 1
         head = order[new]  # lexsort is stable: the first window in document order
@@ -175,7 +181,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_m
         out = []
         for k in np.split(by, cut[1:]):
             a, b, r = at[start[k]], at[stop[k]] + window, row[start[k]]
-            out.append((int(group[k[0]]), b"\n".join(blk.words.text(x, y) for x, y in zip(a.tolist(), b.tolist())), blk.ids[r].tobytes(), a.tobytes()))
+            out.append((int(group[k[0]]), blk.words.texts(a, b), blk.ids[r].tobytes(), a.tobytes()))
         grp, *rest = zip(*out)
         return pa.table([list(grp), [key[0].as_py()] * len(out), *map(list, rest)], schema=PIECES)
 
@@ -185,7 +191,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_m
         vocabulary: dict[bytes, int] = {}
         ids, sizes = [], []
         for x in table["texts"]:
-            for piece in x.as_py().split(b"\n"):
+            for piece in x.as_py()[:-1].split(b"\n"):
                 ws = piece.split(b" ")
                 sizes.append(len(ws))
                 ids.extend([vocabulary.setdefault(w, len(vocabulary)) for w in ws])
@@ -227,49 +233,93 @@ def _covered(blk: _Block, flags: pa.Table, window: int) -> np.ndarray:
     return np.cumsum(delta[:-1]) > 0
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_mb: float = B.BLOCK_MB) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, kept_text
-    (the kept words joined by one space) and the removed spans of words, [start,
-    end) each."""
+def _kept_runs(gone: np.ndarray) -> tuple[list[list[int]], list[list[int]]]:
+    """[start, end) of the runs of removed and of kept words."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8))).reshape(-1, 2).tolist()
+    kept, at = [], 0
+    for x, y in [*edge, [len(gone), len(gone)]]:
+        if x > at:
+            kept.append([at, x])
+        at = y
+    return edge, kept
 
-    def rest(key, table, flags):
-        blk = _Block(table, window, anchor)
-        w, gone = blk.words, _covered(blk, flags, window)
-        removed = np.add.reduceat(np.append(gone, False).astype(np.int64), np.minimum(w.first[:-1], len(gone))) * (w.count > 0) if w.rows else np.zeros(0, np.int64)
-        texts, spans = [], []
+
+def _decided(texts: DataFrame, flags: DataFrame, window: int, make, schema: str) -> DataFrame:
+    """make(block, removed) for every block: removed has a flag for each word."""
+
+    def rest(key, table, found):
+        blk = _Block(table, window, ANCHOR)
+        return make(blk, _covered(blk, found, window))
+
+    return texts.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(rest, schema)
+
+
+def _counts(blk: _Block, gone: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0], np.cumsum(gone)])
+    return total[blk.words.first[1:]] - total[blk.words.first[:-1]]
+
+
+def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_mb: float = B.BLOCK_MB, spans: bool = True) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 (of the kept
+    words joined by one space) and, with ``spans``, the removed runs of words as
+    [start, end) and the kept text."""
+
+    def make(blk: _Block, gone: np.ndarray) -> pa.Table:
+        w, removed = blk.words, _counts(blk, gone)
+        texts, runs = [], []
         for r in range(w.rows):
             a, b = int(w.first[r]), int(w.first[r + 1])
             if removed[r] == 0:
                 texts.append(w.text(a, b))
-                spans.append([])
-                continue
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], gone[a:b], [False]]).astype(np.int8)))
-            cut = edge.reshape(-1, 2).tolist()
-            spans.append(cut)
-            keep, at = [], 0
-            for x, y in [*cut, [b - a, b - a]]:
-                if x > at:
-                    keep.append(w.text(a + at, a + x))
-                at = y
-            texts.append(b" ".join(keep))
-        return pa.table(
-            {
-                "doc_id": blk.table["doc_id"],
-                "n_words": pa.array(w.count, pa.int64()),
-                "n_removed": pa.array(removed, pa.int64()),
-                "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
-                "kept_text": pa.array([t.decode("utf-8", "replace") for t in texts], pa.string()),
-                "removed_spans": pa.array(spans, pa.list_(pa.list_(pa.int32()))),
-            }
-        )
-
-    texts, flags = repeats(docs, window, anchor, block_mb)
-    return texts.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(rest, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, removed_spans array<array<int>>")
+                runs.append([])
+            else:
+                cut, kept = _kept_runs(gone[a:b])
+                texts.append(b" ".join(w.text(a + x, a + y) for x, y in kept))
+                runs.append(cut)
+        out = {
+            "doc_id": blk.table["doc_id"],
+            "n_words": pa.array(w.count, pa.int64()),
+            "n_removed": pa.array(removed, pa.int64()),
+            "kept_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
+        }
+        if spans:
+            out["removed_spans"] = pa.array(runs, pa.list_(pa.list_(pa.int32())))
+            out["kept_text"] = pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
+        return pa.table(out)
+
+    texts, flags = repeats(docs.select("doc_id", "text"), window, anchor, block_mb)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", removed_spans array<array<int>>, kept_text string" * spans
+    return _decided(texts, flags, window, make, schema)
+
+
+def cleaned(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_mb: float = B.BLOCK_MB) -> DataFrame:
+    """docs with the repeated passages taken out of text; the kept passages keep
+    their white space and are joined by line feeds.  A column n_chars, if there
+    is one, is counted anew.  Documents of which no word is left go; documents
+    without words stay.  All other columns are carried along."""
+    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    renamed = docs.select("doc_id", "text", *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(others)])
+
+    def make(blk: _Block, gone: np.ndarray) -> pa.Table:
+        w, removed = blk.words, _counts(blk, gone)
+        table = blk.table
+        texts = table["text"].to_pylist()
+        for r in np.flatnonzero(removed).tolist():
+            a, b = int(w.first[r]), int(w.first[r + 1])
+            parts = [w.raw[w.start[a + x] : w.end[a + y - 1]].tobytes() for x, y in _kept_runs(gone[a:b])[1]]
+            texts[r] = b"\n".join(parts).decode("utf-8", "replace")
+        table = table.set_column(table.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+        return table.drop_columns("block").filter(pa.array((w.count == 0) | (removed < w.count)))
+
+    texts, flags = repeats(renamed, window, anchor, block_mb)
+    schema = "doc_id long, text string" + "".join(f", c{i} {f.dataType.simpleString()}" for i, f in enumerate(others))
+    out = _decided(texts, flags, window, make, schema)
+    counted = [F.length("text").cast(f.dataType) if f.name == "n_chars" else F.col(f"c{i}") for i, f in enumerate(others)]
+    return out.select("doc_id", "text", *[c.alias(f.name) for c, f in zip(counted, others)])
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return dedup(docs.select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), spans=False)
 
 
 SQL = r"""

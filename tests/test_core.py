@@ -306,3 +306,41 @@ def test_log_folds_into_runs(spark, tmp_path):
     for lsn, op, key, value in rows:
         want[key] = value if op == "Put" else None
     assert got == {k: v for k, v in want.items() if v is not None}
+
+
+# --- store
+
+
+def test_store(spark, tmp_path):
+    from siltstone.store import AsyncStore, Conflict, Refused, Store, WriteBatch
+
+    store = Store(spark, str(tmp_path / "db"))
+    store.put_batch([(f"key_{i:02d}", f"value_{i}") for i in range(20)])
+    store.write_batch(WriteBatch().put("key_03", "a").delete("key_03").delete("key_04").put("key_04", "b"))
+    assert store.get("key_03") is None and store.get("key_04") == b"b" and store.get_batch(["key_05", "none", "key_05"]) == [b"value_5", None, b"value_5"]
+    assert store.delete("key_05") and not store.delete("key_05") and store.scan("key_00", "key_06").count() == 4 and store.scan_prefix("key_1").count() == 10
+    assert store.compare_and_swap("key_00", "value_0", "x") and not store.compare_and_swap("key_00", "value_0", "y") and store.compare_and_swap("new", None, "1")
+    a, b = store.begin(), store.begin()
+    store.put_tx(a, "key_00", "from a")
+    store.put_tx(b, "key_00", "from b")
+    assert store.get("key_00") == b"x" and store.get_tx(a, "key_00") == b"from a" and store.get_tx(b, "key_01") == b"value_1"
+    store.commit(a)
+    with pytest.raises(Conflict):
+        store.commit(b)
+    assert store.active_transactions() == [] and store.get("key_00") == b"from a"
+    live = store.stats()["live"]
+    store.backup(str(tmp_path / "copy"))
+    store.compact()
+    assert store.stats()["live"] == store.stats()["versions"] == live and store.verify()
+    again = Store(spark, str(tmp_path / "db"))
+    assert again.get("key_00") == b"from a" and again.stats()["runs"] == 1
+    other = Store(spark, str(tmp_path / "other"))
+    other.restore(str(tmp_path / "copy"), until=20)
+    assert other.stats()["live"] == 20 and other.get("key_05") == b"value_5"
+    with pytest.raises(Refused):
+        store.put("", "v")
+    with pytest.raises(Refused):
+        store.put("k" * 5000, "v")
+    pool = AsyncStore(store, 2)
+    assert pool.concurrent_gets(["key_00", "none"]) == [b"from a", None] and pool.pipeline(("put", "p", "1"), ("get", "p")) == [None, b"1"]
+    pool.close()

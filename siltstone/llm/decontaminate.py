@@ -209,6 +209,27 @@ def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id",
         (F.size("leaks") > 0).alias("contaminated"),
-        F.transform("leaks", lambda x: x["item_id"]).alias("item_ids"),
-        F.coalesce(F.array_max(F.transform("leaks", lambda x: x["similarity"])), F.lit(0.0)).alias("similarity"),
+        F.size("leaks").cast("long").alias("n_items"),
+        F.array_join(F.transform("leaks", lambda x: x["item_id"].cast("string")), ",").alias("item_ids"),
+        F.round(F.coalesce(F.array_max(F.transform("leaks", lambda x: x["similarity"])), F.lit(0.0)), 9).alias("similarity"),
     )
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+#: Every window that shares a shingle with an item of its size, without fingerprints.
+SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+it AS (SELECT item_id, {_WORDS} AS words FROM benchmark),
+ds AS (SELECT doc_id, len(words) AS n, i AS pos, array_to_string(words[i : i + 4], ' ') AS g FROM w, unnest(range(1, len(words) - 3)) AS u(i)),
+bs AS (SELECT item_id, len(words) AS n_item, array_to_string(words[i : i + 4], ' ') AS g, count(*) AS c FROM it, unnest(range(1, len(words) - 3)) AS u(i) GROUP BY ALL),
+near AS (SELECT DISTINCT doc_id, item_id, n_item, least(n_item, n) - 4 AS m, s FROM ds JOIN bs USING (g), unnest(range(pos - least(n_item, n) + 5, pos + 1)) AS u(s)
+  WHERE s >= 1 AND s <= n - least(n_item, n) + 1),
+bags AS (SELECT near.doc_id, item_id, n_item, m, s, g, count(*) AS c FROM near JOIN ds ON ds.doc_id = near.doc_id AND pos >= s AND pos < s + m GROUP BY ALL),
+sims AS (SELECT b.doc_id, b.item_id, sum(least(b.c, bs.c)) / (m + b.n_item - 4 - sum(least(b.c, bs.c))) AS v FROM bags AS b JOIN bs ON bs.item_id = b.item_id AND bs.g = b.g
+  GROUP BY b.doc_id, b.item_id, b.s, b.m, b.n_item),
+best AS (SELECT doc_id, item_id, max(v) AS v FROM sims WHERE v >= {SIMILARITY} GROUP BY ALL
+  UNION ALL SELECT doc_id, item_id, 1.0 FROM w JOIN it ON len(it.words) BETWEEN 1 AND 4 AND list_contains(list_transform(range(1, len(w.words) - len(it.words) + 2), lambda i: w.words[i : i + len(it.words) - 1]), it.words)),
+per AS (SELECT doc_id, count(*) AS k, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS ids, max(v) AS v FROM best GROUP BY doc_id)
+SELECT doc_id, coalesce(k, 0) > 0 AS contaminated, coalesce(k, 0)::BIGINT AS n_items, coalesce(ids, '') AS item_ids, round(coalesce(v, 0)::DOUBLE, 9) AS similarity
+FROM w LEFT JOIN per USING (doc_id)
+"""

@@ -61,7 +61,11 @@ OFF_WORDS = frozenset(
     "trending comment comments commentlist reply replies respond disqus discussion widget toolbar pager pagination copyright legal contentinfo "
     "complementary skip hidden".split()
 )
+OFF_STEMS = ("advert", "sponsor", "sidebar", "cookie", "newsletter", "breadcrumb", "adsby", "notif", "disclaim")
 MAIN_TAGS = frozenset(("article", "main"))
+#: An article with one of these words is no article of its own.
+PART_WORDS = frozenset("ad ads advert comment comments reply related promo sponsored teaser".split())
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
 class _Node:
@@ -83,13 +87,17 @@ def _open(tag: str, attrs: str, parent: _Node) -> _Node:
                 main = True
             elif tag not in ("html", "body"):
                 words.update(_PART.findall(value))
+    if attrs and _HIDDEN.search(attrs):
+        off = True
     if tag in MAIN_TAGS:
+        if tag == "article" and words & PART_WORDS:
+            off = True
         main = True
     elif tag == "header" and main:  # an article's own header may hold its heading
         pass
     elif tag in OFF_TAGS:
         off = True
-    if words & OFF_WORDS and tag not in MAIN_TAGS:
+    if tag not in MAIN_TAGS and (words & OFF_WORDS or any(w.startswith(OFF_STEMS) for w in words)):
         off = True
     return _Node(tag, (*parent.path, tag), off, main)
 

@@ -22,6 +22,7 @@ QUERIES = {
 }
 SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
+    "op2_decontaminate": decontaminate.SQL,
     "op7_ngram_join": ngram_join.SQL,
     "op8_chat_format": chat_format.SQL,
     "op10_license_scan": license_scan.SQL,

@@ -22,10 +22,15 @@ def percentile_by_group(df: DataFrame, group: str, value: str, ps: dict[str, flo
 
 
 def trailing(df: DataFrame, ts: str, value: str, group: str, seconds: int) -> DataFrame:
-    """Each row with count, mean, p95, p99 and rate of its group's last seconds."""
-    over = Window.partitionBy(group).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    samples = F.collect_list(value).over(over)
-    out = df.withColumn("_s", samples).withColumn("_a", F.avg(value).over(over))
+    """Each row with count, mean, p95, p99 and rate of its group's last seconds.
+
+    Time is cut into stretches no shorter than the window, and a row is seen by
+    its own stretch and the next one, so a group's windows run in parallel."""
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    stretch = max(seconds, 3600) * 1_000_000
+    cut = df.withColumn("_us", us).withColumn("_own", F.floor(F.col("_us") / stretch)).withColumn("_part", F.explode(F.array("_own", F.col("_own") + 1)))
+    over = Window.partitionBy(group, "_part").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
+    out = cut.withColumn("_s", F.collect_list(value).over(over)).withColumn("_a", F.avg(value).over(over)).where("_part = _own")
     return out.select(
         *df.columns, F.size("_s").alias("n"), F.col("_a").alias("avg"), nearest_percentile(F.col("_s"), 0.95).alias("p95"),
         nearest_percentile(F.col("_s"), 0.99).alias("p99"), (F.size("_s") / float(seconds)).alias("per_sec"),
@@ -72,9 +77,10 @@ def trend(daily: DataFrame, day: str, value: str, days: int) -> DataFrame:
 def strides(df: DataFrame, group: str, place: str, order: str, window: int = 16) -> DataFrame:
     """Most frequent step over the last accesses of each group, ties to the least
     step, with its share; sequential if it is 1, strided if constant otherwise."""
-    over = Window.partitionBy(group).orderBy(order)
-    steps = df.withColumn("stride", F.col(place) - F.lag(place).over(over)).withColumn("back", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(order))))
-    last = steps.where((F.col("back") < window) & F.col("stride").isNotNull())
+    # the limit on the rank is applied before the shuffle too
+    recent = df.select(group, place, order).withColumn("back", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(order)))).where(F.col("back") <= window)
+    steps = recent.withColumn("stride", F.col(place) - F.lag(place).over(Window.partitionBy(group).orderBy(order)))
+    last = steps.where(F.col("stride").isNotNull())
     counts = last.groupBy(group, "stride").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy(group).agg(F.max_by(F.struct("stride", "n"), F.struct(F.col("n"), -F.col("stride"))).alias("b"), F.sum("n").alias("total"))
     share = F.col("b.n") / F.col("total")
@@ -91,7 +97,7 @@ def quota(requests: DataFrame, limits: DataFrame, group: str, size: str) -> Data
     """requests with whether they fit under their group's limit, in order of seq:
     the sizes so far are a running sum."""
     over = Window.partitionBy(group).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    return requests.join(F.broadcast(limits), group).withColumn("used", F.sum(size).over(over)).withColumn("allowed", F.col("used") <= F.col("max_size"))
+    return requests.join(limits, group).withColumn("used", F.sum(size).over(over)).withColumn("allowed", F.col("used") <= F.col("max_size"))
 
 
 def token_bucket(df: DataFrame, group: str, ts: str, order: str, rate: float, burst: float) -> DataFrame:

@@ -82,14 +82,14 @@ def collect_garbage(versions: DataFrame, keys: Sequence[str], order: Sequence[st
 def low_watermark(versions: DataFrame, active: DataFrame) -> DataFrame:
     """One row (watermark): the least version of an active transaction, or the
     largest of all if none is active."""
-    live = versions.join(F.broadcast(active.select("tx_id").distinct().withColumn("_live", F.lit(True))), "tx_id", "left")
+    live = versions.join(active.select("tx_id").distinct().withColumn("_live", F.lit(True)), "tx_id", "left")
     return live.agg(F.coalesce(F.min(F.when(F.col("_live"), F.col("version"))), F.max("version")).alias("watermark"))
 
 
 def garbage(versions: DataFrame, watermark: DataFrame, cutoff: Column, active: DataFrame) -> DataFrame:
     """Versions that may go: old, below the watermark and of no active
     transaction; and deletions that are old."""
-    marked = versions.crossJoin(F.broadcast(watermark)).join(F.broadcast(active.select("tx_id").distinct().withColumn("_live", F.lit(True))), "tx_id", "left")
+    marked = versions.crossJoin(F.broadcast(watermark)).join(active.select("tx_id").distinct().withColumn("_live", F.lit(True)), "tx_id", "left")
     old = F.col("created") <= cutoff
     goes = old & (F.col("is_deleted") | ((F.col("version") < F.col("watermark")) & F.col("_live").isNull()))
     return marked.where(goes).select(*versions.columns)

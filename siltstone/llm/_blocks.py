@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_MB = 8
+BLOCK_MB = 4
 
 
 def in_blocks(docs: DataFrame, block_mb: float = BLOCK_MB) -> tuple[DataFrame, int]:
@@ -26,6 +26,11 @@ def in_blocks(docs: DataFrame, block_mb: float = BLOCK_MB) -> tuple[DataFrame, i
     return docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text", *others), blocks
 
 
+def buckets_for(n_blocks: int) -> int:
+    """Ranges of hashes in which the blocks' values meet: two blocks' worth each."""
+    return max(1, n_blocks // 2)
+
+
 def ordered(table: pa.Table) -> pa.Table:
     """A block's rows in one fixed order, whatever order a shuffle gave them."""
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])

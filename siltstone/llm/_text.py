@@ -59,6 +59,17 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+    """The rows of a batch in runs of about so many bytes of text, so that the
+    arrays made from a run stay small whatever the rows of a batch."""
+    off = buffers(batch[column])[1]
+    row = 0
+    while row < batch.num_rows:
+        last = max(row + 1, int(np.searchsorted(off, off[row] + most, "right")) - 1)
+        yield batch.slice(row, last - row)
+        row = last
+
+
 class Words:
     """Words of a column: start and end bytes, first word of each row, hashes.
 

@@ -183,12 +183,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, similari
 
         def run(batches):
             index = Index(ids, texts, size, similarity, radius)
-            for b in batches:
-                leaks = index.leaks(b["text"])
-                if add:
-                    leaks = [x + y for x, y in zip(b["leaks"].to_pylist(), leaks)]
-                kept = [c for c, name in zip(b.columns, b.schema.names) if name != "leaks"]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(leaks, _LEAKS)], names=[*[n for n in b.schema.names if n != "leaks"], "leaks"])
+            for batch in batches:
+                for b in T.slices(batch, "text"):
+                    leaks = index.leaks(b["text"])
+                    if add:
+                        leaks = [x + y for x, y in zip(b["leaks"].to_pylist(), leaks)]
+                    kept = [c for c, name in zip(b.columns, b.schema.names) if name != "leaks"]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(leaks, _LEAKS)], names=[*[n for n in b.schema.names if n != "leaks"], "leaks"])
 
         return source.mapInArrow(run, f"{kinds}, leaks {LEAKS}")
 

@@ -162,7 +162,7 @@ def _rarest(sets: DataFrame, threshold: int, block_mb: float) -> DataFrame:
 
     def spread(key, table):
         values, counts = np.unique(np.concatenate(arrays(table)), return_counts=True)
-        return pa.Table.from_batches([B.by_bucket(key[0].as_py(), values, counts, n_blocks)])
+        return pa.Table.from_batches([B.by_bucket(key[0].as_py(), values, counts, B.buckets_for(n_blocks))])
 
     frequent = B.shared(dealt.groupBy("block").applyInArrow(spread, B.BUCKET_SCHEMA), least_blocks=1, least_rows=2)
 
@@ -216,7 +216,7 @@ def similar_sets(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD,
         own = _Sets(table, size, threshold)
         some = [own.prefix(i) for i in own.first.values()]
         values, counts = np.unique(np.concatenate(some) if some else np.zeros(0, np.uint64), return_counts=True)
-        return pa.Table.from_batches([B.by_bucket(key[0].as_py(), values, counts, n_blocks)])
+        return pa.Table.from_batches([B.by_bucket(key[0].as_py(), values, counts, B.buckets_for(n_blocks))])
 
     frequent = B.shared(texts.groupBy("block").applyInArrow(spread, B.BUCKET_SCHEMA), least_blocks=1, least_rows=2)
 

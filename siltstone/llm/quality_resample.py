@@ -20,7 +20,7 @@ Nulls, ties and odd input: a null or empty text has weight 0; a null doc_id has
 the noise of one fixed number; rows that repeat a doc_id have its noise; without
 labels for good documents the target is the raw model and every weight 0, so
 all documents are kept; an empty table gives an empty result; further columns
-are carried along unread.
+are carried along unread, but those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -79,7 +79,8 @@ def counted(docs: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(size, np.int64)
         for b in batches:
-            total += np.bincount(features(b["text"])[0], minlength=size)
+            for part in T.slices(b, "text"):
+                total += np.bincount(features(part["text"])[0], minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
 
@@ -141,10 +142,11 @@ def resample(docs: DataFrame, labels: DataFrame, keep_good: float = KEEP_GOOD, s
     ratios = log_ratios(counted(sample), counted(docs))
 
     def score(batches):
-        for b in batches:
-            w = weights(b["text"], ratios)
-            millionths = lambda x: pa.array(np.clip(np.rint(x * 1e6), -9e18, 9e18).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns, millionths(w), millionths(w + gumbel(b["doc_id"], seed))], names=[*b.schema.names, "log_weight", "perturbed"])
+        millionths = lambda x: pa.array(np.clip(np.rint(x * 1e6), -9e18, 9e18).astype(np.int64))
+        for batch in batches:
+            for b in T.slices(batch, "text"):
+                w = weights(b["text"], ratios)
+                yield pa.RecordBatch.from_arrays([*b.columns, millionths(w), millionths(w + gumbel(b["doc_id"], seed))], names=[*b.schema.names, "log_weight", "perturbed"])
 
     def scored(df: DataFrame) -> DataFrame:
         kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

@@ -94,7 +94,7 @@ def _plan(texts: DataFrame, n_blocks: int, anchor: int, window: int) -> np.ndarr
     """Prefixes that are to be lengthened: those with too many suffixes in a
     sample of PLAN_DOCS documents.  It only balances groups; it changes no result.
     The list is bounded by anchor / PLAN_SHARE."""
-    fraction = min(1.0, PLAN_DOCS / max(1.0, n_blocks * 2500.0))
+    fraction = min(1.0, PLAN_DOCS / max(1.0, n_blocks * 1250.0))
 
     def count(batches):
         for b in batches:
@@ -147,7 +147,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_m
     """(texts in blocks, flags): flags has, of each block, the windows that also
     start in a smaller document of another block, as lists of first words."""
     texts, n_blocks = B.in_blocks(docs, block_mb)
-    buckets = groups = n_blocks
+    buckets = groups = B.buckets_for(n_blocks)
     split = _plan(texts.select("doc_id", "text"), n_blocks, anchor, window) if n_blocks > 1 else np.zeros(0, np.uint64)
 
     def spread(key, table):

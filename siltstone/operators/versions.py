@@ -17,9 +17,8 @@ from pyspark.sql.window import Window
 
 def newest(versions: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Of each key the version that is largest by the order columns."""
-    rest = [c for c in versions.columns if c not in keys]
-    row = versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_v"))
-    return row.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest]).select(*versions.columns)
+    over = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
+    return versions.withColumn("_n", F.row_number().over(over)).where("_n = 1").drop("_n")
 
 
 def latest(versions: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

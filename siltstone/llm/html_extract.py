@@ -5,10 +5,10 @@ root.  Text length and punctuation are summed per path and divided by the
 number of its blocks; both ratios and the spread of lengths are fused to one
 score, which is smoothed along the page with weights for how much of their
 paths two blocks share.  Paths whose smoothed score reaches THRESHOLD of the
-page's spread are content.  Their common container (an article or main element
-if they stand in one) decides the rest: what lies in it under the same roof,
-short paragraphs and headings too, belongs to the article, so nothing is lost
-for being short.
+page's spread are content.  The container of these paths (the innermost article
+or main element of the best one, else what they have in common) decides the
+rest: what lies under the same roof, short paragraphs and headings too, belongs
+to the article, so nothing is lost for being short.
 
 Blocks under elements whose kind, class, id or role says menu, header, footer,
 side bar, notice, advert, form or reader comments never take part.
@@ -39,7 +39,7 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PUNCT = re.compile(r"[.,;:!?…。、，；：！？]")
 _PART = re.compile(r"[a-z]+")
 
@@ -69,21 +69,22 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])|display\s*:\s*none|aria-hidden
 
 
 class _Node:
+    """An open element: its path from the root, whether it is off, and the path
+    of the article or main element that it stands in."""
+
     __slots__ = ("tag", "path", "off", "main")
 
-    def __init__(self, tag: str, path: tuple[str, ...], off: bool, main: bool):
+    def __init__(self, tag: str, path: tuple[str, ...], off: bool, main: tuple[str, ...]):
         self.tag, self.path, self.off, self.main = tag, path, off, main
 
 
 def _open(tag: str, attrs: str, parent: _Node) -> _Node:
-    main, off = parent.main, parent.off
+    main, off = False, parent.off
     words: set[str] = set()
     if attrs:
         for name, a, b, c in _ATTR.findall(attrs):
             value = (a or b or c).lower()
-            if name.lower() == "itemprop":
-                main |= value == "articlebody"
-            elif name.lower() == "role" and value == "main":
+            if name.lower() == "role" and value == "main":
                 main = True
             elif tag not in ("html", "body"):
                 words.update(_PART.findall(value))
@@ -93,19 +94,20 @@ def _open(tag: str, attrs: str, parent: _Node) -> _Node:
         if tag == "article" and words & PART_WORDS:
             off = True
         main = True
-    elif tag == "header" and main:  # an article's own header may hold its heading
+    elif tag == "header" and parent.main:  # an article's own header may hold its heading
         pass
     elif tag in OFF_TAGS:
         off = True
     if tag not in MAIN_TAGS and (words & OFF_WORDS or any(w.startswith(OFF_STEMS) for w in words)):
         off = True
-    return _Node(tag, (*parent.path, tag), off, main)
+    path = (*parent.path, tag)
+    return _Node(tag, path, off, path if main else parent.main)
 
 
 def blocks_of(page: str) -> list[tuple[str, _Node]]:
     """Text blocks in page order with the element that each stands in."""
     out: list[tuple[str, _Node]] = []
-    root = _Node("", (), False, False)
+    root = _Node("", (), False, ())
     stack, text = [root], []
     at = 0
 
@@ -197,34 +199,36 @@ def path_scores(blocks: list[tuple[str, _Node]]) -> dict[tuple[str, ...], float]
     return {path: a / k for path, (a, k) in smooth.items()}
 
 
+def _common(paths: list[tuple[str, ...]]) -> tuple[str, ...]:
+    roof = paths[0]
+    for path in paths[1:]:
+        k = 0
+        while k < min(len(roof), len(path)) and roof[k] == path[k]:
+            k += 1
+        roof = roof[:k]
+    return roof
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks joined by blank lines."""
-    blocks = [(t, n) for t, n in blocks_of(page or "") if not n.off]
-    if any(n.main for _, n in blocks):
-        blocks = [(t, n) for t, n in blocks if n.main and ("header" not in n.path or n.tag in HEADINGS)]
+    blocks = [(t, n) for t, n in blocks_of(page or "") if not n.off and not ("header" in n.path and n.tag not in HEADINGS)]
     if not blocks:
         return ""
+    home = {n.path: n.main for _, n in blocks}
     scores = path_scores(blocks)
+    if any(home.values()):  # what stands in no article or main element is none of it
+        scores = {path: v for path, v in scores.items() if home[path]}
     values = list(scores.values())
     mean = sum(values) / len(values)
     spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
     cut = min(THRESHOLD * spread, max(values))
     chosen = [path for path, v in scores.items() if v >= cut]
-    roof = chosen[0][:-1]
-    for path in chosen[1:]:
-        k = 0
-        while k < min(len(roof), len(path) - 1) and roof[k] == path[k]:
-            k += 1
-        roof = roof[:k]
-    anywhere = not roof or roof[-1] in ("html", "body")
+    main = home[max(chosen, key=lambda path: (scores[path], path))]
+    roof = main or _common([path[:-1] for path in chosen])  # the best path's own article, or what the chosen share
     kept = set(chosen)
-    if any(n.main for _, n in blocks):
-        keep = lambda n: True  # noqa: E731  all of the article counts
-    elif anywhere:
-        keep = lambda n: n.path in kept or n.tag in HEADINGS
-    else:
-        keep = lambda n: n.path[: len(roof)] == roof
-    return "\n\n".join(t for t, n in blocks if keep(n))
+    if not roof or roof[-1] in ("html", "body"):
+        return "\n\n".join(t for t, n in blocks if n.path in kept or n.tag in HEADINGS)
+    return "\n\n".join(t for t, n in blocks if n.path[: len(roof)] == roof)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -531,6 +531,8 @@ def test_html(spark):
         (None, ""), ("", ""), ("plain", "plain"), ("<p>a<b>b</b>&nbsp;&amp; c<p>d", "ab & c\n\nd"), ("<script>var x='</p>'</script><p>x", "x"), ("<!-- <p>no</p> --><p>yes", "yes"),
         ("<body><nav><a>m</a></nav><article><h1>T</h1><p>One, two.</p><aside>s</aside><form>f</form><div class='comments'><p>c</p></div></article><footer>f</footer>", "T\n\nOne, two."),
         ("<article><p>Text, here.</p><article class=comment><p>c</p></article><p style='display: none'>h</p><div class=advertising-box>a</div><p>More.</p></article>", "Text, here.\n\nMore."),
+        ("<main><article><header><h1>T</h1><p>By me</p></header><p>Long text, with commas, and more.</p></article><div><p>Unmarked box.</p></div></main>", "T\n\nLong text, with commas, and more."),
+        ("<article><p>Oui.</p></article><div>Much longer text, with commas, but outside of it.</div>", "Oui."),
         ("<body><header><h1>Site</h1></header><div class='cookie-notice'>We use cookies.</div><div id=content><h1>T</h1><p>Long text, with commas, and more of it.<p>Short<ul><li>a<li>b</ul></div><div class=sidebar>no</div>", "T\n\nLong text, with commas, and more of it.\n\nShort\n\na\n\nb"),
     ],
 )

@@ -2,7 +2,7 @@
 
 Tables: txs(tx_id, start_ts, commit_ts), reads(tx_id, key), writes(tx_id, key),
 ranges(tx_id, lo, hi).  Two transactions overlap if each began before the other
-committed (commit_ts NULL: still running).
+committed (commit_ts NULL: still running).  Times are numbers.
 """
 
 from __future__ import annotations
@@ -29,13 +29,38 @@ def _overlap(a: str, b: str) -> Column:
     return begun(a, b) & begun(b, a)
 
 
+def _meet(left: DataFrame, right: DataFrame, txs: DataFrame, on: Column, key: str) -> DataFrame:
+    """(tx_a, tx_b, key) of rows a of left and b of right that satisfy ``on`` and
+    whose transactions overlap; key is taken from side ``key``.
+
+    Time is cut into slots of about a transaction's length; two finished
+    transactions that overlap share the slot in which the later one began, so
+    they meet there, once, and a busy key is not joined with itself over all
+    time.  Running transactions have no end and are joined apart: they are few."""
+    length = txs.agg(F.percentile_approx(F.col("commit_ts") - F.col("start_ts"), 0.95)).first()[0]
+    size = max(1, int(length or 1))
+    slot = lambda c: F.floor(F.col(c) / size)
+    a, b = left.join(txs, "tx_id"), right.join(txs, "tx_id")
+    ended, running = F.col("commit_ts").isNotNull(), F.col("commit_ts").isNull()
+    spread = lambda t: t.where(ended).withColumn("slot", F.explode(F.sequence(slot("start_ts"), slot("commit_ts"))))
+    later = F.greatest(slot("a.start_ts"), slot("b.start_ts"))
+    parts = [
+        (spread(a), spread(b), (F.col("a.slot") == F.col("b.slot")) & (F.col("a.slot") == later)),
+        (a.where(running), b, F.lit(True)),
+        (a.where(ended), b.where(running), F.lit(True)),
+    ]
+    out = None
+    for x, y, where in parts:
+        both = x.alias("a").join(y.alias("b"), where & on & _overlap("a", "b"))
+        both = both.select(F.col("a.tx_id").alias("tx_a"), F.col("b.tx_id").alias("tx_b"), F.col(f"{key}.key").alias("key"))
+        out = both if out is None else out.union(both)
+    return out.distinct()
+
+
 def _pairs(left: DataFrame, right: DataFrame, txs: DataFrame, unordered: bool) -> DataFrame:
     """(tx_a, tx_b, key): left's and right's transactions overlap on a key."""
-    a = left.join(txs, "tx_id").alias("a")
-    b = right.join(txs, "tx_id").alias("b")
     apart = F.col("a.tx_id") < F.col("b.tx_id") if unordered else F.col("a.tx_id") != F.col("b.tx_id")
-    both = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & _overlap("a", "b"))
-    return both.select(F.col("a.tx_id").alias("tx_a"), F.col("b.tx_id").alias("tx_b"), F.col("a.key").alias("key")).distinct()
+    return _meet(left, right, txs, (F.col("a.key") == F.col("b.key")) & apart, "a")
 
 
 def write_write(writes: DataFrame, txs: DataFrame) -> DataFrame:
@@ -49,10 +74,8 @@ def read_write(reads: DataFrame, writes: DataFrame, txs: DataFrame) -> DataFrame
 
 def phantoms(ranges: DataFrame, writes: DataFrame, txs: DataFrame) -> DataFrame:
     """(tx_a, tx_b, key): tx_b wrote a key in a range [lo, hi) that tx_a scanned."""
-    a, b = ranges.join(txs, "tx_id").alias("a"), writes.join(txs, "tx_id").alias("b")
     inside = (F.col("b.key") >= F.col("a.lo")) & (F.col("b.key") < F.col("a.hi"))
-    both = a.join(b, inside & (F.col("a.tx_id") != F.col("b.tx_id")) & _overlap("a", "b"))
-    return both.select(F.col("a.tx_id").alias("tx_a"), F.col("b.tx_id").alias("tx_b"), F.col("b.key").alias("key")).distinct()
+    return _meet(ranges, writes, txs, inside & (F.col("a.tx_id") != F.col("b.tx_id")), "b")
 
 
 def write_skew(reads: DataFrame, writes: DataFrame, txs: DataFrame) -> DataFrame:

@@ -87,12 +87,8 @@ def write_skew(reads: DataFrame, writes: DataFrame, txs: DataFrame) -> DataFrame
     return mutual.join(write_write(writes, txs).select("tx_a", "tx_b").distinct(), ["tx_a", "tx_b"], "left_anti")
 
 
-def cycles(edges: DataFrame, rounds: int = 16) -> DataFrame:
-    """Nodes that lie on a cycle of edges (src, dst) of at most 2**rounds steps.
-
-    Reachability by doubling; nodes without an edge in or out are trimmed first,
-    again and again, so only the part that can hold a cycle is squared."""
-    edges = durable(edges.select("src", "dst").distinct())
+def _trimmed(edges: DataFrame, rounds: int) -> DataFrame:
+    """Edges without nodes that have no edge in or out, removed ``rounds`` times at most."""
     n = edges.count()
     for _ in range(rounds):
         inner = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
@@ -100,14 +96,69 @@ def cycles(edges: DataFrame, rounds: int = 16) -> DataFrame:
         before, n = n, edges.count()
         if before == n:
             break
+    return edges
+
+
+def _components(edges: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame] | None:
+    """(node, color) of the strongly connected component of the largest node of
+    each color, and the colors of all nodes; a color is the largest node that
+    reaches a node.  None: more than ``rounds`` steps are needed."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    colors = durable(ends.withColumn("color", F.col("node")))
+    for _ in range(rounds):
+        heard = edges.join(colors.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("color").alias("heard"))
+        step = durable(colors.join(heard, "node", "left").select("node", F.greatest("color", "heard").alias("color"), (F.col("heard") > F.col("color")).alias("changed")))
+        colors = step.select("node", "color")
+        if step.where("changed").isEmpty():
+            break
+    else:
+        return None
+    of = lambda end: colors.select(F.col("node").alias(end), F.col("color").alias(f"{end}_color"))
+    inside = durable(edges.join(of("src"), "src").join(of("dst"), "dst").where("src_color = dst_color").select("src", "dst", F.col("src_color").alias("color")))
+    members = durable(colors.where("node = color"))
+    n = members.count()
+    for _ in range(rounds):
+        back = inside.join(members.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), "color")
+        members = durable(members.union(back.distinct()).distinct())
+        before, n = n, members.count()
+        if before == n:
+            return members, colors
+    return None
+
+
+def cycles(edges: DataFrame, rounds: int = 16) -> DataFrame:
+    """Nodes that lie on a cycle of edges (src, dst) of any length.
+
+    Strongly connected components are taken off by colors, which costs a join
+    with the edges a step; what needs more than ``rounds`` steps is left to
+    reachability by doubling.  Raises an error if paths still grow after
+    ``rounds`` doublings."""
+    edges = durable(edges.select("src", "dst").distinct())
+    found = edges.where("src = dst").select(F.col("src").alias("node"))
+    edges = edges.where("src <> dst")
+    for _ in range(rounds):
+        edges = _trimmed(edges, rounds)
+        if edges.isEmpty():
+            return found.distinct()
+        parts = _components(edges, rounds)
+        if parts is None:
+            break
+        members, colors = parts
+        found = durable(found.union(members.join(members.groupBy("color").count().where("count > 1"), "color", "left_semi").select("node")))
+        rest = colors.join(members.select("node"), "node", "left_anti")
+        of = lambda end: rest.select(F.col("node").alias(end), F.col("color").alias(f"{end}_color"))  # noqa: B023, E731
+        edges = durable(edges.join(of("src"), "src").join(of("dst"), "dst").where("src_color = dst_color").select("src", "dst"))
     reach = edges
+    n = reach.count()
     for _ in range(rounds):
         step = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
         reach = durable(reach.union(step.distinct()).distinct())
         before, n = n, reach.count()
         if before == n:
             break
-    return reach.where("src = dst").select(F.col("src").alias("node"))
+    else:
+        raise RuntimeError(f"paths still grow after {rounds} doublings")
+    return found.union(reach.where("src = dst").select(F.col("src").alias("node"))).distinct()
 
 
 def first_committer(writes: DataFrame, versions: DataFrame, txs: DataFrame) -> DataFrame:

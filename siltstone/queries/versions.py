@@ -248,6 +248,19 @@ _EDGES_SQL = f"""(SELECT DISTINCT a.tx_id AS src, h.tx_id AS dst FROM (SELECT tx
 _CYCLE_SQL = f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {_EDGES_SQL}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)"
 register("c_cycle", c_cycle, f"{_CYCLE_SQL} SELECT src AS node FROM r WHERE src = dst")
 register("c_deadlock", c_deadlock, f"{_CYCLE_SQL} SELECT max(src) AS victim FROM r WHERE src = dst HAVING count(*) > 0")
+
+
+def _all_wait_edges(spark, folder):
+    """The same over all transactions; requests fall on all keys."""
+    _, _, writes, _ = _txs(spark, folder)
+    held = writes.withColumn("mode", F.when(F.col("key") % 2 == 0, "exclusive").otherwise("shared"))
+    keys = writes.agg((F.max("key") + 1).alias("keys"))
+    asked = writes.crossJoin(F.broadcast(keys)).select("tx_id", ((F.col("key") * 7 + F.col("tx_id")) % F.col("keys")).alias("key"), F.when(F.col("key") % 3 == 0, "update").otherwise("shared").alias("mode"))
+    return X.waits_for(asked, held)
+
+
+register("c_cycle_whole", lambda s, d: X.cycles(_all_wait_edges(s, d)))
+register("c_deadlock_whole", lambda s, d: X.deadlock_victims(_all_wait_edges(s, d)))
 register(
     "c_lock_compat",
     lambda s, d: X.lock_matrix(s),

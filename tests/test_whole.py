@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 
+import pytest
+
 import siltstone.queries  # noqa: F401
 from siltstone import registry
+from siltstone.operators import conflicts
+from siltstone.queries.versions import _all_wait_edges
 from tests.conftest import DATA
 
 
@@ -21,3 +26,42 @@ def test_entropy_of_whole_texts(spark):
         assert abs(got[r.doc_id] - bits[0]) < 1e-4
         differ += abs(bits[0] - bits[1]) > 1e-2
     assert differ > 100
+
+
+def on_cycles(edges) -> set:
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    out = set()
+    for start in after:
+        seen, stack = set(), [start]
+        while stack:
+            for x in after.get(stack.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    stack.append(x)
+        if start in seen:
+            out.add(start)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cycles_of_any_graph(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(32)] + [(40 + i, 40 + (i + 1) % 9) for i in range(9)] + [(i, i + 1) for i in range(100, 130)]
+    frame = spark.createDataFrame(edges, "src long, dst long")
+    assert {r.node for r in conflicts.cycles(frame, 8).collect()} == on_cycles(edges)
+
+
+def test_cycles_too_long_for_the_rounds_raise(spark):
+    ring = spark.createDataFrame([(i, (i + 1) % 40) for i in range(40)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        conflicts.cycles(ring, 3)
+
+
+def test_waits_of_all_transactions(spark):
+    edges = [tuple(r) for r in _all_wait_edges(spark, DATA).collect()]
+    want = on_cycles(edges)
+    got = [r.node for r in registry.QUERIES["c_cycle_whole"](spark, DATA).collect()]
+    assert len(got) == len(want) and set(got) == want and max(want) >= 60
+    assert registry.QUERIES["c_deadlock_whole"](spark, DATA).first().victim == max(want)

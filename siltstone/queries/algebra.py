@@ -141,6 +141,28 @@ register(
 )
 register("join_semi", compiled(QuerySpec("customer", joins=(Join(ORD, "semi", (("c_custkey", "o_custkey"),)),), select=cols("c_custkey", "c_name"))), f"SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM {ORD_SQL})")
 register("join_anti", compiled(QuerySpec("customer", joins=(Join(ORD, "anti", (("c_custkey", "o_custkey"),)),), select=cols("c_custkey", "c_name"))), f"SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM {ORD_SQL})")
+# The same over whole tables; in outer, semi and anti joins a condition on both sides leaves rows without partners.
+DEAR = Compare(">", C("o_totalprice"), Binary("*", C("c_acctbal"), L(50)))
+DEAR_SQL = "o_custkey = c_custkey AND o_totalprice > c_acctbal * 50"
+
+
+def join_whole(name: str, kind: str, sql: str, condition=None, strategy: str = "auto") -> None:
+    spec = QuerySpec("orders", joins=(Join("customer", kind, (("o_custkey", "c_custkey"),), condition, strategy=strategy),), select=PAIR)
+    register(name, compiled(spec), f"SELECT o_orderkey, o_custkey, c_custkey, c_name FROM orders {sql} JOIN customer ON {DEAR_SQL if condition else 'o_custkey = c_custkey'}")
+
+
+join_whole("join_inner_whole", "inner", "INNER")
+join_whole("join_left_whole", "left", "LEFT", DEAR)
+join_whole("join_right_whole", "right", "RIGHT", DEAR)
+join_whole("join_full_whole", "full", "FULL", DEAR)
+for strategy in ("hash", "nested", "merge", "index", "broadcast"):
+    join_whole(f"js_{strategy}_whole", "inner", "INNER", strategy=strategy)
+for _kind, _not in (("semi", ""), ("anti", "NOT ")):
+    register(
+        f"join_{_kind}_whole",
+        compiled(QuerySpec("customer", joins=(Join("orders", _kind, (("c_custkey", "o_custkey"),), DEAR),), select=cols("c_custkey", "c_name"))),
+        f"SELECT c_custkey, c_name FROM customer WHERE {_not}EXISTS (SELECT 1 FROM orders WHERE {DEAR_SQL})",
+    )
 register(
     "join_multi",
     compiled(

@@ -57,6 +57,11 @@ for _kind in ("inner", "left", "right", "full"):
         lambda s, d, kind=_kind: JoinQuery(*_indexes(s, d), kind, left_range=LEFT, right_range=RIGHT).execute(),
         f"SELECT {_COLUMNS} FROM {_A} {_kind} JOIN {_B} ON left_key = right_key",
     )
+    register(
+        f"ij_{_kind}_whole",
+        lambda s, d, kind=_kind: JoinQuery(*_indexes(s, d), kind).execute(),
+        f"SELECT {_COLUMNS} FROM (SELECT o_custkey AS left_key, o_orderkey AS left_data FROM orders) {_kind} JOIN (SELECT c_custkey AS right_key, c_custkey AS right_data FROM customer) ON left_key = right_key",
+    )
 register("ij_restrict", lambda s, d: JoinQuery(*_indexes(s, d), "left", left_range=LEFT, right_key=450, limit=5000).execute(), f"SELECT {_COLUMNS} FROM {_A} LEFT JOIN (SELECT * FROM {_B} WHERE right_key = 450) ON left_key = right_key ORDER BY 1, 2, 3, 4 LIMIT 5000")
 register("join_range_params", lambda s, d: JoinQuery(*_indexes(s, d), "full", left_range=LEFT, right_range=RIGHT, limit=300).execute(), f"SELECT {_COLUMNS} FROM {_A} FULL JOIN {_B} ON left_key = right_key ORDER BY left_key NULLS LAST, right_key NULLS LAST, left_data NULLS LAST, right_data NULLS LAST LIMIT 300")
 

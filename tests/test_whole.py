@@ -65,3 +65,14 @@ def test_waits_of_all_transactions(spark):
     got = [r.node for r in registry.QUERIES["c_cycle_whole"](spark, DATA).collect()]
     assert len(got) == len(want) and set(got) == want and max(want) >= 60
     assert registry.QUERIES["c_deadlock_whole"](spark, DATA).first().victim == max(want)
+
+
+def test_joins_of_whole_tables(spark):
+    orders = [(r.o_custkey, r.o_totalprice) for r in spark.read.parquet(f"{DATA}/orders.parquet").collect()]
+    balance = {r.c_custkey: r.c_acctbal for r in spark.read.parquet(f"{DATA}/customer.parquet").collect()}
+    partners = {c for c, p in orders if c in balance and p > balance[c] * 50}
+    for kind in ("inner", "left"):
+        assert registry.QUERIES[f"join_{kind}_whole"](spark, DATA).count() == len(orders)
+        assert registry.QUERIES[f"ij_{kind}_whole"](spark, DATA).count() == len(orders)
+    assert {r.c_custkey for r in registry.QUERIES["join_semi_whole"](spark, DATA).collect()} == partners
+    assert {r.c_custkey for r in registry.QUERIES["join_anti_whole"](spark, DATA).collect()} == set(balance) - partners

@@ -76,3 +76,11 @@ def test_joins_of_whole_tables(spark):
         assert registry.QUERIES[f"ij_{kind}_whole"](spark, DATA).count() == len(orders)
     assert {r.c_custkey for r in registry.QUERIES["join_semi_whole"](spark, DATA).collect()} == partners
     assert {r.c_custkey for r in registry.QUERIES["join_anti_whole"](spark, DATA).collect()} == set(balance) - partners
+
+
+def test_writes_from_all_orders(spark):
+    keys = {r.o_orderkey for r in spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderkey").collect()}
+    got = {r.found: r.n for r in registry.QUERIES["sink_delete_whole"](spark, DATA).collect()}
+    gone = sum(k % 5 == 0 for k in keys)
+    assert got == {True: gone, None: len(keys) - gone}
+    assert registry.QUERIES["kv_cas_whole"](spark, DATA).count() == 2 * len(keys)

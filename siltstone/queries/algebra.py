@@ -187,6 +187,11 @@ register(
     compiled(QuerySpec("part", select=(("p_partkey", C("p_partkey")), ("size", maybe)), order_by=(Order(C("size"), nulls_first=True), Order(C("p_partkey"))), limit=60)),
     "SELECT p_partkey, nullif(p_size, 1) AS size FROM part ORDER BY size NULLS FIRST, p_partkey LIMIT 60",
 )
+register(
+    "sort_nulls_whole",
+    compiled(QuerySpec("part", select=(("p_partkey", C("p_partkey")), ("size", maybe)), order_by=(Order(C("size"), nulls_first=True), Order(C("p_partkey"))))),
+    "SELECT p_partkey, nullif(p_size, 1) AS size FROM part ORDER BY size NULLS FIRST, p_partkey",
+)
 
 # --- set operations
 NATIONS = QuerySpec("customer", select=(("key", C("c_nationkey")),))

@@ -84,3 +84,10 @@ def test_writes_from_all_orders(spark):
     gone = sum(k % 5 == 0 for k in keys)
     assert got == {True: gone, None: len(keys) - gone}
     assert registry.QUERIES["kv_cas_whole"](spark, DATA).count() == 2 * len(keys)
+
+
+def test_sort_with_nulls_is_whole(spark):
+    rows = [(r.size, r.p_partkey) for r in registry.QUERIES["sort_nulls_whole"](spark, DATA).collect()]
+    assert len(rows) == spark.read.parquet(f"{DATA}/part.parquet").count()
+    assert rows == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert rows[0][0] is None and rows[-1][0] is not None

@@ -33,7 +33,8 @@ REACH = 2  # blocks on either side that smoothing sees
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|select|object|canvas|title|xmp)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|select|object|canvas|title|xmp)\b[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<foreign>svg|annotation(?:-xml)?)\b[^>]*+(?<!/)>.*?(?:</(?P=foreign)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(?P<close2>/?)(?P<tag2>[a-z][^\s/>]*+)(?P<attrs2>[^>]*+)(?:>|\Z)"
     r"|<[!?/][^>]*+(?:>|\Z)",
@@ -62,6 +63,15 @@ OFF_WORDS = frozenset(
     "complementary skip hidden".split()
 )
 OFF_STEMS = ("advert", "sponsor", "sidebar", "cookie", "newsletter", "breadcrumb", "adsby", "notif", "disclaim")
+#: Of these, words of layout: an element that they name is on if it holds an article or most of the page's sentences.
+LAYOUT_WORDS = frozenset(
+    "banner sidebar aside side menu nav navbar masthead header footer foot register search searchbox share sharing social "
+    "discussion widget toolbar pager pagination legal skip".split()
+)
+#: In with-sidebar or no-sidebar these say what stands beside, not what the element is.
+BESIDE = frozenset("with without no non has".split())
+#: The header of one of these holds the title.
+OWN_HEADER = frozenset("article post entry story content".split())
 MAIN_TAGS = frozenset(("article", "main"))
 #: An article with one of these words is no article of its own.
 PART_WORDS = frozenset("ad ads advert comment comments reply related promo sponsored teaser".split())
@@ -69,18 +79,34 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])|display\s*:\s*none|aria-hidden
 
 
 class _Node:
-    """An open element: its path from the root, whether it is off, and the path
-    of the article or main element that it stands in."""
+    """An open element: its path from the root, whether it is off, the path of
+    the article or main element that it stands in, and the elements around it
+    that are named by words of layout, with what they hold."""
+
+    __slots__ = ("tag", "path", "off", "main", "under", "holds", "size")
+
+    def __init__(self, tag: str, path: tuple[str, ...], off: bool, main: tuple[str, ...], under: tuple[_Node, ...] = ()):
+        self.tag, self.path, self.off, self.main, self.under = tag, path, off, main, under
+        self.holds, self.size = False, 0
 
-    __slots__ = ("tag", "path", "off", "main")
 
-    def __init__(self, tag: str, path: tuple[str, ...], off: bool, main: tuple[str, ...]):
-        self.tag, self.path, self.off, self.main = tag, path, off, main
+def _off_words(tag: str, value: str) -> set[str]:
+    """Words of a class, id or role that mark what is not the article."""
+    out: set[str] = set()
+    for name in value.split():
+        parts = _PART.findall(name)
+        beside = next((i for i, w in enumerate(parts) if w in BESIDE), len(parts))
+        words = {w for w in parts[:beside] if w in OFF_WORDS or w.startswith(OFF_STEMS)}
+        if tag in HEADINGS or OWN_HEADER.intersection(parts):
+            words.discard("header")
+        out |= words
+    return out
 
 
 def _open(tag: str, attrs: str, parent: _Node) -> _Node:
     main, off = False, parent.off
     words: set[str] = set()
+    named: set[str] = set()
     if attrs:
         for name, a, b, c in _ATTR.findall(attrs):
             value = (a or b or c).lower()
@@ -88,6 +114,7 @@ def _open(tag: str, attrs: str, parent: _Node) -> _Node:
                 main = True
             elif tag not in ("html", "body"):
                 words.update(_PART.findall(value))
+                named |= _off_words(tag, value)
     if attrs and _HIDDEN.search(attrs):
         off = True
     if tag in MAIN_TAGS:
@@ -98,10 +125,32 @@ def _open(tag: str, attrs: str, parent: _Node) -> _Node:
         pass
     elif tag in OFF_TAGS:
         off = True
-    if tag not in MAIN_TAGS and (words & OFF_WORDS or any(w.startswith(OFF_STEMS) for w in words)):
+    layout = tag not in MAIN_TAGS and named and named <= LAYOUT_WORDS
+    if tag not in MAIN_TAGS and named and not layout:
         off = True
     path = (*parent.path, tag)
-    return _Node(tag, path, off, path if main else parent.main)
+    node = _Node(tag, path, off, path if main else parent.main, parent.under)
+    if layout:
+        node.under = (*node.under, node)
+    if main and not off:
+        for x in node.under:
+            x.holds = True
+    return node
+
+
+def _settle(blocks: list[tuple[str, _Node]]) -> None:
+    """Elements named by words of layout are off, but for those that hold an
+    article or, on a page without one beside them, most of the sentences."""
+    if not any(n.under for _, n in blocks):
+        return
+    live = [(len(t) if _PUNCT.search(t) else 0, n) for t, n in blocks if not n.off]
+    total = sum(k for k, _ in live)
+    for k, n in live:
+        for x in n.under:
+            x.size += k
+    article = any(n.main and not n.under for _, n in live)
+    for _, n in blocks:
+        n.off = n.off or any(not x.holds and (article or 2 * x.size <= total) for x in n.under)
 
 
 def blocks_of(page: str) -> list[tuple[str, _Node]]:
@@ -121,7 +170,7 @@ def blocks_of(page: str) -> list[tuple[str, _Node]]:
                 k = len(stack) - 1
                 while k and stack[k].tag not in BLOCK:
                     k -= 1
-                out.append((" ".join(words), _Node(stack[k].tag, stack[k].path, stack[-1].off, stack[-1].main)))
+                out.append((" ".join(words), _Node(stack[k].tag, stack[k].path, stack[-1].off, stack[-1].main, stack[-1].under)))
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -157,12 +206,13 @@ def blocks_of(page: str) -> list[tuple[str, _Node]]:
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
         node = _open(tag, attrs, stack[-1])
-        if node.off != stack[-1].off:
+        if node.off != stack[-1].off or node.under != stack[-1].under:
             flush()
         stack.append(node)
     if at < len(page):
         text.append(page[at:])
     flush()
+    _settle(out)
     return out
 
 

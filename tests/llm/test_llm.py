@@ -540,6 +540,22 @@ def test_html_cases(page, text):
     assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        *((f"<body><div class='{c}'><article><h1>T</h1><p>One, two.</p></article></div>", "T\n\nOne, two.") for c in ("with-sidebar", "no-sidebar", "has-sidebar", "search-results", "sidebar")),
+        ("<article><h1 class=page-header>T</h1><p>One, two.</p></article>", "T\n\nOne, two."),
+        ("<article><div class=article-header><h1>T</h1></div><p>One, two.</p></article>", "T\n\nOne, two."),
+        ("<body><div class=search-results><p>Long text, with commas, and more of it.</p></div><div class=sidebar>no</div>", "Long text, with commas, and more of it."),
+        ("<article><p>One, <svg class='i'/> two.</p><p>Three.</p></article>", "One, two.\n\nThree."),
+        ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds.</p></article>", "So x=1 holds."),
+        ("<article><p>One, two.</p></article><div class=sidebar><p>Longer text, with commas, beside the article.</p></div>", "One, two."),
+    ],
+)
+def test_html_layout_words(page, text):
+    assert html_extract.main_text(page) == text
+
+
 @pytest.mark.parametrize("page", ["<", "<<<>>>", "<a title=\"x", "<!--" * 1000, "<script>" * 1000, "<div>" * 3000 + "x", "&#xFFFFFFFF;&#0;", "</p></p></div>"])
 def test_html_of_any_kind_ends(page):
     assert isinstance(html_extract.main_text(page), str)

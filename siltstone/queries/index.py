@@ -54,11 +54,6 @@ _COLUMNS = "left_key, right_key, left_data, right_data"
 for _kind in ("inner", "left", "right", "full"):
     register(
         f"ij_{_kind}",
-        lambda s, d, kind=_kind: JoinQuery(*_indexes(s, d), kind, left_range=LEFT, right_range=RIGHT).execute(),
-        f"SELECT {_COLUMNS} FROM {_A} {_kind} JOIN {_B} ON left_key = right_key",
-    )
-    register(
-        f"ij_{_kind}_whole",
         lambda s, d, kind=_kind: JoinQuery(*_indexes(s, d), kind).execute(),
         f"SELECT {_COLUMNS} FROM (SELECT o_custkey AS left_key, o_orderkey AS left_data FROM orders) {_kind} JOIN (SELECT c_custkey AS right_key, c_custkey AS right_data FROM customer) ON left_key = right_key",
     )

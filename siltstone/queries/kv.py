@@ -59,46 +59,51 @@ reg("kv_multi_get", lambda s, d: kv_orders(s, d).multi_get(_keys(s)), f"SELECT o
 reg("kv_exists", lambda s, d: kv_orders(s, d).exists(_keys(s)), f"SELECT ordinal, k.key, k.key IN (SELECT key FROM {KV_SQL}) AS found FROM {_KEYS_SQL}")
 
 
-# A batch of writes made from the orders: every third key is changed, every fifth
+# A batch of writes made from all orders: every third key is changed, every fifth
 # removed, and both an older and a newer operation on the same key occur.
+_K = "'order:' || lpad(o_orderkey::VARCHAR, 10, '0')"
+
+
 def _writes(spark, folder):
-    base = table(spark, folder, "orders").where("o_orderkey < 300")
+    base = table(spark, folder, "orders")
     key = F.concat(F.lit("order:"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0"))
-    changed = base.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("seq"), key.alias("key"), F.lit("changed").alias("value"), F.lit(False).alias("is_deleted"))
-    removed = base.where("o_orderkey % 5 = 0").select((F.col("o_orderkey") + 100000000).alias("seq"), key.alias("key"), F.lit(None).cast("string").alias("value"), F.lit(True).alias("is_deleted"))
-    added = base.where("o_orderkey % 7 = 0").select((F.col("o_orderkey") + 200000000).alias("seq"), F.concat(key, F.lit("/new")).alias("key"), F.lit("added").alias("value"), F.lit(False).alias("is_deleted"))
+    changed = base.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("long").alias("seq"), key.alias("key"), F.lit("changed").alias("value"), F.lit(False).alias("is_deleted"))
+    removed = base.where("o_orderkey % 5 = 0").select((F.col("o_orderkey") + 1000000000000).alias("seq"), key.alias("key"), F.lit(None).cast("string").alias("value"), F.lit(True).alias("is_deleted"))
+    added = base.where("o_orderkey % 7 = 0").select((F.col("o_orderkey") + 2000000000000).alias("seq"), F.concat(key, F.lit("/new")).alias("key"), F.lit("added").alias("value"), F.lit(False).alias("is_deleted"))
     return changed.union(removed).union(added)
 
 
-_K = "'order:' || lpad(o_orderkey::VARCHAR, 10, '0')"
-_WRITES_SQL = f"""(SELECT o_orderkey AS seq, {_K} AS key, 'changed' AS value, false AS is_deleted FROM orders WHERE o_orderkey < 300 AND o_orderkey % 3 = 0
-  UNION ALL SELECT o_orderkey + 100000000, {_K}, NULL, true FROM orders WHERE o_orderkey < 300 AND o_orderkey % 5 = 0
-  UNION ALL SELECT o_orderkey + 200000000, {_K} || '/new', 'added', false FROM orders WHERE o_orderkey < 300 AND o_orderkey % 7 = 0)"""
-_LAST_SQL = f"(SELECT key, arg_max(value, seq) AS value0, bool_or(is_deleted AND seq = m) AS is_deleted, any_value(v) AS value FROM (SELECT *, max(seq) OVER (PARTITION BY key) AS m, last_value(value) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS v FROM {_WRITES_SQL}) GROUP BY key)"
+_WRITES_SQL = f"""(SELECT o_orderkey AS seq, {_K} AS key, 'changed' AS value, false AS is_deleted FROM orders WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT o_orderkey + 1000000000000, {_K}, NULL, true FROM orders WHERE o_orderkey % 5 = 0
+  UNION ALL SELECT o_orderkey + 2000000000000, {_K} || '/new', 'added', false FROM orders WHERE o_orderkey % 7 = 0)"""
+_LAST_SQL = f"(SELECT key, value, is_deleted FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM {_WRITES_SQL}) WHERE n = 1)"
 _AFTER_SQL = f"SELECT key, value FROM {KV_SQL} WHERE key NOT IN (SELECT key FROM {_WRITES_SQL}) UNION ALL SELECT key, value FROM {_LAST_SQL} WHERE NOT is_deleted"
 
 reg("kv_tx_iter", lambda s, d: kv_orders(s, d).overlay(_writes(s, d)), _AFTER_SQL)
-reg("sink_put", lambda s, d: kv_orders(s, d).overlay(_writes(s, d).where("not is_deleted")), f"SELECT key, value FROM {KV_SQL} WHERE key NOT IN (SELECT key FROM {_WRITES_SQL} WHERE NOT is_deleted) UNION ALL SELECT key, value FROM {_WRITES_SQL} WHERE NOT is_deleted")
+reg(
+    "sink_put",
+    lambda s, d: kv_orders(s, d).overlay(_writes(s, d).where("not is_deleted")),
+    f"SELECT key, value FROM {KV_SQL} WHERE key NOT IN (SELECT key FROM {_WRITES_SQL} WHERE NOT is_deleted) UNION ALL SELECT key, value FROM {_WRITES_SQL} WHERE NOT is_deleted",
+)
 
 
 def sink_delete(spark, folder):
-    """Which deletions found their key, and the keys left below 400."""
+    """Which deletions found their key, and all keys that are left."""
     view, gone = kv_orders(spark, folder), _writes(spark, folder).where("is_deleted")
     found = view.exists(gone.select(F.col("seq").alias("ordinal"), "key")).groupBy("found").agg(F.count(F.lit(1)).alias("n"))
-    left = KeyValue(view.overlay(gone)).count(None, HI).select(F.lit(None).cast("boolean").alias("found"), "n")
-    return found.union(left)
+    return found.union(KeyValue(view.overlay(gone)).count().select(F.lit(None).cast("boolean").alias("found"), "n"))
 
 
 reg(
     "sink_delete",
     sink_delete,
     f"""SELECT key IN (SELECT key FROM {KV_SQL}) AS found, count(*) AS n FROM {_WRITES_SQL} WHERE is_deleted GROUP BY 1
-    UNION ALL SELECT NULL, count(*) FROM {KV_SQL} WHERE key < '{HI}' AND key NOT IN (SELECT key FROM {_WRITES_SQL} WHERE is_deleted)""",
+    UNION ALL SELECT NULL, count(*) FROM {KV_SQL} WHERE key NOT IN (SELECT key FROM {_WRITES_SQL} WHERE is_deleted)""",
 )
 
 
 def sink_batch(spark, folder):
-    """A batch applied in order, with its size and refused operations."""
+    """A batch of all writes applied in order, with its size and refused operations."""
     writes = _writes(spark, folder)
     state = KeyValue(kv_orders(spark, folder).overlay(writes)).count().select(F.lit("rows").alias("what"), F.col("n").cast("long"))
     size = kv.batch_size(writes).select(F.lit("bytes").alias("what"), F.col("bytes").cast("long").alias("n"))
@@ -115,81 +120,6 @@ reg(
 
 
 def kv_cas(spark, folder):
-    """Swaps that expect F:1-URGENT; the keys beyond the table are expected to be absent."""
-    orders = table(spark, folder, "orders").where("o_orderkey <= 200")
-    key = lambda c: F.concat(F.lit("order:"), F.lpad(c.cast("string"), 10, "0"))
-    some = orders.select(key(F.col("o_orderkey")).alias("key"), F.lit("F:1-URGENT").alias("expected"), F.lit("done").alias("new"))
-    fresh = orders.where("o_orderkey <= 50").select(key(F.col("o_orderkey") + 900000000).alias("key"), F.lit(None).cast("string").alias("expected"), F.lit("fresh").alias("new"))
-    return kv_orders(spark, folder).compare_and_swap(some.union(fresh))
-
-
-reg(
-    "kv_cas",
-    kv_cas,
-    f"""SELECT w.key, coalesce(t.value, '#') = coalesce(expected, '#') AS swapped, CASE WHEN coalesce(t.value, '#') = coalesce(expected, '#') THEN w.new ELSE t.value END AS value
-    FROM (SELECT {_K} AS key, 'F:1-URGENT' AS expected, 'done' AS new FROM orders WHERE o_orderkey <= 200
-      UNION ALL SELECT 'order:' || lpad((o_orderkey + 900000000)::VARCHAR, 10, '0'), NULL, 'fresh' FROM orders WHERE o_orderkey <= 50) AS w
-    LEFT JOIN {KV_SQL} AS t USING (key)""",
-)
-
-
-# The same writes and swaps from all orders.
-def _all_writes(spark, folder):
-    base = table(spark, folder, "orders")
-    key = F.concat(F.lit("order:"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0"))
-    changed = base.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").cast("long").alias("seq"), key.alias("key"), F.lit("changed").alias("value"), F.lit(False).alias("is_deleted"))
-    removed = base.where("o_orderkey % 5 = 0").select((F.col("o_orderkey") + 1000000000000).alias("seq"), key.alias("key"), F.lit(None).cast("string").alias("value"), F.lit(True).alias("is_deleted"))
-    added = base.where("o_orderkey % 7 = 0").select((F.col("o_orderkey") + 2000000000000).alias("seq"), F.concat(key, F.lit("/new")).alias("key"), F.lit("added").alias("value"), F.lit(False).alias("is_deleted"))
-    return changed.union(removed).union(added)
-
-
-_ALL_WRITES_SQL = f"""(SELECT o_orderkey AS seq, {_K} AS key, 'changed' AS value, false AS is_deleted FROM orders WHERE o_orderkey % 3 = 0
-  UNION ALL SELECT o_orderkey + 1000000000000, {_K}, NULL, true FROM orders WHERE o_orderkey % 5 = 0
-  UNION ALL SELECT o_orderkey + 2000000000000, {_K} || '/new', 'added', false FROM orders WHERE o_orderkey % 7 = 0)"""
-_ALL_LAST_SQL = f"(SELECT key, value, is_deleted FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS n FROM {_ALL_WRITES_SQL}) WHERE n = 1)"
-_ALL_AFTER_SQL = f"SELECT key, value FROM {KV_SQL} WHERE key NOT IN (SELECT key FROM {_ALL_WRITES_SQL}) UNION ALL SELECT key, value FROM {_ALL_LAST_SQL} WHERE NOT is_deleted"
-
-reg("kv_tx_iter_whole", lambda s, d: kv_orders(s, d).overlay(_all_writes(s, d)), _ALL_AFTER_SQL)
-reg(
-    "sink_put_whole",
-    lambda s, d: kv_orders(s, d).overlay(_all_writes(s, d).where("not is_deleted")),
-    f"SELECT key, value FROM {KV_SQL} WHERE key NOT IN (SELECT key FROM {_ALL_WRITES_SQL} WHERE NOT is_deleted) UNION ALL SELECT key, value FROM {_ALL_WRITES_SQL} WHERE NOT is_deleted",
-)
-
-
-def sink_delete_whole(spark, folder):
-    """Which deletions found their key, and all keys that are left."""
-    view, gone = kv_orders(spark, folder), _all_writes(spark, folder).where("is_deleted")
-    found = view.exists(gone.select(F.col("seq").alias("ordinal"), "key")).groupBy("found").agg(F.count(F.lit(1)).alias("n"))
-    return found.union(KeyValue(view.overlay(gone)).count().select(F.lit(None).cast("boolean").alias("found"), "n"))
-
-
-reg(
-    "sink_delete_whole",
-    sink_delete_whole,
-    f"""SELECT key IN (SELECT key FROM {KV_SQL}) AS found, count(*) AS n FROM {_ALL_WRITES_SQL} WHERE is_deleted GROUP BY 1
-    UNION ALL SELECT NULL, count(*) FROM {KV_SQL} WHERE key NOT IN (SELECT key FROM {_ALL_WRITES_SQL} WHERE is_deleted)""",
-)
-
-
-def sink_batch_whole(spark, folder):
-    """A batch of all writes applied in order, with its size and refused operations."""
-    writes = _all_writes(spark, folder)
-    state = KeyValue(kv_orders(spark, folder).overlay(writes)).count().select(F.lit("rows").alias("what"), F.col("n").cast("long"))
-    size = kv.batch_size(writes).select(F.lit("bytes").alias("what"), F.col("bytes").cast("long").alias("n"))
-    refused = kv.valid(writes).where("error is not null").agg(F.count(F.lit(1)).alias("n")).select(F.lit("refused").alias("what"), "n")
-    return state.union(size).union(refused)
-
-
-reg(
-    "sink_batch_whole",
-    sink_batch_whole,
-    f"""SELECT 'rows' AS what, count(*)::BIGINT AS n FROM ({_ALL_AFTER_SQL})
-    UNION ALL SELECT 'bytes', sum(strlen(key) + coalesce(strlen(value), 0) + 16)::BIGINT FROM {_ALL_WRITES_SQL} UNION ALL SELECT 'refused', 0::BIGINT""",
-)
-
-
-def kv_cas_whole(spark, folder):
     """Swaps of all keys that expect F:1-URGENT, and as many of keys beyond the table that are expected to be absent."""
     orders = table(spark, folder, "orders")
     key = lambda c: F.concat(F.lit("order:"), F.lpad(c.cast("string"), 10, "0"))
@@ -199,8 +129,8 @@ def kv_cas_whole(spark, folder):
 
 
 reg(
-    "kv_cas_whole",
-    kv_cas_whole,
+    "kv_cas",
+    kv_cas,
     f"""SELECT w.key, coalesce(t.value, '#') = coalesce(expected, '#') AS swapped, CASE WHEN coalesce(t.value, '#') = coalesce(expected, '#') THEN w.new ELSE t.value END AS value
     FROM (SELECT {_K} AS key, 'F:1-URGENT' AS expected, 'done' AS new FROM orders
       UNION ALL SELECT 'order:' || lpad((o_orderkey + 5000000000)::VARCHAR, 10, '0'), NULL, 'fresh' FROM orders) AS w

@@ -228,30 +228,7 @@ register("c_first_committer", c_first_committer, f"SELECT tx_id, tx_id IN (SELEC
 
 
 def _wait_edges(spark, folder):
-    """Requests for what overlapping transactions hold, from their conflicts."""
-    txs, _, writes, _ = _txs(spark, folder)
-    held = writes.where("tx_id < 60").withColumn("mode", F.when(F.col("key") % 2 == 0, "exclusive").otherwise("shared"))
-    asked = writes.where("tx_id < 60").select("tx_id", ((F.col("key") * 7 + F.col("tx_id")) % 150).alias("key"), F.when(F.col("key") % 3 == 0, "update").otherwise("shared").alias("mode"))
-    return X.waits_for(asked, held)
-
-
-def c_cycle(spark, folder):
-    return X.cycles(_wait_edges(spark, folder))
-
-
-def c_deadlock(spark, folder):
-    return X.deadlock_victims(_wait_edges(spark, folder))
-
-
-_EDGES_SQL = f"""(SELECT DISTINCT a.tx_id AS src, h.tx_id AS dst FROM (SELECT tx_id, (key * 7 + tx_id) % 150 AS key, CASE WHEN key % 3 = 0 THEN 'update' ELSE 'shared' END AS mode FROM {_WRITES_SQL} WHERE tx_id < 60) AS a
-  JOIN (SELECT tx_id, key, CASE WHEN key % 2 = 0 THEN 'exclusive' ELSE 'shared' END AS mode FROM {_WRITES_SQL} WHERE tx_id < 60) AS h USING (key) WHERE a.tx_id <> h.tx_id AND h.mode = 'exclusive')"""
-_CYCLE_SQL = f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {_EDGES_SQL}), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)"
-register("c_cycle", c_cycle, f"{_CYCLE_SQL} SELECT src AS node FROM r WHERE src = dst")
-register("c_deadlock", c_deadlock, f"{_CYCLE_SQL} SELECT max(src) AS victim FROM r WHERE src = dst HAVING count(*) > 0")
-
-
-def _all_wait_edges(spark, folder):
-    """The same over all transactions; requests fall on all keys."""
+    """Requests for what other transactions hold, over all transactions and keys."""
     _, _, writes, _ = _txs(spark, folder)
     held = writes.withColumn("mode", F.when(F.col("key") % 2 == 0, "exclusive").otherwise("shared"))
     keys = writes.agg((F.max("key") + 1).alias("keys"))
@@ -259,8 +236,8 @@ def _all_wait_edges(spark, folder):
     return X.waits_for(asked, held)
 
 
-register("c_cycle_whole", lambda s, d: X.cycles(_all_wait_edges(s, d)))
-register("c_deadlock_whole", lambda s, d: X.deadlock_victims(_all_wait_edges(s, d)))
+register("c_cycle", lambda s, d: X.cycles(_wait_edges(s, d)))
+register("c_deadlock", lambda s, d: X.deadlock_victims(_wait_edges(s, d)))
 register(
     "c_lock_compat",
     lambda s, d: X.lock_matrix(s),

@@ -11,12 +11,12 @@ import pytest
 import siltstone.queries  # noqa: F401
 from siltstone import registry
 from siltstone.operators import conflicts
-from siltstone.queries.versions import _all_wait_edges
+from siltstone.queries.versions import _wait_edges
 from tests.conftest import DATA
 
 
-def test_entropy_of_whole_texts(spark):
-    got = {r.id: r.bits for r in registry.QUERIES["s_entropy_whole"](spark, DATA).collect()}
+def test_entropy_of_texts(spark):
+    got = {r.id: r.bits for r in registry.QUERIES["s_entropy"](spark, DATA).collect()}
     docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
     counts = [spark.read.parquet(f"{DATA}/{t}.parquet").count() for t in ("events", "part")]
     assert len(got) == len(docs) + sum(counts)
@@ -60,34 +60,34 @@ def test_cycles_too_long_for_the_rounds_raise(spark):
 
 
 def test_waits_of_all_transactions(spark):
-    edges = [tuple(r) for r in _all_wait_edges(spark, DATA).collect()]
+    edges = [tuple(r) for r in _wait_edges(spark, DATA).collect()]
     want = on_cycles(edges)
-    got = [r.node for r in registry.QUERIES["c_cycle_whole"](spark, DATA).collect()]
+    got = [r.node for r in registry.QUERIES["c_cycle"](spark, DATA).collect()]
     assert len(got) == len(want) and set(got) == want and max(want) >= 60
-    assert registry.QUERIES["c_deadlock_whole"](spark, DATA).first().victim == max(want)
+    assert registry.QUERIES["c_deadlock"](spark, DATA).first().victim == max(want)
 
 
-def test_joins_of_whole_tables(spark):
+def test_joins_of_tables(spark):
     orders = [(r.o_custkey, r.o_totalprice) for r in spark.read.parquet(f"{DATA}/orders.parquet").collect()]
     balance = {r.c_custkey: r.c_acctbal for r in spark.read.parquet(f"{DATA}/customer.parquet").collect()}
     partners = {c for c, p in orders if c in balance and p > balance[c] * 50}
     for kind in ("inner", "left"):
-        assert registry.QUERIES[f"join_{kind}_whole"](spark, DATA).count() == len(orders)
-        assert registry.QUERIES[f"ij_{kind}_whole"](spark, DATA).count() == len(orders)
-    assert {r.c_custkey for r in registry.QUERIES["join_semi_whole"](spark, DATA).collect()} == partners
-    assert {r.c_custkey for r in registry.QUERIES["join_anti_whole"](spark, DATA).collect()} == set(balance) - partners
+        assert registry.QUERIES[f"join_{kind}"](spark, DATA).count() == len(orders)
+        assert registry.QUERIES[f"ij_{kind}"](spark, DATA).count() == len(orders)
+    assert {r.c_custkey for r in registry.QUERIES["join_semi"](spark, DATA).collect()} == partners
+    assert {r.c_custkey for r in registry.QUERIES["join_anti"](spark, DATA).collect()} == set(balance) - partners
 
 
 def test_writes_from_all_orders(spark):
     keys = {r.o_orderkey for r in spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderkey").collect()}
-    got = {r.found: r.n for r in registry.QUERIES["sink_delete_whole"](spark, DATA).collect()}
+    got = {r.found: r.n for r in registry.QUERIES["sink_delete"](spark, DATA).collect()}
     gone = sum(k % 5 == 0 for k in keys)
     assert got == {True: gone, None: len(keys) - gone}
-    assert registry.QUERIES["kv_cas_whole"](spark, DATA).count() == 2 * len(keys)
+    assert registry.QUERIES["kv_cas"](spark, DATA).count() == 2 * len(keys)
 
 
-def test_sort_with_nulls_is_whole(spark):
-    rows = [(r.size, r.p_partkey) for r in registry.QUERIES["sort_nulls_whole"](spark, DATA).collect()]
+def test_sort_with_nulls_is(spark):
+    rows = [(r.size, r.p_partkey) for r in registry.QUERIES["sort_nulls"](spark, DATA).collect()]
     assert len(rows) == spark.read.parquet(f"{DATA}/part.parquet").count()
     assert rows == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert rows[0][0] is None and rows[-1][0] is not None

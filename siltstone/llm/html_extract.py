@@ -1,22 +1,30 @@
 """Main-text extraction by tag-path ratios.
 
 A page is read as a sequence of text blocks, each with its tag path from the
-root.  Text length and punctuation are summed per path and divided by the
-number of its blocks; both ratios and the spread of lengths are fused to one
-score, which is smoothed along the page with weights for how much of their
-paths two blocks share.  Paths whose smoothed score reaches THRESHOLD of the
-page's spread are content.  The container of these paths (the innermost article
-or main element of the best one, else what they have in common) decides the
-rest: what lies under the same roof, short paragraphs and headings too, belongs
-to the article, so nothing is lost for being short.
-
-Blocks under elements whose kind, class, id or role says menu, header, footer,
-side bar, notice, advert, form or reader comments never take part.
+root.  Containers (div, section, td, ...) count by identity, the elements in
+them (p, li, h2, ...) by kind, so the paragraphs of one container share a path
+and those of the next one have another.  Per path, text length, punctuation and
+text in links are summed and divided by its number of blocks; the ratios and the
+spread of lengths are fused, and smoothed along the page with weights for how
+much of their paths two blocks share.
+
+What markup says is evidence that multiplies a path's score: ARTICLE each for
+standing in an article and in a main element, OFF for elements whose kind, role or class
+names a menu, header, footer, side bar, notice, advert, form or comments.  Words
+of layout count only where the element holds no article and less than half of the
+page's sentences.
+
+Paths whose score reaches THRESHOLD of the page's spread are content.  From the
+root, the article is the container in which DOMINANT of the content's score lies,
+step by step, down to an article element or to content that stands in the
+container itself; once something was left aside, SURE of it.  Within it everything above FLOOR is kept, short paragraphs
+and headings too, but for containers without content that are made of links.
 
 Nulls, ties and odd input: null or empty html gives an empty text; a null
 page_id or url stays; unclosed elements, comments and tags end where a browser
-would end them or at the end of the page; repeated rows give repeated results;
-further columns are not read; an empty table gives an empty result.
+would end them or at the end of the page; of equal containers the first is
+taken; repeated rows give repeated results; further columns are not read; an
+empty table gives an empty result.  Work is linear in the page's length.
 """
 
 from __future__ import annotations
@@ -24,12 +32,18 @@ from __future__ import annotations
 import html
 import math
 import re
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 THRESHOLD = 0.5
 REACH = 2  # blocks on either side that smoothing sees
+ARTICLE, OFF = 1e3, 1e-10
+FLOOR = 0.01
+DOMINANT, SURE = 0.66, 0.95
+#: A container without content is a menu if this much of its text is in links and its blocks are this short.
+LINKS, SHORT = 0.8, 30
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -40,141 +54,230 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"([^\s=/\"'>]++)(?:\s*=\s*(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+_TELLING = re.compile(r"class|role|hidden|style", re.I)
 _PUNCT = re.compile(r"[.,;:!?…。、，；：！？]")
-_PART = re.compile(r"[a-z]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: A start tag of the key ends an open element of the values, up to the nearest of SCOPE.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPE = frozenset("html body article section main div table ul ol dl nav aside footer header form td th".split())
+#: Elements that count by identity in a path.
+CONTAINER = frozenset("article aside blockquote body center details dialog dir div dl fieldset figure footer form header html main menu nav ol section table td th ul".split())
+#: A start tag of the key ends open elements of the values, up to the nearest of SCOPE.
+ENDS = {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option", "p")}
+SCOPE = frozenset("html body article section main div table ul ol dl nav aside footer header form".split())
+CELLS = frozenset(("td", "th"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Kinds of element and words in class, id or role that mark what is not the article.
-OFF_TAGS = frozenset("head nav footer aside form menu dialog button label fieldset header".split())
+LISTS = frozenset("blockquote dl figure ol table td th ul".split())
+#: Of these, what pages are laid out with.
+LAYOUT = frozenset("center table td".split())
+#: Kinds of element, roles and words of a class that name what is not the article.
+OFF_TAGS = frozenset("head nav footer aside menu dialog button label fieldset".split())
+OFF_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 OFF_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar aside side menu nav navbar "
-    "navigation navigationmenu breadcrumb breadcrumbs masthead header footer foot cookie cookies consent notice notices alert popup modal overlay "
-    "newsletter subscribe subscription signup signin login register search searchbox share sharing social related recommended recommendations "
-    "trending comment comments commentlist reply replies respond disqus discussion widget toolbar pager pagination copyright legal contentinfo "
-    "complementary skip hidden".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion banner sidebar aside side menu nav navbar "
+    "navigation breadcrumb breadcrumbs masthead header footer foot cookie cookies consent notice notices notification notifications disclaimer alert popup modal "
+    "overlay newsletter subscribe subscription signup signin login register search searchbox share sharing social related recommended recommendations "
+    "trending comment comments commentlist reply replies respond disqus discussion widget toolbar pager pagination copyright legal skip hidden".split()
 )
-OFF_STEMS = ("advert", "sponsor", "sidebar", "cookie", "newsletter", "breadcrumb", "adsby", "notif", "disclaim")
-#: Of these, words of layout: an element that they name is on if it holds an article or most of the page's sentences.
+#: Of these, words of layout: they count only where the page's text does not speak against it.
 LAYOUT_WORDS = frozenset(
     "banner sidebar aside side menu nav navbar masthead header footer foot register search searchbox share sharing social "
     "discussion widget toolbar pager pagination legal skip".split()
 )
-#: In with-sidebar or no-sidebar these say what stands beside, not what the element is.
-BESIDE = frozenset("with without no non has".split())
-#: The header of one of these holds the title.
-OWN_HEADER = frozenset("article post entry story content".split())
+#: Words that a class adds to one of OFF_WORDS without changing what it names; any other word does (share-enabled, with-sidebar).
+NEUTRAL = frozenset(
+    "area bar block blocks body bottom box boxes btn button buttons container content desktop form global group holder home inner item items left link links list "
+    "main mobile outer page panel post posts primary right row secondary section site slot small story thread title top unit units user wrap wrapper".split()
+)
 MAIN_TAGS = frozenset(("article", "main"))
-#: An article with one of these words is no article of its own.
-PART_WORDS = frozenset("ad ads advert comment comments reply related promo sponsored teaser".split())
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: An article of such a class is no article of its own.
+PART_WORDS = OFF_WORDS - LAYOUT_WORDS | {"teaser", "teasers"}
+
+
+class _Named:
+    """An element that is named as something else than the article, the named
+    element around it, whether only by layout, and what it holds."""
+
+    __slots__ = ("around", "layout", "holds", "size", "off")
+
+    def __init__(self, around: _Named | None, layout: bool):
+        self.around, self.layout, self.holds, self.size, self.off = around, layout, False, 0, False
+
+
+class _Box:
+    """A container: the one around it, its tag, and what lies in it."""
+
+    __slots__ = ("number", "tag", "around", "main", "mass", "own", "chars", "linked", "blocks", "content", "menu", "inside")
+
+    def __init__(self, number: int, tag: str, around: _Box | None):
+        self.number, self.tag, self.around = number, tag, around
+        self.mass = self.own = 0.0  # content in it, and in it directly
+        self.chars = self.linked = self.blocks = 0
+        self.main = self.content = self.menu = self.inside = False
 
 
 class _Node:
-    """An open element: its path from the root, whether it is off, the path of
-    the article or main element that it stands in, and the elements around it
-    that are named by words of layout, with what they hold."""
+    """An open element, linked to nothing but what tells its blocks apart."""
+
+    __slots__ = ("tag", "path", "box", "named", "article", "header", "link", "block", "scope", "cells")
 
-    __slots__ = ("tag", "path", "off", "main", "under", "holds", "size")
+    def __init__(self, tag: str, path: int, box: _Box):
+        self.tag, self.path, self.box = tag, path, box
+        self.named: _Named | None = None
+        self.header = self.link = False
+        self.article = 0  # 1: in an article, 2: in a main element, 3: in both
+        self.block = self.scope = self.cells = 0  # stack places of the block around, and of the scopes for most tags and for cells
 
-    def __init__(self, tag: str, path: tuple[str, ...], off: bool, main: tuple[str, ...], under: tuple[_Node, ...] = ()):
-        self.tag, self.path, self.off, self.main, self.under = tag, path, off, main, under
-        self.holds, self.size = False, 0
 
+@dataclass
+class Block:
+    """A text block: path number, depth, and how much of its path it shares with the block before."""
 
-def _off_words(tag: str, value: str) -> set[str]:
-    """Words of a class, id or role that mark what is not the article."""
-    out: set[str] = set()
-    for name in value.split():
-        parts = _PART.findall(name)
-        beside = next((i for i, w in enumerate(parts) if w in BESIDE), len(parts))
-        words = {w for w in parts[:beside] if w in OFF_WORDS or w.startswith(OFF_STEMS)}
-        if tag in HEADINGS or OWN_HEADER.intersection(parts):
-            words.discard("header")
-        out |= words
-    return out
+    text: str
+    path: int
+    depth: int
+    common: int
+    box: _Box
+    tag: str
+    named: _Named | None
+    article: int
+    linked: int = 0
 
 
-def _open(tag: str, attrs: str, parent: _Node) -> _Node:
-    main, off = False, parent.off
+@dataclass
+class Page:
+    blocks: list[Block] = field(default_factory=list)
+    boxes: list[_Box] = field(default_factory=list)
+    named: list[_Named] = field(default_factory=list)
+
+
+def _names(attrs: str) -> tuple[set[str], str, bool]:
+    """(words of OFF_WORDS that name the element, its role, whether it is hidden)."""
     words: set[str] = set()
-    named: set[str] = set()
-    if attrs:
-        for name, a, b, c in _ATTR.findall(attrs):
-            value = (a or b or c).lower()
-            if name.lower() == "role" and value == "main":
-                main = True
-            elif tag not in ("html", "body"):
-                words.update(_PART.findall(value))
-                named |= _off_words(tag, value)
-    if attrs and _HIDDEN.search(attrs):
-        off = True
-    if tag in MAIN_TAGS:
-        if tag == "article" and words & PART_WORDS:
-            off = True
-        main = True
-    elif tag == "header" and parent.main:  # an article's own header may hold its heading
-        pass
+    role, hidden = "", False
+    for name, a, b, c in _ATTR.findall(attrs):
+        name, value = name.lower(), a or b or c
+        if name == "class":
+            for token in value.split():
+                parts = [w.lower() for w in _PART.findall(token)]
+                named = [w for w in parts if w in OFF_WORDS]
+                if named and all(w in OFF_WORDS or w in NEUTRAL for w in parts):
+                    words.update(named)
+                words.update(w for w in parts if w == "teaser" or w == "teasers")
+        elif name == "role":
+            role = value.strip().lower()
+        elif name == "hidden":
+            hidden = value.lower() != "until-found"
+        elif name == "aria-hidden":
+            hidden = hidden or value.lower() == "true"
+        elif name == "style":
+            hidden = hidden or bool(_UNSEEN.search(value))
+    return words, role, hidden
+
+
+def _evidence(node: _Node, parent: _Node, tag: str, attrs: str, page: Page) -> None:
+    """What kind, class and role of an element say."""
+    node.named, node.article, node.header = parent.named, parent.article, parent.header
+    node.link = parent.link or tag == "a"
+    words, role, hidden = _names(attrs) if attrs and _TELLING.search(attrs) else (set(), "", False)
+    main = tag in MAIN_TAGS or role == "main"
+    strong = weak = False
+    if tag == "header":
+        node.header = parent.article
+        strong = not parent.article
+    elif tag == "form":
+        weak = True
     elif tag in OFF_TAGS:
-        off = True
-    layout = tag not in MAIN_TAGS and named and named <= LAYOUT_WORDS
-    if tag not in MAIN_TAGS and named and not layout:
-        off = True
-    path = (*parent.path, tag)
-    node = _Node(tag, path, off, path if main else parent.main, parent.under)
-    if layout:
-        node.under = (*node.under, node)
-    if main and not off:
-        for x in node.under:
+        strong = True
+    if hidden:
+        strong = True
+    if tag not in ("html", "body"):
+        strong = strong or role in OFF_ROLES
+        if main:
+            strong = strong or bool(words & PART_WORDS)
+        else:
+            words -= {"teaser", "teasers"}
+            if tag in HEADINGS:
+                words.discard("header")
+            strong = strong or bool(words - LAYOUT_WORDS)
+            weak = weak or bool(words)
+    if strong or weak:
+        node.named = _Named(parent.named, not strong)
+        page.named.append(node.named)
+    if main and not strong:
+        node.article |= 1 if tag == "article" else 2
+        node.box.main = node.box is not parent.box
+        x = parent.named
+        while x is not None and not x.holds:
             x.holds = True
-    return node
-
-
-def _settle(blocks: list[tuple[str, _Node]]) -> None:
-    """Elements named by words of layout are off, but for those that hold an
-    article or, on a page without one beside them, most of the sentences."""
-    if not any(n.under for _, n in blocks):
-        return
-    live = [(len(t) if _PUNCT.search(t) else 0, n) for t, n in blocks if not n.off]
-    total = sum(k for k, _ in live)
-    for k, n in live:
-        for x in n.under:
-            x.size += k
-    article = any(n.main and not n.under for _, n in live)
-    for _, n in blocks:
-        n.off = n.off or any(not x.holds and (article or 2 * x.size <= total) for x in n.under)
-
-
-def blocks_of(page: str) -> list[tuple[str, _Node]]:
-    """Text blocks in page order with the element that each stands in."""
-    out: list[tuple[str, _Node]] = []
-    root = _Node("", (), False, ())
-    stack, text = [root], []
+            x = x.around
+
+
+def read(source: str) -> Page:
+    """The page's text blocks in order, its containers and its named elements."""
+    page = Page()
+    first = _Box(0, "", None)
+    page.boxes.append(first)
+    root = _Node("", 0, first)
+    stack = [root]
+    paths: dict[tuple[int, str, _Named | None], int] = {}
+    last_path = 0
+    at_tag: dict[str, list[int]] = {}  # places in the stack, by tag
+    pieces: list[tuple[str, _Node]] = []
+    low = depth = 0  # least depth since the last block, and its depth
     at = 0
 
+    def path_of(around: int, tag: str, named: _Named | None) -> int:
+        """The path of an element that is no container: one for all of a kind, but for those that are named."""
+        nonlocal last_path
+        key = (around, tag, named)
+        if key not in paths:
+            last_path += 1
+            paths[key] = last_path
+        return paths[key]
+
     def flush() -> None:
-        if text:
-            joined = "".join(text)
-            text.clear()
+        nonlocal low, depth
+        if not pieces:
+            return
+        held = list(pieces)
+        pieces.clear()
+        home = stack[stack[-1].block]
+        # text of inline elements belongs to the block around them, unless they are named apart
+        groups: dict[_Named | None, list[tuple[str, _Node]]] = {}
+        for piece in held:
+            groups.setdefault(piece[1].named, []).append(piece)
+        for named, group in groups.items():
+            joined = "".join(t for t, _ in group)
             words = (html.unescape(joined) if "&" in joined else joined).split()
-            if words:
-                # inline elements belong to the block around them
-                k = len(stack) - 1
-                while k and stack[k].tag not in BLOCK:
-                    k -= 1
-                out.append((" ".join(words), _Node(stack[k].tag, stack[k].path, stack[-1].off, stack[-1].main, stack[-1].under)))
-
-    for m in _TOKEN.finditer(page):
+            if not words:
+                continue
+            if home.header and home.tag not in HEADINGS:
+                continue  # an article's own header: its headings only
+            text = " ".join(words)
+            total = sum(len(t) for t, _ in group)
+            linked = sum(len(t) for t, n in group if n.link)
+            here = stack[-1].block
+            path = home.path if named is home.named else path_of(home.path, "", named)
+            page.blocks.append(Block(text, path, here, min(low, depth, here), home.box, home.tag, named, home.article, len(text) * linked // max(1, total)))
+            low = depth = here
+        low = min(low, len(stack) - 1)
+
+    def close(k: int) -> None:
+        nonlocal low
+        for node in stack[k:]:
+            at_tag[node.tag].pop()
+        del stack[k:]
+        low = min(low, k - 1)
+
+    for m in _TOKEN.finditer(source):
         if m.start() > at:
-            text.append(page[at : m.start()])
+            pieces.append((source[at : m.start()], stack[-1]))
         at = m.end()
         tag = m["tag"] or m["tag2"]
         if tag is None:
@@ -183,102 +286,188 @@ def blocks_of(page: str) -> list[tuple[str, _Node]]:
         if m["close"] or m["close2"]:
             if tag in BLOCK:
                 flush()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if tag not in BLOCK and stack[k].tag in BLOCK:
-                    break  # a stray inline end tag closes no block
+            places = at_tag.get(tag)
+            if places and (tag in BLOCK or places[-1] > stack[-1].block):  # a stray inline end tag closes no block
+                close(places[-1])
             continue
         if tag == "br":
-            text.append(" ")
+            pieces.append((" ", stack[-1]))
             continue
         if tag in BLOCK:
             flush()
-            ended = ENDS.get(tag, set()) | {"p"} if tag not in ("html", "body") else set()
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in ended:
-                    del stack[k:]
-                    break
-                if stack[k].tag in SCOPE and not (tag in ("td", "th", "tr") and stack[k].tag in ("td", "th")):
-                    break
+            if tag not in ("html", "body"):
+                bound = stack[-1].cells if tag in CELLS or tag == "tr" else stack[-1].scope
+                ended = [p[-1] for t in ENDS.get(tag, ("p",)) if (p := at_tag.get(t)) and p[-1] > bound]
+                if ended:
+                    close(min(ended))
         attrs = m["attrs"] or m["attrs2"] or ""
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
-        node = _open(tag, attrs, stack[-1])
-        if node.off != stack[-1].off or node.under != stack[-1].under:
-            flush()
+        parent = stack[-1]
+        if tag in CONTAINER:
+            last_path += 1
+            box = _Box(len(page.boxes), tag, parent.box)
+            page.boxes.append(box)
+            node = _Node(tag, last_path, box)
+        else:
+            node = _Node(tag, parent.path, parent.box)
+        _evidence(node, parent, tag, attrs, page)
+        if tag in BLOCK and tag not in CONTAINER:
+            node.path = path_of(parent.path, tag, node.named)
+        k = len(stack)
+        node.block = k if tag in BLOCK else parent.block
+        node.cells = k if tag in SCOPE else parent.cells
+        node.scope = k if tag in SCOPE or tag in CELLS else parent.scope
+        at_tag.setdefault(tag, []).append(k)
         stack.append(node)
-    if at < len(page):
-        text.append(page[at:])
+    if at < len(source):
+        pieces.append((source[at:], stack[-1]))
     flush()
-    _settle(out)
-    return out
+    _settle(page)
+    return page
 
 
-def path_scores(blocks: list[tuple[str, _Node]]) -> dict[tuple[str, ...], float]:
-    """Smoothed, fused ratio of every path: mean length x mean punctuation x spread."""
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for text, node in blocks:
-        s = sums.setdefault(node.path, [0.0, 0.0, 0.0, 0.0])
-        n = len(text)
+def _settle(page: Page) -> None:
+    """Named elements are off; those named by layout are not if they hold an
+    article or, on a page without one beside them, most of the sentences."""
+
+    def sentences(b: Block) -> int:
+        return len(b.text) if _PUNCT.search(b.text) else 0
+
+    for x in page.named:  # made after those around them
+        x.off = not x.layout or x.around is not None and x.around.off
+    total, article = 0, False
+    for b in page.blocks:
+        if b.named is None or not b.named.off:
+            total += sentences(b)
+            article = article or bool(b.article) and b.named is None
+            if b.named is not None:
+                b.named.size += sentences(b)
+    for x in reversed(page.named):
+        if x.around is not None:
+            x.around.size += x.size
+    for x in page.named:
+        x.off = x.off or x.around is not None and x.around.off or not x.holds and (article or 2 * x.size <= total)
+
+
+def path_scores(blocks: list[Block]) -> dict[int, float]:
+    """Score of every path: ratios fused, smoothed along the page, times the evidence."""
+    sums: dict[int, list[float]] = {}
+    for b in blocks:
+        s = sums.setdefault(b.path, [0.0, 0.0, 0.0, 0.0, 0.0])
+        n = len(b.text)
         s[0] += 1
         s[1] += n
-        s[2] += len(_PUNCT.findall(text))
+        s[2] += len(_PUNCT.findall(b.text))
         s[3] += n * n
+        s[4] += b.linked
     fused = {}
-    for path, (k, n, p, q) in sums.items():
+    for path, (k, n, p, q, a) in sums.items():
         spread = math.sqrt(max(0.0, q / k - (n / k) ** 2))
-        fused[path] = (n / k) * (1.0 + p / k) * (1.0 + spread / (1.0 + n / k))
-    smooth: dict[tuple[str, ...], list[float]] = {}
-    for i, (_, node) in enumerate(blocks):
-        total = weight = 0.0
-        for j in range(max(0, i - REACH), min(len(blocks), i + REACH + 1)):
-            other = blocks[j][1].path
-            common = 0
-            for a, b in zip(node.path, other):
-                if a != b:
+        fused[path] = (n / k) * (1.0 + p / k) * (1.0 + spread / (1.0 + n / k)) * (1.0 - 0.9 * a / n)
+    smooth: dict[int, list[float]] = {}
+    for i, b in enumerate(blocks):
+        total, weight = fused[b.path], 1.0
+        for way in (-1, 1):
+            common = b.depth
+            for d in range(1, REACH + 1):
+                j = i + way * d
+                if not 0 <= j < len(blocks):
                     break
-                common += 1
-            w = math.exp(-((i - j) ** 2) / 2.0) * (2.0 * common / (len(node.path) + len(other)) if other or node.path else 1.0)
-            total += w * fused[other]
-            weight += w
-        s = smooth.setdefault(node.path, [0.0, 0.0])
-        s[0] += total / weight
+                common = min(common, blocks[j + 1 if way < 0 else j].common)
+                other = blocks[j]
+                w = math.exp(-d * d / 2.0) * ((2.0 * common / (b.depth + other.depth)) if b.depth + other.depth else 1.0)
+                total += w * fused[other.path]
+                weight += w
+        evidence = ARTICLE ** b.article.bit_count() * (OFF if b.named is not None and b.named.off else 1.0)
+        s = smooth.setdefault(b.path, [0.0, 0.0])
+        s[0] += total / weight * evidence
         s[1] += 1
     return {path: a / k for path, (a, k) in smooth.items()}
 
 
-def _common(paths: list[tuple[str, ...]]) -> tuple[str, ...]:
-    roof = paths[0]
-    for path in paths[1:]:
-        k = 0
-        while k < min(len(roof), len(path)) and roof[k] == path[k]:
-            k += 1
-        roof = roof[:k]
-    return roof
-
-
-def main_text(page: str | None) -> str:
-    """The article's blocks joined by blank lines."""
-    blocks = [(t, n) for t, n in blocks_of(page or "") if not n.off and not ("header" in n.path and n.tag not in HEADINGS)]
-    if not blocks:
-        return ""
-    home = {n.path: n.main for _, n in blocks}
-    scores = path_scores(blocks)
-    if any(home.values()):  # what stands in no article or main element is none of it
-        scores = {path: v for path, v in scores.items() if home[path]}
+def threshold(scores: dict[int, float]) -> float:
     values = list(scores.values())
     mean = sum(values) / len(values)
     spread = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
-    cut = min(THRESHOLD * spread, max(values))
-    chosen = [path for path, v in scores.items() if v >= cut]
-    main = home[max(chosen, key=lambda path: (scores[path], path))]
-    roof = main or _common([path[:-1] for path in chosen])  # the best path's own article, or what the chosen share
-    kept = set(chosen)
-    if not roof or roof[-1] in ("html", "body"):
-        return "\n\n".join(t for t, n in blocks if n.path in kept or n.tag in HEADINGS)
-    return "\n\n".join(t for t, n in blocks if n.path[: len(roof)] == roof)
+    return max(FLOOR, min(THRESHOLD * spread, max(values)))
+
+
+def _weigh(page: Page, scores: dict[int, float], content: set[int]) -> None:
+    """Sums the blocks into their containers, content by its scores."""
+    for b in page.blocks:
+        box, n = b.box, len(b.text)
+        box.chars += n
+        box.linked += b.linked
+        box.blocks += 1
+        if b.path in content:
+            box.own += scores[b.path]
+            box.content = True
+    for box in page.boxes:
+        box.mass = box.own
+    for box in reversed(page.boxes):  # made after those around them
+        up = box.around
+        if up is not None:
+            up.mass += box.mass
+            up.chars += box.chars
+            up.linked += box.linked
+            up.blocks += box.blocks
+            up.content = up.content or box.content
+        box.menu = not box.content and box.chars > 0 and box.linked >= LINKS * box.chars and box.chars < SHORT * box.blocks
+
+
+def _region(page: Page) -> _Box:
+    """The container of the article."""
+    best: dict[int, _Box] = {}  # heaviest container in each container
+    for box in page.boxes:
+        if box.around is not None and (box.around.number not in best or box.mass > best[box.around.number].mass):
+            best[box.around.number] = box
+    here, need = page.boxes[0], DOMINANT
+    while (inner := best.get(here.number)) is not None and (inner.main or not here.main):
+        top = here.tag in ("", "html", "body")
+        if inner.mass < (SURE if inner.tag == "section" else need) * here.mass or here.own > (1 - need) * here.mass * top:
+            break
+        if inner.tag in LISTS and not (inner.tag in LAYOUT and (top or here.tag in LAYOUT)):
+            break
+        if inner.mass < here.mass:
+            need = SURE
+        here = inner
+    return here
+
+
+def select(page: Page, scores: dict[int, float]) -> list[str]:
+    """The article's blocks by the scores of their paths."""
+    if not scores or max(scores.values()) < FLOOR:
+        return []
+    cut = threshold(scores)
+    content = {path for path, v in scores.items() if v >= cut}
+    _weigh(page, scores, content)
+    region = _region(page)
+    for box in page.boxes:
+        box.inside = box is region or box.around is not None and box.around.inside and not box.menu
+    over, up = set(), region.around
+    while up is not None and up.tag not in ("", "html", "body"):
+        over.add(up.number)
+        up = up.around
+    kept = []
+    for b in page.blocks:
+        title = not kept and b.tag == "h1" and b.box.number in over  # stands above the article
+        if (b.box.inside or title) and scores[b.path] >= FLOOR:
+            kept.append(b)
+    if region.tag in ("", "html", "body"):
+        # no container of its own: content, headings, and lists and the like between content
+        at = [i for i, b in enumerate(kept) if b.path in content]
+        kept = [
+            b for i, b in enumerate(kept)
+            if b.path in content or b.tag in HEADINGS or at[0] < i < at[-1] and b.box.around is region and b.box.tag in LISTS and 2 * b.linked < len(b.text)
+        ]
+    return [b.text for b in kept]
+
+
+def main_text(source: str | None) -> str:
+    """The article's blocks joined by blank lines."""
+    page = read(source or "")
+    return "\n\n".join(select(page, path_scores(page.blocks)))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -561,6 +564,113 @@ def test_html_of_any_kind_ends(page):
     assert isinstance(html_extract.main_text(page), str)
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>One <span class='advert'>BUY NOW</span>two, three.</p><button>Share this</button><label>Name</label><p>Four.</p></article>", "One two, three.\n\nFour."),
+        ("<article><p>Before, it said <button>Share this</button>so.</p></article>", "Before, it said so."),
+        ("<article><p title='a hidden valley'>In it, one walks.</p><section id='legal'><p>Of law.</p></section><h2 id='related-work'>Others</h2><p>They too.</p></article>", "In it, one walks.\n\nOf law.\n\nOthers\n\nThey too."),
+        ("<body><div class='post share-enabled'><h1>T</h1><p>Some text, with commas.</p></div><div class='share-buttons'><a>f</a></div>", "T\n\nSome text, with commas."),
+        ("<body><article><p>A long first text, with commas, and a full stop. Then another sentence.</p></article><article class=card><p>Read more here.</p></article>", "A long first text, with commas, and a full stop. Then another sentence."),
+        ("<body><div><a>Home</a> <a>News</a> <a>More</a></div><div><h1>T</h1><p>A text, long, with commas; and more of it.</p><p>Short.</p></div><div><ul><li><a>Popular one</a><li><a>Popular two</a></ul></div>", "T\n\nA text, long, with commas; and more of it.\n\nShort."),
+        ("<main><h1>T</h1><article><p>Text, with commas.</p></article></main>", "T\n\nText, with commas."),
+        ("<body><nav><ul><li>Menu</ul></nav><footer>Foot, with a comma.</footer>", ""),
+        ("<table><tr><td><a>m</a><td><p>Text, with commas, of the page.</p><p>And more, of it.</p></table>", "Text, with commas, of the page.\n\nAnd more, of it."),
+        ("<article><p>One, two.</p></article><section class='comment-list'><p>A reader's comment, longer, with many commas, and more. And more.</p></section>", "One, two."),
+        ("<article hidden><p>No.</p></article><article><p>Yes.</p></article>", "Yes."),
+    ],
+)
+def test_html_ratios_and_names(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def _unmarked(seed):
+    """A page that names nothing, and its article: only the ratios tell them apart."""
+    rng = random.Random(seed)
+    sentence = lambda: " ".join(rng.choice("one two three four five six seven".split()) for _ in range(rng.randint(5, 14))) + rng.choice([".", ", and so on.", "; no?"])
+    parts = ["Title of it", *[" ".join(sentence() for _ in range(rng.randint(2, 6))) for _ in range(rng.randint(3, 8))], "Short."]
+    links = "".join(f"<li><a href=x>{rng.choice(['Home', 'News', 'About us', 'Sign'])}</a>" for _ in range(rng.randint(3, 9)))
+    article = f"<div><h1>{parts[0]}</h1>" + "".join(f"<p>{x}</p>" for x in parts[1:]) + "</div>"
+    around = [f"<div><ul>{links}</ul></div>", f"<div>Buy {rng.randint(1, 9)} now</div>"]
+    pages = [around[0], article, around[1]] if rng.random() < 0.5 else [*around, article]
+    return "<html><body>" + "".join(pages) + "</body></html>", "\n\n".join(parts)
+
+
+def test_html_ratios_decide():
+    """Other scores give other texts: nothing but the ratios finds the article here."""
+    const = inverse = 0
+    for seed in range(40):
+        source, text = _unmarked(seed)
+        assert html_extract.main_text(source) == text, seed
+        page = html_extract.read(source)
+        scores = html_extract.path_scores(page.blocks)
+        const += "\n\n".join(html_extract.select(html_extract.read(source), dict.fromkeys(scores, 1.0))) != text
+        inverse += "\n\n".join(html_extract.select(html_extract.read(source), {p: 1 / v for p, v in scores.items()})) != text
+    assert const == inverse == 40
+
+
+class _Naive(HTMLParser):
+    """Blocks with their whole paths spelled out, by kind and by element, for pages of closed elements without names."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.blocks, self.n = [], [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.n += 1
+        self.stack.append((tag, self.n))
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        if data.split():
+            elements = tuple(x for x in self.stack if x[0] != "a")
+            kinds = tuple(x if x[0] in html_extract.CONTAINER else x[0] for x in elements)
+            self.blocks.append((" ".join(data.split()), kinds, elements, len(data) if len(elements) < len(self.stack) else 0))
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_html_scores_by_brute_force(seed):
+    source = _unmarked(seed)[0].replace("<li><a", "</li><li><a").replace("<ul></li>", "<ul>").replace("</ul>", "</li></ul>")
+    naive = _Naive()
+    naive.feed(source)
+    blocks = naive.blocks
+
+    def fused(path):
+        own = [(b[0], b[3]) for b in blocks if b[1] == path]
+        sizes = [len(t) for t, _ in own]
+        mean = sum(sizes) / len(own)
+        marks = sum(sum(t.count(c) for c in ".,;:!?") for t, _ in own) / len(own)
+        deviation = math.sqrt(sum((x - mean) ** 2 for x in sizes) / len(own))
+        return mean * (1 + marks) * (1 + deviation / (1 + mean)) * (1 - 0.9 * sum(a for _, a in own) / sum(sizes))
+
+    want = {}
+    for path in {b[1] for b in blocks}:
+        smooth = []
+        for i in [i for i, b in enumerate(blocks) if b[1] == path]:
+            total = weight = 0.0
+            for j in range(max(0, i - 2), min(len(blocks), i + 3)):
+                a, b = blocks[i][2], blocks[j][2]
+                shared = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+                w = math.exp(-((i - j) ** 2) / 2) * 2 * shared / (len(a) + len(b))
+                total, weight = total + w * fused(blocks[j][1]), weight + w
+            smooth.append(total / weight)
+        want[path] = sum(smooth) / len(smooth)
+    page = html_extract.read(source)
+    got = html_extract.path_scores(page.blocks)
+    assert [b.text for b in page.blocks] == [b[0] for b in blocks]
+    for b, (_, path, _, _) in zip(page.blocks, blocks):
+        assert got[b.path] == pytest.approx(want[path], rel=1e-9)
+
+
+@pytest.mark.parametrize("page", ["".join(f"<div>t{i}" for i in range(20_000)), "<b>" * 20_000 + "x" + "</i>" * 20_000, "<div class=ad>" * 20_000 + "x", "<ul><li>" * 20_000 + "x</li>" * 20_000, "<p>" + "<b>" * 20_000 + "x" + "</p>" * 20_000])
+def test_html_is_linear_in_nesting(page):
+    began = time.perf_counter()
+    html_extract.main_text(page)
+    assert time.perf_counter() - began < 5
+
+
 def test_html_odd(spark):
     rows = [(None, None, None), (1, "u", ""), (1, "u", "<p>x"), (1, "u", "<p>x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))

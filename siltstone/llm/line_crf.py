@@ -6,14 +6,27 @@ follows which, and Viterbi decoding finds the best sequence.  A document is kept
 if at least SHARE of the characters in its labelled lines is content.
 
 The field is trained here, by gradient ascent on the likelihood, on the lines
-of a bounded sample of labelled documents (SAMPLE_DOCS, texts up to
-SAMPLE_CHARS, none whose crc32(doc_id) mod 4 is 2): lines of good documents
-count as content and lines of bad ones as boilerplate.
+of a bounded sample of rows of labelled documents (SAMPLE_DOCS, texts up to
+SAMPLE_CHARS, none whose crc32(doc_id) mod 4 is 2).  Documents are labelled as
+wholes, lines are not, so line labels are derived (``line_labels``):
+
+- in a good document, lines that repeat an earlier one, rows of cells and lines
+  of site words are boilerplate, the rest is content;
+- in a bad one, lines that a logistic model of single lines (fitted on the
+  documents' labels) takes for content with SURE probability are content, the
+  rest is boilerplate, unless that leaves none;
+- good documents of the sample serve once more with boilerplate planted in
+  them: lines of bad documents and stock lines of site words.
+
+So sequences hold both labels, and the moves between them are learned.
 
 Beside it stand plain counts of words, symbols, repeated lines and repeated
 three-word windows, and a base rule on them: short texts and texts made of
 repeats fail whatever their lines say.
 
+The sample is bounded by rows, so a document id that is repeated does not make
+it larger.
+
 Nulls, ties and odd input: a null or empty text has no words, fails the base
 rule and is not kept; of equal scores Viterbi takes content; without labels of
 both kinds every line is content; a null doc_id stays; repeated rows give
@@ -38,6 +51,19 @@ HELD_OUT = 2
 STEPS, RATE, L2 = 200, 0.3, 1e-3
 #: Longer texts are trained on in stretches of so many lines.
 STRETCH = 64
+#: Least probability at which a line of a bad document counts as content.
+SURE = 0.6
+#: Lines longer than this are no stock lines.
+STOCK_WORDS = 30
+#: Words of menus, notices and footers.
+SITE_WORDS = frozenset(
+    "about accept account advertisement archive arrow blog browse cart categories category click comments contact continue cookie cookies copyright "
+    "disclaimer download email facebook faq feedback follow forum home imprint instagram javascript jobs linkedin login logout menu more navigation "
+    "newsletter next page pinterest policy powered previous print privacy register reply reserved rights rss search settings share shop sign "
+    "sitemap skip sponsored subscribe tags terms tweet twitter us youtube ©".split()
+)
+#: Stock lines for planting: each is filled with site words.
+STOCK = ("{} | {} | {} | {}", "{} {} {}", "{}", "{} » {} » {}", "Copyright © {} {}. All rights reserved.", "{} to our {}!", "{} this {}", "{} / {} / {}", "We use cookies. {} or {}.", "{} · {} · {}", "Click {} to {} {}")
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _WHITE = " \t\n\x0b\x0c\r"
@@ -46,7 +72,7 @@ SYMBOLS = "#*$%&|<>"
 #: names of the features, in order
 FEATURES = (
     "one", "few words", "words", "word length", "symbols", "upper case", "digits", "marks", "repeated words", "same words on",
-    "same as earlier", "ends a sentence", "starts upper case", "cells",
+    "same as earlier", "ends a sentence", "starts upper case", "cells", "site words",
 )
 
 
@@ -72,6 +98,7 @@ def line_features(line: str, words: list[str], seen: bool) -> list[float]:
         float(line.rstrip()[-1:] in ".!?…\"'»"),
         float(line.lstrip()[:1].isupper()),
         min(1.0, 2.0 * (line.count("|") + line.count("»") + line.count("•") + line.count("·")) / n),
+        min(1.0, 2.0 * sum(w.strip(".,:;!?()").lower() in SITE_WORDS for w in words) / n) if n <= STOCK_WORDS else 0.0,
     ]
 
 
@@ -136,70 +163,155 @@ class Field:
         return np.array(out[::-1], dtype=bool)
 
 
-def train(sequences: list[tuple[np.ndarray, int]], prior: float = 0.5) -> Field | None:
-    """sequences: (features of the lines, label of all of them); prior: the share
-    of content."""
-    if len({y for _, y in sequences}) < 2:
+def _padded(sequences: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, labels, mask) of sequences of different lengths."""
+    longest, n = max(len(x) for x, _ in sequences), len(sequences)
+    X = np.zeros((n, longest, sequences[0][0].shape[1]))
+    Y = np.zeros((n, longest), dtype=np.int64)
+    for i, (x, y) in enumerate(sequences):
+        X[i, : len(x)], Y[i, : len(y)] = x, y
+    return X, Y, np.arange(longest) < np.array([len(x) for x, _ in sequences])[:, None]
+
+
+def likelihood(w: np.ndarray, moves: np.ndarray, X: np.ndarray, Y: np.ndarray, mask: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weighted log-likelihood of the labels, and its gradient in (w, moves)."""
+    longest = X.shape[1]
+    both = mask[:, 1:] & mask[:, :-1]
+    e = X @ w
+    E = np.stack([np.zeros_like(e), e], axis=2)
+    A, B = np.zeros_like(E), np.zeros_like(E)
+    A[:, 0] = E[:, 0]
+    for t in range(1, longest):
+        A[:, t] = np.where(mask[:, t, None], E[:, t] + np.logaddexp(A[:, t - 1, :1] + moves[0], A[:, t - 1, 1:] + moves[1]), A[:, t - 1])
+    Z = np.logaddexp(A[:, -1, 0], A[:, -1, 1])
+    for t in range(longest - 2, -1, -1):
+        nxt = B[:, t + 1] + E[:, t + 1]
+        back = np.stack([np.logaddexp(moves[j, 0] + nxt[:, 0], moves[j, 1] + nxt[:, 1]) for j in (0, 1)], axis=1)
+        B[:, t] = np.where(mask[:, t + 1, None], back, 0.0)
+    p1 = np.exp(A[:, :, 1] + B[:, :, 1] - Z[:, None]) * mask
+    score = ((Y == 1) * mask * e).sum(axis=1)
+    g_m = np.zeros((2, 2))
+    for a in (0, 1):
+        for b in (0, 1):
+            seen = (Y[:, :-1] == a) & (Y[:, 1:] == b) & both
+            p = np.exp(A[:, :-1, a] + moves[a, b] + (E + B)[:, 1:, b] - Z[:, None]) * both
+            score += seen.sum(axis=1) * moves[a, b]
+            g_m[a, b] = ((seen - p).sum(axis=1) * weight).sum()
+    g_w = np.einsum("nt,ntk->k", ((Y == 1) * mask - p1) * weight[:, None], X)
+    return float(((score - Z) * weight).sum()), np.concatenate([g_w, g_m.ravel()])
+
+
+def train(sequences: list[tuple[np.ndarray, np.ndarray, int]], prior: float = 0.5) -> Field | None:
+    """sequences: (features of the lines, their labels, label of the document);
+    prior: the share of good documents."""
+    cut = [(x[i : i + STRETCH], y[i : i + STRETCH], q) for x, y, q in sequences for i in range(0, len(x), STRETCH)]
+    if len({int(v) for _, y, _ in cut for v in y}) < 2:
         return None
-    cut = [(x[i : i + STRETCH], y) for x, y in sequences for i in range(0, len(x), STRETCH)]
-    longest, n, k = max(len(x) for x, _ in cut), len(cut), len(FEATURES)
-    X = np.zeros((n, longest, k))
-    length = np.array([len(x) for x, _ in cut])
-    Y = np.array([y for _, y in cut])
-    for i, (x, _) in enumerate(cut):
-        X[i, : len(x)] = x
-    mask = np.arange(longest) < length[:, None]
     # the sample has as many documents of either kind; each counts as often as its kind stands in the corpus
-    lines = mask.sum(axis=1)
-    weight = np.where(Y == 1, prior / max(1, lines[Y == 1].sum()), (1 - prior) / max(1, lines[Y == 0].sum()))
-    w, moves = np.zeros(k), np.zeros((2, 2))
-    m = [np.zeros(k + 4), np.zeros(k + 4)]
-    both = mask[:, 1:] & mask[:, :-1]
+    lines = [sum(len(x) for x, _, q in cut if q == kind) for kind in (0, 1)]
+    each = [(1 - prior) / max(1, lines[0]), prior / max(1, lines[1])]
+    groups: dict[int, list] = {}
+    for x, y, q in cut:  # sequences of about one length are padded together
+        groups.setdefault(max(0, len(x) - 1).bit_length(), []).append((x, y, q))
+    parts = [(*_padded([(x, y) for x, y, _ in g]), np.array([each[q] for _, _, q in g])) for g in groups.values()]
+    k = cut[0][0].shape[1]
+    at, m = np.zeros(k + 4), [np.zeros(k + 4), np.zeros(k + 4)]
     for step in range(1, STEPS + 1):
-        e = X @ w
-        E = np.stack([np.zeros_like(e), e], axis=2)
-        A = np.zeros_like(E)
-        Bk = np.zeros_like(E)
-        A[:, 0] = E[:, 0]
-        for t in range(1, longest):
-            A[:, t] = np.where(mask[:, t, None], E[:, t] + np.logaddexp(A[:, t - 1, :1] + moves[0], A[:, t - 1, 1:] + moves[1]), A[:, t - 1])
-        Z = np.logaddexp(A[:, -1, 0], A[:, -1, 1])
-        for t in range(longest - 2, -1, -1):
-            nxt = Bk[:, t + 1] + E[:, t + 1]
-            step_back = np.stack([np.logaddexp(moves[j, 0] + nxt[:, 0], moves[j, 1] + nxt[:, 1]) for j in (0, 1)], axis=1)
-            Bk[:, t] = np.where(mask[:, t + 1, None], step_back, 0.0)
-        p1 = np.exp(A[:, :, 1] + Bk[:, :, 1] - Z[:, None]) * mask
-        g_w = np.einsum("nt,ntk->k", (Y[:, None] * mask - p1) * weight[:, None], X) - L2 * w
-        g_m = np.zeros((2, 2))
-        if longest > 1:
-            for a in (0, 1):
-                for b in (0, 1):
-                    p = np.exp(A[:, :-1, a] + moves[a, b] + (E + Bk)[:, 1:, b] - Z[:, None]) * both
-                    g_m[a, b] = ((((Y == a) & (Y == b))[:, None] * both - p) * weight[:, None]).sum()
-        g = np.concatenate([g_w, (g_m - L2 * moves).ravel()])
+        w, moves = at[:k], at[k:].reshape(2, 2)
+        g = sum(likelihood(w, moves, *part)[1] for part in parts) - L2 * at
         m[0] = 0.9 * m[0] + 0.1 * g
         m[1] = 0.999 * m[1] + 0.001 * g * g
-        move = RATE * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
-        w, moves = w + move[:k], moves + move[k:].reshape(2, 2)
-    return Field(w, moves)
+        at = at + RATE * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
+    return Field(at[:k], at[k:].reshape(2, 2))
+
+
+def _logistic(X: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of a logistic model by Newton's method with a ridge."""
+    w = np.zeros(X.shape[1])
+    for _ in range(25):
+        p = 1.0 / (1.0 + np.exp(-np.clip(X @ w, -30, 30)))
+        h = (X * (weight * p * (1 - p))[:, None]).T @ X + 1e-3 * np.eye(len(w))
+        w = w + np.linalg.solve(h, X.T @ (weight * (y - p)) - 1e-3 * w)
+    return w
+
+
+_REPEATED, _CELLS, _SITE = FEATURES.index("same as earlier"), FEATURES.index("cells"), FEATURES.index("site words")
+
+
+def line_labels(docs: list[tuple[np.ndarray, int]]) -> list[np.ndarray]:
+    """Derived labels (1 content) of the lines of documents (features, label)."""
+    X = np.concatenate([x for x, _ in docs])
+    y = np.concatenate([np.full(len(x), q) for x, q in docs])
+    each = np.concatenate([np.full(len(x), 1.0 / len(x)) for x, _ in docs])  # every document counts alike
+    weight = each * np.where(y == 1, 1.0 / max(1, sum(q == 1 for _, q in docs)), 1.0 / max(1, sum(q == 0 for _, q in docs))) * len(docs)
+    w = _logistic(X, y, weight)
+    out = []
+    for x, q in docs:
+        marked = (x[:, _REPEATED] == 1) | (x[:, _CELLS] >= 0.5) | (x[:, _SITE] >= 0.9)
+        if q == 1:
+            out.append((~marked).astype(np.int64))
+            continue
+        content = (1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30))) >= SURE) & ~marked
+        out.append((content if not content.all() else np.zeros(len(x))).astype(np.int64))
+    return out
+
+
+def stock_line(rng: np.random.Generator) -> str:
+    words = sorted(SITE_WORDS)
+    form = STOCK[int(rng.integers(len(STOCK)))]
+    return form.format(*[words[int(rng.integers(len(words)))].capitalize() for _ in range(form.count("{}"))])
+
+
+def planted(text: str, others: list[str], rng: np.random.Generator) -> tuple[str, list[bool]]:
+    """The text with runs of boilerplate lines among its lines (others: lines to
+    plant beside stock lines), and which lines those are."""
+    lines, out = [x for x in text.split("\n") if x.strip(_WHITE)], []
+    places = set(rng.integers(0, len(lines) + 1, size=int(rng.integers(1, 4))).tolist())
+    for i in range(len(lines) + 1):
+        if i in places:
+            for _ in range(int(rng.integers(1, 5))):
+                other = others and rng.random() < 0.3
+                out.append((others[int(rng.integers(len(others)))] if other else stock_line(rng), True))
+        if i < len(lines):
+            out.append((lines[i], False))
+    return "\n".join(x for x, _ in out), [p for _, p in out]
+
+
+def sequences_of(rows: list[tuple[str | None, int]], seed: int = 7) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Training sequences of documents (text, label): their own lines and, of
+    good ones, a second form with boilerplate planted."""
+    docs = [(text, q, np.array(feats)) for text, q in rows if (feats := described(text)[1])]
+    if not docs:
+        return []
+    labels = line_labels([(x, q) for _, q, x in docs])
+    out = [(x, y, q) for (_, q, x), y in zip(docs, labels)]
+    others = sorted({line for text, q, _ in docs if q == 0 for line in text.split("\n") if 1 <= len(_WORD.findall(line)) <= STOCK_WORDS and not _ordinary(line)})
+    rng = np.random.default_rng(seed)
+    for (text, q, _), y in zip(docs, labels):
+        if q == 1:
+            whole, marks = planted(text, others, rng)
+            feats, own = np.array(described(whole)[1]), iter(y.tolist())
+            out.append((feats, np.array([0 if m else next(own) for m in marks]), 1))
+    return out
+
+
+def _ordinary(line: str) -> bool:
+    """Whether a line has no symbols, cells, marks or shouting."""
+    f = line_features(line, _WORD.findall(line), False)
+    return f[FEATURES.index("symbols")] < 0.05 and f[_CELLS] < 0.2 and f[FEATURES.index("upper case")] < 0.5 and f[FEATURES.index("same words on")] < 0.3
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field | None:
-    """Trains on a bounded sample of labelled documents; None without both kinds."""
+    """Trains on a bounded sample of rows of labelled documents; None without both kinds of line."""
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 4 != HELD_OUT)
     kinds = [known.where(f"quality = {q}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs // 2) for q in (0, 1)]
     sample = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(kinds[0].union(kinds[1])), "doc_id")
-
-    def lines(batches):
-        for b in batches:
-            rows = [described(t)[1] for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["quality"].cast(pa.int32()), pa.array(rows, pa.list_(pa.list_(pa.float64())))], names=["doc_id", "quality", "lines"])
-
-    got = sample.mapInArrow(lines, "doc_id long, quality int, lines array<array<double>>").collect()
-    got.sort(key=lambda r: (r["doc_id"], str(r["lines"])))
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(sample_docs)
+    rows = [(r["text"], int(r["quality"] == 1)) for r in sample.collect()]
     shares = known.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-    return train([(np.array(r["lines"]), int(r["quality"])) for r in got if r["lines"]], shares or 0.5)
+    sequences = sequences_of(rows)
+    return train(sequences, shares or 0.5) if sequences and len({q for _, q in rows}) == 2 else None
 
 
 SCHEMA = (

@@ -404,6 +404,65 @@ def test_viterbi_by_brute_force():
         assert tuple(line_crf.Field(np.zeros(1), moves).decode(e).astype(int)) == best
 
 
+def test_likelihood_by_brute_force_and_its_gradient():
+    """The value against all labellings, the gradient against differences."""
+    rng = np.random.default_rng(5)
+    sequences = [(rng.normal(size=(n, 3)), rng.integers(0, 2, size=n)) for n in (1, 2, 5, 4)]
+    X, Y, mask = line_crf._padded(sequences)
+    weight, at = rng.random(4), rng.normal(size=7)
+
+    def value(v):
+        return line_crf.likelihood(v[:3], v[3:].reshape(2, 2), X, Y, mask, weight)
+
+    def log_p(x, y):
+        score = lambda z: sum(float(x[i] @ at[:3]) * z[i] for i in range(len(z))) + sum(at[3:].reshape(2, 2)[a, b] for a, b in zip(z, z[1:]))
+        every = [tuple(k >> i & 1 for i in range(len(y))) for k in range(2 ** len(y))]
+        return score(y) - math.log(sum(math.exp(score(z)) for z in every))
+
+    got, gradient = value(at)
+    assert got == pytest.approx(sum(w * log_p(x, y.tolist()) for w, (x, y) in zip(weight, sequences)))
+    for i in range(7):
+        step = np.eye(7)[i] * 1e-5
+        assert gradient[i] == pytest.approx((value(at + step)[0] - value(at - step)[0]) / 2e-5, abs=1e-6)
+
+
+def _labelled_texts():
+    spark_free = pytest.importorskip("duckdb").connect()
+    return spark_free.execute("SELECT doc_id, text, quality FROM '/root/testdata/sf0.1/documents.parquet' JOIN '/root/testdata/sf0.1/labels.parquet' USING (doc_id) WHERE quality IS NOT NULL ORDER BY doc_id").fetchall()
+
+
+def test_lines_planted_in_good_documents_are_marked():
+    """Both labels occur within documents, in training and in what is decoded."""
+    rows = [(i, t, q) for i, t, q in _labelled_texts() if t and len(t) <= 20_000]
+    train = [(t, q) for i, t, q in rows if not line_crf.held_out(i)]
+    train = [r for r in train if r[1] == 1][:500] + [r for r in train if r[1] == 0][:300]
+    sequences = line_crf.sequences_of(train)
+    assert sum(0 < y.mean() < 1 for _, y, q in sequences if q == 1) > 300 and any(0 < y.mean() < 1 for _, y, q in sequences if q == 0)
+    field, rng = line_crf.train(sequences, 0.85), np.random.default_rng(11)
+    found = total = wrong = own = mixed = several = 0
+    for _, text, _ in [r for r in rows if line_crf.held_out(r[0]) and r[2] == 1]:
+        whole, marks = line_crf.planted(text, [], rng)
+        labels = field.decode(np.array(line_crf.described(whole)[1]) @ field.weights)
+        marks = np.array(marks)
+        found, total = found + (~labels[marks]).sum(), total + marks.sum()
+        wrong, own = wrong + (~labels[~marks]).sum(), own + (~marks).sum()
+        mixed, several = mixed + (0 < labels.mean() < 1), several + 1
+    assert found / total > 0.95 and wrong / own < 0.02 and mixed / several > 0.9
+
+
+def test_repeated_ids_do_not_enlarge_the_sample(spark):
+    rows = [(1, f"Some words, in a line.\nAnd {i} more of them.") for i in range(50)] + [(2, "A | B | C | D")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    seen = []
+    kept, line_crf.sequences_of = line_crf.sequences_of, lambda r: seen.append(len(r)) or []
+    try:
+        line_crf.fit(docs, labels, 10)
+    finally:
+        line_crf.sequences_of = kept
+    assert seen == [10]
+
+
 def test_line_labels_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     got = QUERIES["op6_line_crf"](spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("not base_failed")

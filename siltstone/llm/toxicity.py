@@ -1,33 +1,40 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are lower-cased words and their first 4, 5 and 6 characters.  Those that
-depend on the label by the chi-square test are kept (CHI2 and PHI2, at most
-TERMS); the
-weight of a term is (1 + log tf) * idf, with idf counted over all documents.
-
-The examples are a bounded sample of labelled rows (EXAMPLES, half of either
-label where there are enough; rows whose crc32(doc_id) mod 4 is 2 are never
-used).  They are held in an inverted index whose postings are cut into blocks
-of BLOCK examples with each term's largest weight per block.  A query bounds
-every block by these maxima, visits blocks from the largest bound down, and
-stops at the first block that cannot beat the K-th best cosine, so the K
-nearest are exact.
+Terms are lower-cased words and their first 4 and 6 characters.  The vocabulary
+holds the TERMS terms of largest document frequency among the examples, those in
+fewer than LEAST_DOCS or more than MOST of them aside, and all that stand out in
+toxic ones (chi-square of CHI2 at least).  A term's weight is (1 + log tf) * idf *
+relevance: idf counts all documents, and relevance is chi2 / (chi2 + CHI2) + BASE
+for terms that are commoner in toxic examples, BASE for the others, so that
+insults outweigh the topic but every known word counts.
+
+The examples are a bounded sample of rows of labelled documents (EXAMPLES, half
+of either label where there are enough; rows whose crc32(doc_id) mod 4 is 2 are
+never used).  They are held in an inverted index whose postings are cut into
+blocks of BLOCK examples with each term's largest weight per block.  A query
+bounds every block by these maxima, visits blocks from the largest bound down, in
+growing steps, and stops where no block can reach the K-th best cosine, so the
+nearest are exact.  All examples that share the K-th cosine count.
 
 Neighbours vote with weights that fall with their distance.  The raw vote is
 calibrated: the examples are scored with themselves left out, reweighted to the
 label's share among all labelled rows, and an isotonic fit maps votes to
-probabilities.  A text without any kept term gets the share of such examples.
+probabilities.  A text without any known term gets the share of such examples.
 The neighbours are returned as evidence.
 
+Which rows are held out, and which are examples where there are more labelled rows
+than EXAMPLES, depends on doc_id; a score does not.
+
 Nulls, ties and odd input: null and empty texts have no terms; a null doc_id
-is never held out; equal cosines are ordered by the example's number; rows that
-repeat are scored alike; contradicting labels of a document count as toxic;
-without labelled rows every score is 0; an empty table gives an empty result;
-further columns are not read.
+is never held out; equal cosines all count, in order of the examples' contents;
+rows that repeat are scored alike; contradicting labels of a document count as
+toxic; without labelled rows every score is 0; an empty table gives an empty
+result; further columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -38,12 +45,12 @@ from pyspark.sql import functions as F
 
 from siltstone.session import durable
 
-EXAMPLES = 8_192
-TERMS = 2_048
-#: Least chi-square of a term, and least share of it per example (phi squared).
-CHI2, PHI2 = 30.0, 0.012
-LEAST_DOCS = 3
-PREFIXES = (4, 5, 6)
+EXAMPLES = 4_096
+TERMS = 10_000
+LEAST_DOCS, MOST = 3, 0.1
+#: Chi-square at which a term has half of the full relevance, and the relevance of all others.
+CHI2, BASE = 30.0, 0.05
+PREFIXES = (4, 6)
 BLOCK = 64
 K = 15
 HELD_OUT = 2
@@ -67,67 +74,99 @@ class Vocabulary:
         self.index = {t: i for i, t in enumerate(terms)}
         self.cache: dict[str, tuple[int, ...]] = {}
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(terms of a text in order, their counts)."""
         if not self.index or not text:
-            return out
+            return np.zeros(0, np.int64), np.zeros(0)
         if len(self.cache) > self.CACHE:
             self.cache.clear()
         cache, index = self.cache, self.index
+        ids: list[int] = []
+        times: list[int] = []
         for word, n in Counter(_WORD.findall(text.lower())).items():
-            ids = cache.get(word)
-            if ids is None:
-                ids = cache[word] = tuple(index[t] for t in terms_of(word) if t in index)
-            for i in ids:
-                out[i] = out.get(i, 0) + n
-        return out
+            known = cache.get(word)
+            if known is None:
+                known = cache[word] = tuple(index[t] for t in terms_of(word) if t in index)
+            for i in known:
+                ids.append(i)
+                times.append(n)
+        terms, at = np.unique(np.array(ids, dtype=np.int64), return_inverse=True)
+        return terms, np.bincount(at, weights=times, minlength=len(terms)) if ids else np.zeros(0)
+
+
+def vector(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weights of unit length; ``weight`` is idf times relevance of every term."""
+    w = (1.0 + np.log(counts)) * weight[terms]
+    return w / np.sqrt((w * w).sum()) if len(w) else w
 
 
-def vector(counts: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(terms, weights) of unit length, terms in order."""
-    if not counts:
-        return np.zeros(0, np.int64), np.zeros(0)
-    t = np.array(sorted(counts), dtype=np.int64)
-    w = (1.0 + np.log(np.array([counts[i] for i in t.tolist()], dtype=np.float64))) * idf[t]
-    return t, w / np.sqrt((w * w).sum())
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All numbers of the half-open ranges, one range after the other."""
+    size = last - first
+    end = np.cumsum(size)
+    return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(first - (end - size), size)
 
 
 class BlockMaxIndex:
-    """Postings by term, cut into blocks of examples, with block maxima."""
+    """Postings by term, cut into blocks of examples, with block maxima.
+
+    An entry is one term's postings in one block: ``entry_first`` gives a term's
+    entries, ``first`` an entry's postings."""
+
+    STEP = 4  # blocks of the first visit; each next one takes twice as many
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         self.n, self.block = len(vectors), block
         self.blocks = max(1, -(-self.n // block))
-        sizes = [len(t) for t, _ in vectors]
-        doc = np.repeat(np.arange(self.n), sizes)
+        doc = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors]).astype(np.int64)
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
         order = np.lexsort((doc, term))
-        self.doc, self.weight = doc[order], weight[order]
-        key = term[order] * self.blocks + self.doc // block
-        self.first = np.searchsorted(key, np.arange(n_terms * self.blocks + 1))
-        self.maxima = np.zeros((n_terms, self.blocks))
-        np.maximum.at(self.maxima, (key // self.blocks, key % self.blocks), self.weight)
+        doc, self.weight = doc[order], weight[order]
+        key = term[order] * self.blocks + doc // block
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.doc = doc.astype(np.int32)
+        self.first = np.append(begin, len(key))
+        self.entry_block = (key[begin] % self.blocks).astype(np.int32)
+        self.entry_max = np.maximum.reduceat(self.weight, begin) if len(begin) else np.zeros(0)
+        self.entry_first = np.searchsorted(key[begin] // self.blocks, np.arange(n_terms + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest cosine (over 0), best first, ties by number."""
+        """The examples whose cosine is over 0 and no less than the k-th largest,
+        best first, ties by number."""
         if not len(terms):
             return []
-        bounds = weights @ self.maxima[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
+        a, b = self.entry_first[terms], self.entry_first[terms + 1]
+        entry = _ranges(a, b)
+        own = np.repeat(weights, b - a)
+        at = self.entry_block[entry]
+        bounds = np.bincount(at, weights=own * self.entry_max[entry], minlength=self.blocks)
+        order = np.argsort(-bounds, kind="stable")
+        seen, step = 0, self.STEP
+        ids, cosines = np.zeros(0, np.int64), np.zeros(0)
+        while seen < len(order):
+            visit = order[seen : seen + step]
+            kth = cosines[k - 1] if len(cosines) >= k else 0.0
             # sums in another order may differ in the last digits
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-9:
+            visit = visit[(bounds[visit] > 0) & (bounds[visit] >= kth - 1e-9)]
+            if not len(visit):
                 break
-            score = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                x, y = self.first[t * self.blocks + b], self.first[t * self.blocks + b + 1]
-                if y > x:
-                    score[self.doc[x:y] - b * self.block] += w * self.weight[x:y]
-            found = np.flatnonzero(score > 0)
-            best += [(-round(float(score[i]), 12), int(i) + b * self.block) for i in found if int(i) + b * self.block != without]
-            best = sorted(best)[:k]
-        return [(-s, i) for s, i in best]
+            chosen = np.zeros(self.blocks, dtype=bool)
+            chosen[visit] = True
+            some = chosen[at]
+            x, y = self.first[entry[some]], self.first[entry[some] + 1]
+            post = _ranges(x, y)
+            sums = np.bincount(self.doc[post], weights=np.repeat(own[some], y - x) * self.weight[post], minlength=self.n)
+            found = np.flatnonzero(sums)
+            found = found[found != without]
+            ids, cosines = np.concatenate([ids, found]), np.concatenate([cosines, np.round(sums[found], 12)])
+            best = np.lexsort((ids, -cosines))
+            ids, cosines = ids[best], cosines[best]
+            if len(ids) > k:
+                last = int(np.searchsorted(-cosines, -cosines[k - 1], "right"))
+                ids, cosines = ids[:last], cosines[:last]
+            seen, step = seen + step, step * 2
+        return list(zip(cosines.tolist(), ids.tolist()))
 
 
 def vote(neighbours: list[tuple[float, int]], labels: np.ndarray, k: int) -> float:
@@ -154,12 +193,14 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 class Model:
     """Examples, index and calibration; sent to the executors as a whole."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], share: float, k: int = K):
-        self.terms, self.idf, self.k = terms, idf, k
-        vectors = [vector(c, idf) for _, _, c in examples]
-        # examples with the same heaviest term stand together, which makes the block maxima tight
+    def __init__(self, terms: list[str], weight: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], share: float, k: int = K):
+        """examples: (doc_id, label, terms, counts); weight: idf times relevance."""
+        self.terms, self.weight, self.k = terms, weight, k
+        vectors = [(t, vector(t, c, weight)) for _, _, t, c in examples]
+        # examples with the same heaviest term stand together, which makes the block maxima tight;
+        # among them the order is that of their contents
         lead = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
-        order = sorted(range(len(examples)), key=lambda i: (lead[i], examples[i][0]))
+        order = sorted(range(len(examples)), key=lambda i: (lead[i], vectors[i][0].tobytes(), vectors[i][1].tobytes(), examples[i][1]))
         vectors = [vectors[i] for i in order]
         self.ids = [examples[i][0] for i in order]
         self.labels = np.array([examples[i][1] for i in order], dtype=np.float64)
@@ -167,7 +208,7 @@ class Model:
         positive = self.labels.mean() if len(order) else 0.0
         up = share / positive if positive else 0.0
         down = (1 - share) / (1 - positive) if positive < 1 else 0.0
-        weight = np.where(self.labels == 1, up, down)
+        own = np.where(self.labels == 1, up, down)
         votes, at = [], []
         for i, (t, w) in enumerate(vectors):
             found = self.index.nearest(t, w, k, without=i)
@@ -175,26 +216,26 @@ class Model:
                 votes.append(vote(found, self.labels, k))
                 at.append(i)
         at = np.array(at, dtype=np.int64)
-        self.knots, self.values = isotonic(np.array(votes), self.labels[at], weight[at]) if len(at) else (np.zeros(1), np.zeros(1))
+        self.knots, self.values = isotonic(np.array(votes), self.labels[at], own[at]) if len(at) else (np.zeros(1), np.zeros(1))
         bare = np.array([not len(t) for t, _ in vectors], dtype=bool)
-        mass = weight[bare].sum() if len(vectors) else 0.0
-        self.bare = float((weight[bare] * self.labels[bare]).sum() / mass) if mass else float(share)
+        mass = own[bare].sum() if len(vectors) else 0.0
+        self.bare = float((own[bare] * self.labels[bare]).sum() / mass) if mass else float(share)
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        t, w = vector(counts, self.idf)
-        found = self.index.nearest(t, w, self.k)
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
+        found = self.index.nearest(terms, vector(terms, counts, self.weight), self.k)
         if not found:
             return self.bare, []
         return float(np.interp(vote(found, self.labels, self.k), self.knots, self.values)), found
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, max_terms: int = TERMS, chi2: float = CHI2, k: int = K) -> Model:
-    """Vocabulary and examples from a bounded sample; idf from all documents."""
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, max_terms: int = TERMS, k: int = K) -> Model:
+    """Vocabulary and examples from a bounded sample of rows; idf from all documents."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 4 != HELD_OUT)
     share = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
     halves = [known.where(f"toxic = {y}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples // 2) for y in (0, 1)]
     sample = docs.select("doc_id", "text").join(F.broadcast(halves[0].union(halves[1])), "doc_id")
+    sample = durable(sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(examples))
 
     def distinct(batches):
         for b in batches:
@@ -210,22 +251,24 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, max_terms:
                 [pa.array(names, pa.string()), pa.array([total[t] for t in names], pa.int64()), pa.array([toxic[t] for t in names], pa.int64())], names=["term", "n", "y"]
             )
 
-    sample = durable(sample)
     n, n_toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
     stats = sample.mapInArrow(distinct, "term string, n long, y long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).where(F.col("n") >= LEAST_DOCS)
     a, b = F.col("y").cast("double"), (F.col("n") - F.col("y")).cast("double")
     c, d = F.lit(float(n_toxic)) - a, F.lit(float(n - n_toxic)) - b
     below = (a + b) * (c + d) * (a + c) * (b + d)
-    scored = stats.withColumn("chi2", F.when(below > 0, float(n) * (a * d - b * c) ** 2 / below).otherwise(0.0))
-    terms = sorted(r["term"] for r in scored.where(F.col("chi2") >= max(chi2, PHI2 * n)).orderBy(F.desc("chi2"), "term").limit(max_terms).collect())
+    scored = stats.withColumn("chi2", F.when((below > 0) & (a * d > b * c), float(n) * (a * d - b * c) ** 2 / below).otherwise(0.0))
+    telling = F.col("chi2") >= CHI2
+    chosen = scored.where(telling | (F.col("n") <= MOST * n)).orderBy(telling.desc(), F.desc("n"), "term").limit(max_terms)
+    chi2 = {r["term"]: r["chi2"] for r in chosen.select("term", "chi2").collect()}
+    terms = sorted(chi2)
+    stands_out = np.array([chi2[t] for t in terms], dtype=np.float64)
 
     def frequencies(batches):
         vocabulary, total, rows = Vocabulary(terms), np.zeros(len(terms), np.int64), 0
         for b in batches:
             rows += b.num_rows
             for text in b["text"].to_pylist():
-                for i in vocabulary.counts(text):
-                    total[i] += 1
+                total[vocabulary.counts(text)[0]] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([rows, *total[at]], pa.int64())], names=["term", "n"])
 
@@ -238,13 +281,16 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, max_terms:
         for b in batches:
             rows = [vocabulary.counts(t) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["toxic"].cast(pa.int32()), pa.array([list(r.keys()) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))],
+                [b["doc_id"], b["toxic"].cast(pa.int32()), pa.array([t for t, _ in rows], pa.list_(pa.int32())), pa.array([c for _, c in rows], pa.list_(pa.float64()))],
                 names=["doc_id", "toxic", "terms", "counts"],
             )
 
-    got = sample.mapInArrow(bags, "doc_id long, toxic int, terms array<int>, counts array<int>").collect()
-    rows = sorted((r["doc_id"], int(r["toxic"] == 1), dict(zip(r["terms"], r["counts"]))) for r in got) if got else []
-    return Model(terms, idf, rows, share, k)
+    got = sample.mapInArrow(bags, "doc_id long, toxic int, terms array<int>, counts array<double>").toArrow()
+    rows = [
+        (doc_id, int(toxic == 1), np.array(t, dtype=np.int64), np.array(x, dtype=np.float64))
+        for doc_id, toxic, t, x in zip(*[got[c].to_pylist() for c in ("doc_id", "toxic", "terms", "counts")])
+    ]
+    return Model(terms, idf * (stands_out / (stands_out + CHI2) + BASE), rows, share, k)
 
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, neighbours array<struct<doc_id:bigint,toxic:int,cosine:double>>"
@@ -257,16 +303,15 @@ def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
 
     def run(batches):
         vocabulary = Vocabulary(model.terms)
-        seen: dict[tuple, tuple] = {}
+        seen: dict[bytes, tuple] = {}  # copies are scored once
         for b in batches:
             scores, evidence = [], []
             for text in b["text"].to_pylist():
-                counts = vocabulary.counts(text)
-                key = tuple(sorted(counts.items()))
+                key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 if (got := seen.get(key)) is None:
-                    if len(seen) > 100_000:
+                    if len(seen) > 20_000:
                         seen.clear()
-                    s, near = model.score(counts)
+                    s, near = model.score(*vocabulary.counts(text))
                     got = seen[key] = (round(s, 9), [{"doc_id": model.ids[i], "toxic": int(model.labels[i]), "cosine": c} for c, i in near])
                 scores.append(got[0])
                 evidence.append(got[1])

@@ -17,6 +17,14 @@ from pyspark.sql import functions as F
 BLOCK_MB = 4
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """name, or name with underscores after it that no column has (columns compare without case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def in_blocks(docs: DataFrame, block_mb: float = BLOCK_MB) -> tuple[DataFrame, int]:
     """docs with their block first, and the number of blocks; one pass over the lengths."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()

@@ -1,13 +1,19 @@
 """Quality classifier by importance resampling.
 
 Two bag models of hashed n-grams, target and raw, give every document a log
-importance weight: the sum over its n-grams of log(target) - log(raw).  The raw
-model counts all documents; the target model counts a bounded sample of
-documents labelled as good (SAMPLE_DOCS, texts up to SAMPLE_CHARS).  Gumbel
-noise is added to the weights and the k largest are kept, which draws k
-documents without replacement in proportion to their weights.  k is the number
-of documents whose weight comes within SLACK of the level that KEEP_GOOD of the
-labelled good documents reach, so it follows the corpus.
+importance weight: the mean over its n-grams of log(target) - log(raw), times
+EFFECTIVE.  A document so weighs as EFFECTIVE of its n-grams would, however long
+it is; sums over all n-grams differ by thousands, and against them the sampling
+noise of about 1 would decide nothing.  The raw model counts all documents; the
+target model counts a bounded sample of rows labelled as good (SAMPLE_DOCS, texts
+up to SAMPLE_CHARS).
+
+Gumbel noise is added to the log weights and the k largest are kept, which draws
+k documents one after the other, without replacement, each time in proportion
+to exp(log weight).  k is the number of documents whose weight reaches the level
+that KEEP_GOOD of the sample reach, so it follows the corpus.  Documents as good as
+the sample are drawn almost surely, much worse ones almost never, and those between
+by chance, the more likely the larger their weight.
 
 n-grams are words, pairs of words, and words that repeat 1 to 4 places on (one
 n-gram for each distance), over runs of letters and digits or of punctuation.
@@ -17,10 +23,11 @@ in millionths, most significant first: four small aggregations, and
 no sort.  Equal scores at the border are all kept.
 
 Nulls, ties and odd input: a null or empty text has weight 0; a null doc_id has
-the noise of one fixed number; rows that repeat a doc_id have its noise; without
-labels for good documents the target is the raw model and every weight 0, so
-all documents are kept; an empty table gives an empty result; further columns
-are carried along unread, but those named like a result are replaced.
+the noise of one fixed number; rows that repeat a doc_id have its noise, and a
+repeated id does not make the sample larger; without labels for good documents the
+target is the raw model and every weight 0, so all documents are kept; an empty
+table gives an empty result; further columns are carried along unread whatever
+their names: a result whose name is taken has underscores after it.
 """
 
 from __future__ import annotations
@@ -29,16 +36,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from siltstone.llm import _text as T
+from siltstone.llm._blocks import free_name
 from siltstone.session import durable
 
 BUCKETS = 10_000
 LAGS = 4
 SAMPLE_DOCS, SAMPLE_CHARS = 10_000, 50_000
+EFFECTIVE = 10.0
 KEEP_GOOD = 0.9998
-#: What an unlabelled good document may lie below the labelled ones' level.
-SLACK = 3.0
 SMOOTH = 1.0
 SEED = 42
 
@@ -101,7 +109,8 @@ def weights(texts, ratios: np.ndarray) -> np.ndarray:
     """Log importance weight of every row."""
     f, begin = features(texts)
     total = np.concatenate([[0.0], np.cumsum(ratios[f])])
-    return np.round(total[begin[1:]] - total[begin[:-1]], 6) + 0.0
+    mean = (total[begin[1:]] - total[begin[:-1]]) / np.maximum(1, np.diff(begin))
+    return np.round(EFFECTIVE * mean, 6) + 0.0
 
 
 def gumbel(ids: pa.Array, seed: int = SEED) -> np.ndarray:
@@ -131,37 +140,43 @@ def kth_largest(scores: DataFrame, column: str, k: int) -> int | None:
 
 
 def good_sample(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """doc_id and text of a bounded number of documents labelled as good."""
+    """doc_id and text of a bounded number of rows labelled as good."""
     good = labels.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    return docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(good), "doc_id")
+    rows = docs.select("doc_id", "text").where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(good), "doc_id")
+    return durable(rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(sample_docs))
 
 
 def resample(docs: DataFrame, labels: DataFrame, keep_good: float = KEEP_GOOD, sample_docs: int = SAMPLE_DOCS, seed: int = SEED) -> DataFrame:
-    """docs with log_weight, perturbed (both in millionths, long) and kept."""
+    """docs with log_weight, perturbed (both in millionths, long) and kept as the last columns."""
     sample = good_sample(docs, labels, sample_docs)
     ratios = log_ratios(counted(sample), counted(docs))
+    weight, perturbed, kept = (free_name(docs.columns, n) for n in ("log_weight", "perturbed", "kept"))
 
     def score(batches):
         millionths = lambda x: pa.array(np.clip(np.rint(x * 1e6), -9e18, 9e18).astype(np.int64))
         for batch in batches:
             for b in T.slices(batch, "text"):
                 w = weights(b["text"], ratios)
-                yield pa.RecordBatch.from_arrays([*b.columns, millionths(w), millionths(w + gumbel(b["doc_id"], seed))], names=[*b.schema.names, "log_weight", "perturbed"])
+                yield pa.RecordBatch.from_arrays([*b.columns, millionths(w), millionths(w + gumbel(b["doc_id"], seed))], names=[*b.schema.names, weight, perturbed])
 
     def scored(df: DataFrame) -> DataFrame:
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-        return df.mapInArrow(score, f"{kinds}, log_weight long, perturbed long")
+        return df.mapInArrow(score, StructType([*df.schema.fields, StructField(weight, LongType()), StructField(perturbed, LongType())]))
 
-    known = durable(scored(sample.select("doc_id", "text")).select("log_weight"))
+    known = durable(scored(sample.select("doc_id", "text")).select(weight))
     n_known = known.count()
     # the level that keep_good of the good reach; it is one of their weights
-    level = kth_largest(known, "log_weight", max(1, -int(-n_known * keep_good // 1))) if n_known else None
-    plain = durable(scored(docs.select("doc_id", "text")).select("log_weight", "perturbed"))
-    k = plain.where(F.col("log_weight") >= level - int(SLACK * 1e6)).count() if level is not None else plain.count()
-    border = kth_largest(plain, "perturbed", k)
-    own = docs.drop("log_weight", "perturbed", "kept")
-    kept = F.lit(False) if border is None else F.col("perturbed") >= border
-    return scored(own).withColumn("kept", kept)
+    level = kth_largest(known, weight, max(1, -int(-n_known * keep_good // 1))) if n_known else None
+    plain = durable(scored(docs.select("doc_id", "text")).select(weight, perturbed))
+    k = plain.where(F.col(weight) >= level).count() if level is not None else plain.count()
+    border = kth_largest(plain, perturbed, k)
+    # the documents are scored once more rather than shuffled to their scores
+    return scored(docs).withColumn(kept, F.lit(False) if border is None else F.col(perturbed) >= border)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The documents that are drawn, with all their columns."""
+    out = resample(docs, labels, **options)
+    return out.where(out[out.columns[-1]]).select(*[out[c] for c in docs.columns])
 
 
 def op5_quality_resample(spark, sf_dir: str) -> DataFrame:

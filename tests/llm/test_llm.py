@@ -405,7 +405,8 @@ def test_importance_weights_by_brute_force(spark):
             np.add.at(target, b, 1)
     ratios = quality_resample.log_ratios(target, raw)
     for r in out:
-        assert r.log_weight / 1e6 == pytest.approx(ratios[bags[r.doc_id]].sum(), abs=1e-4)
+        own = bags[r.doc_id]
+        assert r.log_weight / 1e6 == pytest.approx(10 * ratios[own].sum() / max(1, len(own)), abs=1e-4)
     kept = sorted((r.perturbed for r in out if r.kept), reverse=True)
     assert kept == sorted((r.perturbed for r in out), reverse=True)[: len(kept)]
     quality = {r.doc_id: r.quality for r in labels.collect()}
@@ -413,6 +414,41 @@ def test_importance_weights_by_brute_force(spark):
     assert sum(r.kept for r in out if quality.get(r.doc_id) == 0) <= 0.1 * sum(q == 0 for q in quality.values())
 
 
+def test_draws_follow_the_weights():
+    """Inclusion over seeds is that of drawing without replacement in proportion to exp(weight)."""
+    w, k, seeds = np.array([0.7, 0.5, 0.0, -0.5, -1.0, -2.0, -3.0, -4.0]), 4, 4000
+    ids, included = pa.array(range(100, 108)), np.zeros(8)
+    for seed in range(seeds):
+        included[np.argsort(-(w + quality_resample.gumbel(ids, seed)))[:k]] += 1
+    rng, want = np.random.default_rng(0), np.zeros(8)
+    for _ in range(seeds):
+        want[rng.choice(8, size=k, replace=False, p=np.exp(w) / np.exp(w).sum())] += 1
+    assert np.abs(included - want).max() / seeds < 0.04
+    assert (np.diff(included) < 0).all() and 0.02 < included[7] / seeds < 0.3
+
+
+def test_resampling_is_no_cut_off(spark):
+    """Documents between good and bad are drawn or not as the seed falls."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    mixed = docs.where("doc_id % 5 = 0").select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.concat("text", F.repeat(F.lit(" THE!! of%%% and***"), 12)).alias("text"))
+    everything = docs.union(mixed)
+    runs = [{r.doc_id: (r.kept, r.log_weight) for r in quality_resample.resample(everything, labels, seed=s).collect()} for s in (1, 2)]
+    a, b = ({i for i, (kept, _) in run.items() if kept} for run in runs)
+    cut = sorted(((w, i) for i, (_, w) in runs[0].items()), reverse=True)[: len(a)]
+    assert len(a) == len(b) and len(a ^ b) > 5 and len(a ^ {i for _, i in cut}) > 5
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    assert len(good - a) < 0.04 * len(good) and len(good - b) < 0.04 * len(good)
+
+
+def test_resampling_keeps_columns_of_any_name(spark):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(1, "some text", 5, True, "x")], "doc_id long, text string, Log_Weight long, kept boolean, perturbed string")
+    out = quality_resample.accepted(docs, labels)
+    assert out.columns == docs.columns and out.collect() == docs.collect()
+    assert quality_resample.resample(docs, labels).columns == [*docs.columns, "log_weight_", "perturbed_", "kept_"]
+
+
 def test_kth_largest(spark):
     values = [5, -3, 2**40, -(2**40), 5, 0, 70000]
     df = spark.createDataFrame([(v,) for v in values], "v long")
@@ -424,7 +460,7 @@ def test_kth_largest(spark):
 def test_resample_odd(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (5, None), (9, 0)], "doc_id long, quality int")
     assert quality_resample.resample(odd, labels).count() == len(ODD)
-    assert quality_resample.resample(odd, labels.limit(0)).where("kept").count() == len(ODD)
+    assert quality_resample.accepted(odd, labels.limit(0)).count() == len(ODD)
     assert quality_resample.resample(none, labels).count() == 0
 
 

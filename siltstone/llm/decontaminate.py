@@ -5,24 +5,30 @@ words (the whole document if it is shorter).  Windows and items have 64-bit
 SimHash fingerprints over their SIZE-word shingles, each as heavy as often as
 it occurs.  Fingerprints within RADIUS bits are found by multi-index hashing:
 cut into PARTS parts, two such fingerprints agree in one part up to RADIUS //
-PARTS bits, and for every part a table lists the items within that distance of
-each value.  Candidates of the window's size are then compared exactly, by the
-weighted Jaccard similarity of their shingles; SIMILARITY or more is a leak.
+PARTS bits.  Items of one length are a class of their own, as only they are
+compared with windows of that length; a class keeps its items sorted by the value
+of each part.  A print looks up all values within that distance of its own, or
+compares itself with the class's values where those are fewer.  Candidates are
+then compared exactly, by the weighted Jaccard similarity of their shingles;
+SIMILARITY or more is a leak.
 
 A window that is that similar has at least 2 s / (1 + s) of its shingles in
 common with its item, so windows with fewer benchmark shingles than that are
 not fingerprinted; this drops no pair.
 
-The benchmark is sent to all executors while it has CHUNK_BYTES of text at
-most; a larger one is dealt into chunks of about that size, each of which scans
-the documents on its own.
+The index is made once, on the driver, of at most CHUNK_BYTES of benchmark text,
+and broadcast; it takes about eight times its text (the README has figures).  A
+larger benchmark is dealt into chunks of that size.  They scan the documents one
+after the other, each after what the one before it found was written, so that no
+process ever holds two of them.
 
 Nulls, ties and odd input: null or empty texts and items match nothing; an item
 or document of fewer than SIZE words has its whole sequence as the only
 shingle; null ids are kept; items that repeat are all reported; of equally
 similar windows the first is reported; an empty benchmark leaves all documents
 clean; an empty table gives an empty result; further columns of the documents
-are carried along by ``clean`` and not read.
+are carried along and not read, whatever their names: where ``leaks`` is taken, the
+result has underscores after it.
 """
 
 from __future__ import annotations
@@ -34,14 +40,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 from siltstone.llm import _text as T
+from siltstone.llm._blocks import free_name
+from siltstone.session import durable
 
 SIZE = 5
 SIMILARITY = 0.75
 RADIUS = 23
 PARTS = 4
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 24_000_000
 
 _BITS = np.arange(64, dtype=np.uint64)
 
@@ -62,46 +71,81 @@ def signs(s: np.ndarray) -> np.ndarray:
     return ((s[:, None] >> _BITS) & np.uint64(1)).astype(np.int32) * 2 - 1
 
 
+def _neighbours(width: int, radius: int) -> np.ndarray:
+    """All masks of up to radius bits."""
+    masks = [0]
+    for k in range(1, radius + 1):
+        masks += [sum(1 << b for b in bits) for bits in combinations(range(width), k)]
+    return np.array(masks, dtype=np.uint32)
+
+
 class Index:
-    """Items with their fingerprints and one table per part."""
+    """Items with their shingles, fingerprints and, by length, sorted parts; arrays only."""
 
-    def __init__(self, ids: list, texts: list, size: int = SIZE, similarity: float = SIMILARITY, radius: int = RADIUS):
-        w = T.Words(pa.array(texts, pa.string()), fold=T.LOWER)
+    def __init__(self, ids: pa.Array, texts: pa.Array, size: int = SIZE, similarity: float = SIMILARITY, radius: int = RADIUS):
+        w = T.Words(texts, fold=T.LOWER)
         self.size, self.similarity, self.radius = size, similarity, radius
-        some = [r for r in range(w.rows) if w.count[r]]
-        self.ids = [ids[r] for r in some]
-        self.words = np.array([int(w.count[r]) for r in some], dtype=np.int64)
-        lists = [shingles(w.hash[w.first[r] : w.first[r + 1]], size) for r in some]
-        self.bags = [Counter(s.tolist()) for s in lists]
-        self.known = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.uint64)
-        self.prints = np.array([fingerprint(signs(s).sum(axis=0)) for s in lists], dtype=np.uint64)
-        self.lengths = np.unique(self.words)
-        width = 64 // PARTS
-        masks = [0]
-        for k in range(1, radius // PARTS + 1):
-            masks += [sum(1 << b for b in bits) for bits in combinations(range(width), k)]
-        masks = np.array(masks, dtype=np.uint32)
-        self.tables = []
+        some = np.flatnonzero(w.count)
+        order = some[np.argsort(w.count[some], kind="stable")]  # items of one length stand together
+        self.ids = pa.array(ids).take(pa.array(order)) if len(order) else pa.array([], pa.int64())
+        self.words = w.count[order].astype(np.int64)
+        self.lengths, begin = np.unique(self.words, return_index=True)
+        self.classes = dict(zip(self.lengths.tolist(), zip(begin.tolist(), [*begin[1:].tolist(), len(order)])))
+        bags, times, sizes, prints = [], [], [], []
+        for r in order.tolist():
+            s = shingles(w.hash[w.first[r] : w.first[r + 1]], size)
+            prints.append(fingerprint(signs(s).sum(axis=0)))
+            bag, n = np.unique(s, return_counts=True)
+            bags.append(bag)
+            times.append(n.astype(np.int32))
+            sizes.append(len(bag))
+        self.bag = np.concatenate(bags) if bags else np.zeros(0, np.uint64)
+        self.times = np.concatenate(times) if times else np.zeros(0, np.int32)
+        self.bag_first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.known = np.unique(self.bag)
+        self.prints = np.array(prints, dtype=np.uint64)
+        self.width = 64 // PARTS
+        self.parts = []  # of each part: values, sorted within a class, and their items
         for p in range(PARTS):
-            part = ((self.prints >> np.uint64(p * width)) & np.uint64((1 << width) - 1)).astype(np.uint32)
-            value = (part[:, None] ^ masks).ravel()
-            order = np.argsort(value, kind="stable")
-            item = (order // len(masks)).astype(np.int32)
-            self.tables.append((np.searchsorted(value[order], np.arange((1 << width) + 1)), item))
-
-    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs (index of a print, item) within the radius."""
-        width, found = 64 // PARTS, []
-        for p, (first, item) in enumerate(self.tables):
-            part = ((prints >> np.uint64(p * width)) & np.uint64((1 << width) - 1)).astype(np.int64)
-            a, n = first[part], first[part + 1] - first[part]
-            who = np.repeat(np.arange(len(prints)), n)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-            found.append(who.astype(np.int64) * len(self.prints) + item[at])
-        pairs = np.unique(np.concatenate(found))
-        who, item = pairs // len(self.prints), pairs % len(self.prints)
-        near = np.bitwise_count(prints[who] ^ self.prints[item]) <= self.radius
-        return who[near], item[near]
+            value = self._part(self.prints, p)
+            by = np.lexsort((value, self.words))
+            self.parts.append((value[by], by.astype(np.int32)))
+        self.masks = _neighbours(self.width, radius // PARTS)
+
+    def _part(self, prints: np.ndarray, p: int) -> np.ndarray:
+        return ((prints >> np.uint64(p * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.uint32)
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.bag, self.times, self.bag_first, self.known, self.prints, self.words, *(y for part in self.parts for y in part)))
+
+    def bag_of(self, item: int) -> dict[int, int]:
+        a, b = self.bag_first[item], self.bag_first[item + 1]
+        return dict(zip(self.bag[a:b].tolist(), self.times[a:b].tolist()))
+
+    def within(self, prints: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (index of a print, item of that many words) within the radius."""
+        a, b = self.classes[length]
+        step = max(1, 4_000_000 // max(1, min(b - a, len(self.masks))))  # prints looked up at a time
+        whos, items = [], []
+        for lo in range(0, len(prints), step):
+            some, found = prints[lo : lo + step], []
+            for p, (values, item) in enumerate(self.parts):
+                own, value = self._part(some, p), values[a:b]
+                if b - a <= len(self.masks):
+                    who, at = np.nonzero(np.bitwise_count(own[:, None] ^ value[None]) <= self.radius // PARTS)
+                else:
+                    near = own[:, None] ^ self.masks[None]
+                    x, y = np.searchsorted(value, near, "left").ravel(), np.searchsorted(value, near, "right").ravel()
+                    n = y - x
+                    who = np.repeat(np.repeat(np.arange(len(some)), len(self.masks)), n)
+                    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(x, n)
+                found.append(who.astype(np.int64) * len(self.prints) + item[a:b][at])
+            pairs = np.unique(np.concatenate(found))
+            who, at = pairs // len(self.prints), pairs % len(self.prints)
+            near = np.bitwise_count(some[who] ^ self.prints[at]) <= self.radius
+            whos.append(who[near] + lo)
+            items.append(at[near])
+        return (np.concatenate(whos), np.concatenate(items)) if whos else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def leaks(self, texts) -> list[list[dict]]:
         """For each text, the items it holds, each with its best window."""
@@ -132,10 +176,11 @@ class Index:
             if span < size:
                 # one shingle: the whole window as it is
                 own = T.grams(h, span) ^ np.uint64(span) if span else np.zeros(0, np.uint64)
-                for i in np.flatnonzero(self.words == length):
-                    at = np.flatnonzero(own == np.uint64(next(iter(self.bags[i])))) if len(self.bags[i]) == 1 else []
+                for i in range(*self.classes[length]):
+                    bag = self.bag_of(i)
+                    at = np.flatnonzero(own == np.uint64(next(iter(bag)))) if len(bag) == 1 else []
                     if len(at):
-                        best.setdefault(int(i), (1.0, int(at[0]), span))
+                        best.setdefault(i, (1.0, int(at[0]), span))
                 continue
             # fewest shingles that a window and an item of this size can have in common
             m = span - size + 1
@@ -146,18 +191,20 @@ class Index:
                 continue
             if sums is None:
                 sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(s), axis=0, dtype=np.int32)])
-            who, item = self.within(fingerprint(sums[first + m] - sums[first]))
-            same = self.words[item] == length
-            for k, i in zip(first[who[same]].tolist(), item[same].tolist()):
+            who, item = self.within(fingerprint(sums[first + m] - sums[first]), length)
+            others: dict[int, dict[int, int]] = {}
+            for k, i in zip(first[who].tolist(), item.tolist()):
                 bag = bags.get((k, m))
                 if bag is None:
                     bag = bags[k, m] = Counter(s[k : k + m].tolist())
-                other = self.bags[i]
+                other = others.get(i)
+                if other is None:
+                    other = others[i] = self.bag_of(i)
                 common = sum(min(c, other[x]) for x, c in bag.items() if x in other)
-                value = common / (m + sum(other.values()) - common)
+                value = common / (m + length - size + 1 - common)
                 if value >= self.similarity and value > best.get(i, (0.0,))[0]:
                     best[i] = (value, k, span)
-        return [{"item_id": self.ids[i], "first_word": k, "n_words": c, "similarity": v} for i, (v, k, c) in sorted(best.items())]
+        return [{"item_id": self.ids[i].as_py(), "first_word": k, "n_words": c, "similarity": v} for i, (v, k, c) in sorted(best.items(), key=lambda x: (self.ids[x[0]].as_py() is None, self.ids[x[0]].as_py(), x[0]))]
 
 
 LEAKS = "array<struct<item_id:bigint,first_word:bigint,n_words:bigint,similarity:double>>"
@@ -172,36 +219,37 @@ def _chunks(benchmark: DataFrame, chunk_bytes: int) -> list[DataFrame]:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, radius: int = RADIUS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """docs with ``leaks``: of every benchmark item that a document holds, the
-    most similar window.  The columns of docs stay as they are."""
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "leaks")
-    docs = docs.drop("leaks")
+    """docs with ``leaks`` as the last column: of every benchmark item that a
+    document holds, the most similar window.  The columns of docs stay as they are."""
+    name = free_name(docs.columns, "leaks")
+    schema = StructType([*docs.schema.fields, StructField(name, DataType.fromDDL(LEAKS))])
+    sc = docs.sparkSession.sparkContext
 
     def scan(items: DataFrame, source: DataFrame, add: bool) -> DataFrame:
-        got = sorted(((r["item_id"], r["text"]) for r in items.collect()), key=lambda r: (r[0] is None, r[0], r[1]))  # at most chunk_bytes of text
-        ids, texts = [r[0] for r in got], [r[1] for r in got]
+        got = items.orderBy("item_id", "text").toArrow()  # at most chunk_bytes of text
+        index = sc.broadcast(Index(got["item_id"].combine_chunks(), got["text"].combine_chunks(), size, similarity, radius))
 
         def run(batches):
-            index = Index(ids, texts, size, similarity, radius)
             for batch in batches:
                 for b in T.slices(batch, "text"):
-                    leaks = index.leaks(b["text"])
+                    leaks = index.value.leaks(b["text"])
+                    kept = b.columns
                     if add:
-                        leaks = [x + y for x, y in zip(b["leaks"].to_pylist(), leaks)]
-                    kept = [c for c, name in zip(b.columns, b.schema.names) if name != "leaks"]
-                    yield pa.RecordBatch.from_arrays([*kept, pa.array(leaks, _LEAKS)], names=[*[n for n in b.schema.names if n != "leaks"], "leaks"])
+                        leaks, kept = [x + y for x, y in zip(kept[-1].to_pylist(), leaks)], kept[:-1]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(leaks, _LEAKS)], names=schema.names)
 
-        return source.mapInArrow(run, f"{kinds}, leaks {LEAKS}")
+        return source.mapInArrow(run, schema)
 
     out = docs
     for i, chunk in enumerate(_chunks(benchmark, chunk_bytes)):
-        out = scan(chunk, out, add=i > 0)
+        out = scan(chunk, durable(out) if i else out, add=i > 0)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no benchmark item, with their columns."""
-    return find_leaks(docs, benchmark, **options).where(F.size("leaks") == 0).drop("leaks")
+    out = find_leaks(docs, benchmark, **options)
+    return out.where(F.size(out[out.columns[-1]]) == 0).select(*[out[c] for c in docs.columns])
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -176,13 +176,42 @@ def test_decontamination(spark):
 
 def test_index_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
-    index = decontaminate.Index(list(range(50)), [" ".join(f"t{j}" for j in rng.integers(0, 90, 20)) for _ in range(50)])
-    prints = index.prints[rng.integers(0, 50, 300)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (300, 24)).astype(np.uint64), axis=1)
-    who, item = index.within(prints)
+    index = decontaminate.Index(pa.array(range(90)), pa.array([" ".join(f"t{j}" for j in rng.integers(0, 90, 20 + i % 2)) for i in range(90)]))
+    prints = index.prints[rng.integers(0, 90, 300)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (300, 24)).astype(np.uint64), axis=1)
     near = np.bitwise_count(prints[:, None] ^ index.prints[None]) <= decontaminate.RADIUS
+    for length in (20, 21):
+        who, item = index.within(prints, length)
+        own = near & (index.words == length)[None]
+        assert sorted(zip(who.tolist(), item.tolist())) == sorted(zip(*(x.tolist() for x in np.nonzero(own))))
+
+
+def test_index_looks_up_neighbours_in_large_classes():
+    """With a small radius the neighbours of a value are fewer than the items of a class."""
+    rng = np.random.default_rng(2)
+    index = decontaminate.Index(pa.array(range(400)), pa.array([" ".join(f"t{j}" for j in rng.integers(0, 30, 12)) for _ in range(400)]), radius=7)
+    assert len(index.masks) < 400
+    prints = index.prints[rng.integers(0, 400, 200)] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (200, 7)).astype(np.uint64), axis=1)
+    who, item = index.within(prints, 12)
+    near = np.bitwise_count(prints[:, None] ^ index.prints[None]) <= 7
     assert sorted(zip(who.tolist(), item.tolist())) == sorted(zip(*(x.tolist() for x in np.nonzero(near))))
 
 
+def test_decontamination_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", "x", 2), (2, "n o p", None, 3)], "doc_id long, text string, Leaks string, leaks_ long")
+    bench = spark.createDataFrame([(7, "a b c d e f g")], "item_id long, text string")
+    out = decontaminate.find_leaks(docs, bench)
+    assert out.columns == [*docs.columns, "leaks__"] and [len(r["leaks__"]) for r in out.orderBy("doc_id").collect()] == [1, 0]
+    assert decontaminate.clean(docs, bench).collect() == docs.where("doc_id = 2").collect()
+
+
+def test_index_of_a_large_benchmark_is_small():
+    rng = np.random.default_rng(6)
+    words = np.array([f"w{i}" for i in range(20_000)])
+    texts = [" ".join(words[rng.integers(0, 20_000, int(n))]) for n in rng.integers(20, 60, 20_000)]
+    index = decontaminate.Index(pa.array(range(20_000)), pa.array(texts))
+    assert index.nbytes() < 10 * sum(map(len, texts))
+
+
 def test_decontamination_odd(spark, odd, none):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     assert decontaminate.find_leaks(odd, bench).count() == len(ODD) and decontaminate.clean(odd, bench).columns == odd.columns

@@ -11,6 +11,7 @@ QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_packing": packing.op3_packing,
+    "conversation_packing": packing.conversation_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_resample": quality_resample.op5_quality_resample,
     "op6_line_crf": line_crf.op6_line_crf,

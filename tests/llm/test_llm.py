@@ -9,6 +9,7 @@ import random
 import re
 import time
 import zlib
+from fractions import Fraction
 from html.parser import HTMLParser
 
 import numpy as np
@@ -242,7 +243,7 @@ def test_packing(spark, odd):
     df = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     ids = {}
     for batch in packing_input(df):
-        for doc_id, x, _ in packing.document_encoder()(batch):
+        for doc_id, x, _, _ in packing.document_encoder()(batch):
             ids[doc_id] = x
     rows = packing.pack_documents(df.repartition(3)).collect()
     parts = collections.defaultdict(list)
@@ -261,22 +262,34 @@ def test_packing(spark, odd):
             assert r.offset == at
             at += r.length
         assert at <= 1024 and at & (at - 1) == 0  # no padding
-    assert sum(r.length for r in packing.pack_documents(odd).collect()) == sum(len(x) for b in packing_input(odd.select("doc_id", "text")) for _, x, _ in packing.document_encoder()(b))
+    assert sum(r.length for r in packing.pack_documents(odd).collect()) == sum(len(x) for b in packing_input(odd.select("doc_id", "text")) for _, x, _, _ in packing.document_encoder()(b))
 
 
 def packing_input(df):
     return df.toArrow().to_batches()
 
 
+def _brute_demand(x, a, b):
+    loss = sum(x.loss[a:b].tolist()) if x.loss is not None else b - a
+    starts = [0] if x.starts is None else x.starts.tolist()
+    ends = [*starts[1:], len(x.ids)]
+    return b - a, sum(s < b and e > a for s, e in zip(starts, ends)), loss
+
+
+def _examples(rng, n, longest=200):
+    for i in range(n):
+        ids = rng.integers(0, 9, rng.integers(1, longest)).astype("<u4")
+        starts = np.unique([0, *rng.integers(0, len(ids), rng.integers(0, 9)).tolist()])
+        yield packing._Example(i, ids, rng.random(len(ids)) < rng.random(), starts)
+
+
 def test_packing_keeps_all_three_limits():
+    """And each of them is what closes some sequence."""
     rng = np.random.default_rng(2)
-    limits = packing.Limits(tokens=64, segments=5, loss=20)
+    limits = packing.Limits(tokens=64, segments=6, loss=30)
     for n in (0, 1, 3, 400):
         packer, out = packing.Packer(limits, 0), []
-        examples = []
-        for i in range(n):
-            ids = rng.integers(0, 9, rng.integers(1, 200)).astype("<u4")
-            examples.append(packing._Example(i, ids, rng.random(len(ids)) < 0.3))
+        examples = list(_examples(rng, n))
         packer.add(examples[: n // 2], out)
         packer.add(examples[n // 2 :], out)
         packer.close(out)
@@ -284,14 +297,66 @@ def test_packing_keeps_all_three_limits():
         by = collections.defaultdict(list)
         for r in out:
             by[r[5]].append(r)
-        assert all(sum(r[2] for r in v) <= 64 and len(v) <= 5 and sum(r[7] for r in v) <= 20 for v in by.values())
+            assert (r[2], r[8], r[7]) == _brute_demand(examples[r[0]], r[1], r[1] + r[2])
+        totals = [tuple(sum(r[c] for r in v) for c in (2, 8, 7)) for v in by.values()]
+        assert all(t <= 64 and s <= 6 and x <= 30 for t, s, x in totals)
+        if n == 400:
+            for k, most in enumerate((64, 6, 30)):
+                assert any(t[k] == most and all(t[o] < m for o, m in enumerate((64, 6, 30)) if o != k) for t in totals)
+
+
+def test_packing_chooses_by_the_dot_product():
+    """The whole run again, with every choice made by a plain loop over the waiting pieces."""
+    limits = (64, 6, 30)
+    for seed in range(5):
+        examples = [x for x in _examples(np.random.default_rng(seed), 80, 30) if all(d <= m for d, m in zip(_brute_demand(x, 0, len(x.ids)), limits)) and len(x.ids) < 64]
+        packer, out = packing.Packer(packing.Limits(*limits), 0), []
+        packer.add(examples, out)
+        waiting, sequence, used, want = list(examples), 0, [0, 0, 0], []
+        while waiting:
+            room = [m - u for m, u in zip(limits, used)]
+            fitting = [(sum(Fraction(d * r, m * m) for d, r, m in zip(_brute_demand(x, 0, len(x.ids)), room, limits)), x) for x in waiting if all(d <= r for d, r in zip(_brute_demand(x, 0, len(x.ids)), room))]
+            if not fitting:
+                break  # from here on pieces are cut
+            best = max(v for v, _ in fitting)
+            ties = [x for v, x in fitting if v == best]
+            x = min(ties, key=lambda x: _brute_demand(x, 0, len(x.ids)))
+            waiting = [y for y in waiting if y is not x]
+            want.append((x.doc_id, sequence))
+            used = [u + d for u, d in zip(used, _brute_demand(x, 0, len(x.ids)))]
+            if any(u == m for u, m in zip(used, limits)):
+                sequence, used = sequence + 1, [0, 0, 0]
+        packer.close(out)
+        got = [(r[0], r[5]) for r in out]
+        closed = [x for x in want if x[1] < sequence]
+        assert len(want) > 3 and got[: len(closed)] == closed
 
 
 def test_conversations_pack_with_a_loss_mask(spark):
     segments = F.array(F.struct(F.lit("### user: hello").alias("text"), F.lit(False).alias("loss")), F.struct(F.lit(" fine, thanks").alias("text"), F.lit(True).alias("loss")))
     df = spark.range(10).select(F.col("id").alias("doc_id"), segments.alias("segments"))
     rows = packing.pack(df, packing.conversation_encoder, packing.Limits(tokens=32, segments=4, loss=8)).collect()
-    assert all(sum(r.loss_tokens for r in v) <= 8 for v in _sequences(rows).values()) and sum(r.loss_tokens for r in rows) == 30
+    assert all(sum(r.loss_tokens for r in v) <= 8 and sum(r.segments for r in v) <= 4 for v in _sequences(rows).values()) and sum(r.loss_tokens for r in rows) == 30
+
+
+def test_conversation_packing(spark):
+    table = spark.read.parquet(f"{DATA}/conversations.parquet")
+    odd = spark.createDataFrame([(None, None, None, None), (-1, 0, "assistant", ""), (-1, 0, "assistant", "")], table.select("conv_id", "turn", "role", "text").schema)
+    rows = packing.pack_conversations(table.select("conv_id", "turn", "role", "text").union(odd)).collect()
+    limits = packing.CHAT_LIMITS
+    for v in _sequences(rows).values():
+        assert sum(r.length for r in v) <= limits.tokens and sum(r.segments for r in v) <= limits.segments and sum(r.loss_tokens for r in v) <= limits.loss
+    got = collections.Counter()
+    for r in rows:
+        got[r.doc_id] += r.length
+    turns = collections.defaultdict(list)
+    for r in table.union(odd).collect():
+        turns[r.conv_id].append((r.turn if r.turn is not None else -1, r.role or "", r.text or ""))
+    for conv_id, own in turns.items():
+        texts = [f"### {role}: {text}\n" for _, role, text in sorted(own)]
+        assert got[conv_id] == 1 + sum(len(x) for x in packing.token_ids(pa.array(texts)))
+    assert set(got) == set(turns)
+    assert packing.pack_conversations(table.select("conv_id", "turn", "role", "text").limit(0)).count() == 0
 
 
 # --- 4

@@ -34,9 +34,15 @@ def in_blocks(docs: DataFrame, block_mb: float = BLOCK_MB) -> tuple[DataFrame, i
     return docs.select(block.alias("block"), F.col("doc_id").cast("long").alias("doc_id"), "text", *others), blocks
 
 
+#: Blocks whose values one range of hashes holds, and the ranges that small inputs are cut into.
+BLOCKS_A_RANGE, LEAST_RANGES = 16, 48
+
+
 def buckets_for(n_blocks: int) -> int:
-    """Ranges of hashes in which the blocks' values meet: two blocks' worth each."""
-    return max(1, n_blocks // 2)
+    """Ranges of hashes in which the blocks' values meet: BLOCKS_A_RANGE blocks'
+    worth each.  A block sends a row to each range, so n blocks send n * n /
+    BLOCKS_A_RANGE rows, until rows hold one value each."""
+    return max(1, min(n_blocks, LEAST_RANGES), n_blocks // BLOCKS_A_RANGE)
 
 
 def ordered(table: pa.Table) -> pa.Table:

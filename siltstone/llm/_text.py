@@ -2,20 +2,32 @@
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D (so UTF-8
 letters stay whole).  All functions work on the raw UTF-8 buffer of a column
-with numpy; no Python object is made per word.  Hashes are 64-bit and only
-route, group or pre-select rows; where a result depends on equality of texts,
-the callers say how equality is established.
+with numpy; no Python object is made per word.
+
+A word's hash takes its bytes eight at a time through a mixer that is one-to-one,
+so words of one length up to eight bytes never collide and longer ones do by
+chance only (a polynomial in the bytes would let pairs be written down).  A second
+hash of the bytes, with other constants, is made on demand; callers say where
+results rest on one hash, on both, or on the words.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 _CHUNK = 1 << 20
-_P = 0x9E3779B97F4A7C55
-_P_INV = pow(_P, -1, 1 << 64)
+#: Longer words are hashed by a library, so that rounds stay few.
+_LONG = 4096
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+#: Per hash: what lengths, states and chunks are mixed with.
+_LANES = (
+    (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)),
+    (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xA24BAED4963EE407)),
+)
 Q1 = np.uint64(0xD6E8FEB86659FD93)
 Q2 = np.uint64(0xA0761D6478BD642F)
 
@@ -24,18 +36,6 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_tables: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_tables.get("p", ())) < n:
-        for name, base in (("p", _P), ("inv", _P_INV)):
-            x = np.full(n, base, dtype=np.uint64)
-            x[0] = 1
-            _tables[name] = np.cumprod(x)
-    return _tables["p"], _tables["inv"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser, elementwise."""
     x = x ^ (x >> np.uint64(30))
@@ -46,6 +46,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def byte_hashes(part: np.ndarray, a: np.ndarray, b: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hash of the bytes a[i] .. b[i] - 1 of an array, for all i."""
+    size, step, times = _LANES[lane]
+    padded = np.concatenate([part, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(part) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # eight bytes from each place on
+    n = b - a
+    h = mix(n.astype(np.uint64) * size)
+    some, at, left = np.flatnonzero(n > 0), a, n
+    some = some[n[some] <= _LONG]
+    while len(some):
+        chunk = eight[at[some]] & _MASK[np.minimum(left[some], 8)]
+        h[some] = mix((h[some] + step) ^ (chunk * times))
+        at, left = at + 8, left - 8
+        some = some[left[some] > 0]
+    for i in np.flatnonzero(n > _LONG).tolist():
+        digest = hashlib.blake2b(part[a[i] : b[i]].tobytes(), digest_size=8, salt=bytes([lane])).digest()
+        h[i] = np.frombuffer(digest, dtype="<u8")[0]
+    return h
+
+
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null texts become empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -74,13 +94,14 @@ class Words:
     """Words of a column: start and end bytes, first word of each row, hashes.
 
     ``classes`` maps a byte to a class; a word is a run of one class other than
-    0.  ``fold`` maps bytes before hashing (lower case, for instance).
+    0.  ``fold`` maps bytes before hashing (lower case, for instance).  With two
+    ``lanes`` there is a second hash, ``hash2``.
     """
 
-    def __init__(self, column, classes: np.ndarray | None = None, fold: np.ndarray | None = None, hashes: bool = True):
+    def __init__(self, column, classes: np.ndarray | None = None, fold: np.ndarray | None = None, lanes: int = 1):
         self.raw, self.off = buffers(column)
         self.rows = len(self.off) - 1
-        starts, ends, hs = [], [], []
+        starts, ends, hs = [], [], [[], []]
         row = 0
         while row < self.rows:
             last = max(row + 1, int(np.searchsorted(self.off, self.off[row] + _CHUNK, "right")) - 1)
@@ -98,17 +119,14 @@ class Words:
                 a, b = a[real], b[real]
                 starts.append(a + lo)
                 ends.append(b + lo)
-                if hashes and len(a):
-                    p, inv = _powers(len(part) + 1)
-                    folded = (fold[part] if fold is not None else part).astype(np.uint64)
-                    folded += np.uint64(1)
-                    folded *= p[: len(part)]
-                    total = np.zeros(len(part) + 1, dtype=np.uint64)
-                    np.cumsum(folded, out=total[1:])
-                    hs.append(mix((total[b] - total[a]) * inv[a]))
+                folded = fold[part] if fold is not None else part
+                for lane in range(lanes if len(a) else 0):
+                    hs[lane].append(byte_hashes(folded, a, b, lane))
             row = last
         cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-        self.start, self.end, self.hash = cat(starts, np.int64), cat(ends, np.int64), cat(hs, np.uint64)
+        self.start, self.end = cat(starts, np.int64), cat(ends, np.int64)
+        self.hash = cat(hs[0], np.uint64)
+        self.hash2 = cat(hs[1], np.uint64) if lanes > 1 else None
         #: row r has the words first[r] .. first[r + 1] - 1
         self.first = np.searchsorted(self.start, self.off).astype(np.int64)
         self.count = np.diff(self.first)

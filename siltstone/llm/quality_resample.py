@@ -2,8 +2,8 @@
 
 Two bag models of hashed n-grams, target and raw, give every document a log
 importance weight: the mean over its n-grams of log(target) - log(raw), times
-EFFECTIVE.  A document so weighs as EFFECTIVE of its n-grams would, however long
-it is; sums over all n-grams differ by thousands, and against them the sampling
+EFFECTIVE, and with PRIOR n-grams of ratio 0 added, so that a short text says
+little.  A document so weighs as EFFECTIVE of its n-grams would, however long it is; sums over all n-grams differ by thousands, and against them the sampling
 noise of about 1 would decide nothing.  The raw model counts all documents; the
 target model counts a bounded sample of rows labelled as good (SAMPLE_DOCS, texts
 up to SAMPLE_CHARS).
@@ -45,7 +45,7 @@ from siltstone.session import durable
 BUCKETS = 10_000
 LAGS = 4
 SAMPLE_DOCS, SAMPLE_CHARS = 10_000, 50_000
-EFFECTIVE = 10.0
+EFFECTIVE, PRIOR = 10.0, 30
 KEEP_GOOD = 0.9998
 SMOOTH = 1.0
 SEED = 42
@@ -109,7 +109,7 @@ def weights(texts, ratios: np.ndarray) -> np.ndarray:
     """Log importance weight of every row."""
     f, begin = features(texts)
     total = np.concatenate([[0.0], np.cumsum(ratios[f])])
-    mean = (total[begin[1:]] - total[begin[:-1]]) / np.maximum(1, np.diff(begin))
+    mean = (total[begin[1:]] - total[begin[:-1]]) / (np.diff(begin) + PRIOR)
     return np.round(EFFECTIVE * mean, 6) + 0.0
 
 

@@ -2,17 +2,25 @@
 
 Every window of WINDOW consecutive words that also starts in a document with a
 smaller doc_id is removed.  The suffixes that can matter are found first: of
-each window the least hash of its ANCHOR-word grams is its anchor, equal
-windows have equal anchors, so only windows whose anchor occurs in two blocks
-leave their block.  Such suffixes are dealt to groups by a prefix of variable
-length, read from the anchor on: a prefix that is too frequent is lengthened
-word by word, at most to the whole anchor, until its group fits into memory.
-Each group builds its suffix tree (truncated at WINDOW words) by prefix
-doubling over its own words: suffixes with equal rank at depth d are the leaves
-under one node of depth d, and the nodes of depth WINDOW with two leaves or
-more are the maximal repeats' heads.  Words, not hashes, are compared there.
-
-Inside one block equal windows are found by 128 bits of hash.
+each window the least hash of its ANCHOR-word grams is its anchor, and equal
+windows have equal anchors, so only windows whose anchor occurs in two documents
+become suffixes of a tree.
+
+A block of documents is one group of suffixes: its tree is built in the task that
+holds the block, whatever the number of blocks.  What it finds leaves the block
+once for each repeat, not once for each document.  Suffixes whose anchor occurs in
+another block are dealt to groups by a prefix of variable length, read from the
+anchor on: a prefix that is too frequent is lengthened word by word, at most to
+the whole anchor, until its group fits into memory.  A prefix that even then comes
+from more than FAN blocks is worked on in steps: FAN blocks at a time, of which only
+the pieces of the least documents go on to the next step.
+
+A group builds its suffix tree (truncated at WINDOW words) by prefix doubling over
+its own words: suffixes with equal rank at depth d are the leaves under one node
+of depth d, and those under one node of depth WINDOW are a repeat.  Between blocks
+words are compared as they are; in a block words are told apart by two independent
+64-bit hashes of their bytes, without which a vocabulary of strings would be made
+for every block.
 
 Nulls, ties and odd input: a null text has no words; a null doc_id counts as
 larger than every other; rows with equal doc_id never remove from each other;
@@ -31,11 +39,14 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import _blocks as B
 from siltstone.llm import _text as T
+from siltstone.session import durable
 
 WINDOW = 13
 ANCHOR = 7
 #: Suffixes of the plan's sample that one prefix may have before it is lengthened.
 PLAN_DOCS, PLAN_SHARE = 20_000, 0.002
+#: Blocks whose pieces of one group meet in one task.
+FAN = 4096
 NULL_ID = np.int64(2**63 - 1)
 PIECES = pa.schema([("grp", pa.int64()), ("block", pa.int32()), ("texts", pa.binary()), ("docs", pa.binary()), ("ats", pa.binary())])
 
@@ -47,7 +58,7 @@ class _Block:
         self.table = B.ordered(table)
         ids = self.table["doc_id"]
         self.ids = ids.fill_null(int(NULL_ID)).to_numpy() if len(ids) else np.zeros(0, np.int64)
-        self.words = w = T.Words(self.table["text"])
+        self.words = w = T.Words(self.table["text"], lanes=2)
         n = max(0, len(w.hash) - window + 1)
         self.at = np.flatnonzero(T.inside(w.first, window, n))  # first word of each window
         self.row = np.searchsorted(w.first, self.at, "right") - 1
@@ -68,23 +79,45 @@ class _Block:
         last = np.append(first[1:], len(a)) - 1
         return a[first], 1 + (r[first] != r[last])
 
-    def classes(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each window: its class, the class's first window and least doc_id here."""
-        h1 = T.grams(self.words.hash, window)[self.at]
-        h2 = T.grams(self.words.hash, window, T.Q2)[self.at]
+    def word_ids(self, at: np.ndarray) -> np.ndarray:
+        """A number for each word at the places: equal for equal words."""
+        h1, h2 = self.words.hash[at], self.words.hash2[at]
         order = np.argsort(h1, kind="stable")
         same = h1[order][1:] == h1[order][:-1]
-        if (same & (h2[order][1:] != h2[order][:-1])).any():  # h1 alone does not tell them apart
+        if (same & (h2[order][1:] != h2[order][:-1])).any():  # the first hash alone does not tell them apart
             order = np.lexsort((h2, h1))
             same = h1[order][1:] == h1[order][:-1]
         new = np.ones(len(order), dtype=bool)
         new[1:] = ~same | (h2[order][1:] != h2[order][:-1])
-        kind = np.empty(len(order), dtype=np.int64)
-        kind[order] = np.cumsum(new) - 1
-        head = order[new]  # lexsort is stable: the first window in document order
+        ids = np.empty(len(order), dtype=np.int64)
+        ids[order] = np.cumsum(new) - 1
+        return ids
+
+    def tree(self, window: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tree of the windows ``some`` (ascending): the node of each, and each
+        node's first window in document order and least doc_id here."""
+        if not len(some):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at, row = self.at[some], self.row[some]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
+        begin = np.flatnonzero(new)
+        # neighbouring windows are suffixes of one stretch of words
+        sizes = at[np.append(begin[1:], len(at)) - 1] + window - at[begin]
+        places = _ranges(at[begin], sizes)
+        _, node = _tree_nodes(self.word_ids(places), np.repeat(np.arange(len(sizes)), sizes), window)
+        _, kind = np.unique(node, return_inverse=True)
+        head = np.full(int(kind.max()) + 1, len(self.at))
+        np.minimum.at(head, kind, some)
         return kind, head, self.ids[self.row[head]]
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... (size numbers) of every range, one after the other."""
+    last = np.cumsum(size)
+    return np.arange(int(last[-1]) if len(last) else 0) + np.repeat(first - (last - size), size)
+
+
 def _prefixes(words: T.Words, at: np.ndarray, anchor: int) -> list[np.ndarray]:
     """Hashes of the first 1 .. anchor words from each position on."""
     return [T.grams(words.hash, d)[at] ^ np.uint64(d) for d in range(1, anchor + 1)]
@@ -143,7 +176,7 @@ def _tree_nodes(ids: np.ndarray, entry: np.ndarray, window: int) -> tuple[np.nda
     return at, rank[at]
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_mb: float = B.BLOCK_MB) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_mb: float = B.BLOCK_MB, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
     """(texts in blocks, flags): flags has, of each block, the windows that also
     start in a smaller document of another block, as lists of first words."""
     texts, n_blocks = B.in_blocks(docs, block_mb)
@@ -159,11 +192,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_m
 
     def suffixes(key, table, found):
         blk = _Block(table, window, anchor)
-        _, head, least = blk.classes(window)
-        order = np.argsort(head)
-        head, least = head[order], least[order]
-        wanted = T.member(blk.anchor[head], B.gathered(found)[0])
-        head = head[wanted]
+        # of every repeat in the block, its first window goes out
+        head = np.sort(blk.tree(window, np.flatnonzero(T.member(blk.anchor, B.gathered(found)[0])))[1])
         at, mins, row = blk.at[head], blk.anchor[head], blk.row[head]
         if not len(at):
             return pa.Table.from_batches([], schema=PIECES)
@@ -187,11 +217,15 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_m
 
     pieces = texts.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(suffixes, "grp long, block int, texts binary, docs binary, ats binary")
 
-    def subtree(table: pa.Table) -> pa.Table:
+    def subtree(table: pa.Table, last: bool) -> pa.Table:
+        """Flags (block, word) of a group's windows that a smaller document has; before
+        the last step also the pieces of those that have none smaller here."""
         vocabulary: dict[bytes, int] = {}
-        ids, sizes = [], []
+        words, ids, sizes = [], [], []
         for x in table["texts"]:
-            for piece in x.as_py()[:-1].split(b"\n"):
+            own = x.as_py()[:-1].split(b"\n")
+            words += own
+            for piece in own:
                 ws = piece.split(b" ")
                 sizes.append(len(ws))
                 ids.extend([vocabulary.setdefault(w, len(vocabulary)) for w in ws])
@@ -206,28 +240,56 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_m
         least = np.full(int(node.max()) + 1, NULL_ID)
         np.minimum.at(least, node, docs[owner])
         hit = least[node] < docs[owner]
+        on = np.unique(owner[~hit]) if not last else np.zeros(0, np.int64)
         at, owner = at[hit], owner[hit]
         word = ats[owner] + (at - begin[owner])
-        order = np.argsort(blocks[owner], kind="stable")
-        b, wd = blocks[owner][order], word[order]
-        cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
-        groups_of = list(zip(cut, np.append(cut[1:], len(b)))) if len(b) else []
-        return pa.table({"block": pa.array([int(b[x]) for x, _ in groups_of], pa.int32()), "word": pa.array([wd[x:y].tobytes() for x, y in groups_of], pa.binary())})
 
-    return texts, pieces.groupBy("grp").applyInArrow(subtree, "block int, word binary")
+        def of_blocks(b: np.ndarray) -> list[tuple[int, np.ndarray]]:
+            order = np.argsort(b, kind="stable")
+            cut = np.flatnonzero(np.diff(b[order], prepend=-1)) if len(b) else np.zeros(0, np.int64)
+            return [(int(b[k[0]]), k) for k in np.split(order, cut[1:])] if len(b) else []
+
+        flags = [(None, b, word[k].tobytes(), None, None, None) for b, k in of_blocks(blocks[owner])]
+        grp = table["grp"][0].as_py()
+        more = [(grp, b, None, b"".join(words[i] + b"\n" for i in on[k].tolist()), docs[on[k]].tobytes(), ats[on[k]].tobytes()) for b, k in of_blocks(blocks[on])]
+        names = ("grp", "block", "word", "texts", "docs", "ats")
+        kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+        cols = list(zip(*flags, *more)) or [()] * 6
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds)})
+
+    def step_of(last: bool):
+        return lambda table: subtree(table, last)
+
+    schema = "grp long, block int, word binary, texts binary, docs binary, ats binary"
+    flags, reach = None, 1
+    while True:
+        reach *= fan
+        last = reach >= n_blocks
+        step = step_of(last)
+        if last:
+            found = pieces.groupBy("grp").applyInArrow(step, schema)
+        else:
+            found = durable(pieces.groupBy("grp", F.floor(F.col("block") / reach)).applyInArrow(step, schema))
+            pieces = found.where("word is null").select("grp", "block", "texts", "docs", "ats")
+        own = found.where("word is not null").select("block", "word")
+        flags = own if flags is None else flags.union(own)
+        if last:
+            return texts, flags
 
 
 def _covered(blk: _Block, flags: pa.Table, window: int) -> np.ndarray:
-    """Which words of the block lie under a flagged window."""
-    n = len(blk.words.hash)
-    kind, head, least = blk.classes(window)
-    flagged = blk.ids[blk.row] > least[kind] if len(kind) else np.zeros(0, bool)
-    if flags.num_rows:
-        words = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.int64) for x in flags["word"]])
-        known = np.zeros(len(head), dtype=bool)
-        known[kind[np.searchsorted(blk.at, words)]] = True
-        flagged |= known[kind]
-    delta = np.zeros(n + 1, dtype=np.int64)
+    """Which words of the block lie under a flagged window: the tree of the block
+    says which windows are those of a smaller document here, and spreads the flags
+    of other blocks from a repeat's first window to all of it."""
+    words = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.int64) for x in flags["word"]]) if flags.num_rows else np.zeros(0, np.int64)
+    flagged = np.zeros(len(blk.at), dtype=bool)
+    flagged[np.searchsorted(blk.at, words)] = True
+    anchors, documents = blk.anchors()
+    some = np.flatnonzero(T.member(blk.anchor, np.union1d(anchors[documents > 1], blk.anchor[flagged])))
+    kind, head, least = blk.tree(window, some)
+    if len(some):
+        flagged[some] |= (blk.ids[blk.row[some]] > least[kind]) | flagged[head][kind]
+    delta = np.zeros(len(blk.words.hash) + 1, dtype=np.int64)
     np.add.at(delta, blk.at[flagged], 1)
     np.add.at(delta, blk.at[flagged] + window, -1)
     return np.cumsum(delta[:-1]) > 0
@@ -259,7 +321,7 @@ def _counts(blk: _Block, gone: np.ndarray) -> np.ndarray:
     return total[blk.words.first[1:]] - total[blk.words.first[:-1]]
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_mb: float = B.BLOCK_MB, spans: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_mb: float = B.BLOCK_MB, spans: bool = True, fan: int = FAN) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (of the kept
     words joined by one space) and, with ``spans``, the removed runs of words as
     [start, end) and the kept text."""
@@ -287,7 +349,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_mb:
             out["kept_text"] = pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
         return pa.table(out)
 
-    texts, flags = repeats(docs.select("doc_id", "text"), window, anchor, block_mb)
+    texts, flags = repeats(docs.select("doc_id", "text"), window, anchor, block_mb, fan)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", removed_spans array<array<int>>, kept_text string" * spans
     return _decided(texts, flags, window, make, schema)
 

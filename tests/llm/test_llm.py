@@ -113,10 +113,55 @@ def brute_dedup(rows, window=13):
     return out
 
 
-@pytest.mark.parametrize("block_mb", [8, 0.004])
-def test_substring_dedup(spark, corpus, block_mb):
+def test_word_hashes_tell_words_apart():
+    """Pairs that collide under any polynomial of the bytes, words that end alike, and long ones."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    texts = [a, b, "x" * 7, "x" * 8, "x" * 9, "x\0", "x", *("y" * k + "z" for k in (4095, 4096, 4097, 9000)), "y" * 9000 + "w"]
+    w = _text.Words(pa.array(texts), lanes=2)
+    assert w.count.tolist() == [1] * len(texts)
+    for h in (w.hash, w.hash2):
+        assert len(set(h.tolist())) == len(texts)
+    assert not set(w.hash.tolist()) & set(w.hash2.tolist())
+    rng = np.random.default_rng(0)
+    many = sorted({bytes(x).decode("latin1") for n in range(1, 20) for x in rng.integers(0x61, 0x7B, (3000, n), dtype=np.uint8)})
+    assert len(set(_text.Words(pa.array(many)).hash.tolist())) == len(many)
+
+
+def test_long_words_that_differ_are_no_repeat(spark):
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join([a] * 13)), (2, " ".join([b] * 13)), (3, " ".join([b] * 14))]
+    for block_mb in (8, 0.01):
+        got = {x.doc_id: x.n_removed for x in substring_dedup.dedup(spark.createDataFrame(rows, DOCS), block_mb=block_mb, spans=False).collect()}
+        assert got == {1: 0, 2: 0, 3: 14}
+    joined = {x.doc_id: x.component_id for x in ngram_join.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    assert joined == {1: 1, 2: 2, 3: 2}
+
+
+def test_a_block_builds_its_tree(corpus):
+    """One block alone: every class of equal windows is a node, told by words."""
+    table = pa.table({"doc_id": pa.array([i for i, _ in corpus], pa.int64()), "text": pa.array([t for _, t in corpus], pa.string())})
+    blk = substring_dedup._Block(table, 13, 7)
+    kind, head, least = blk.tree(13, np.arange(len(blk.at)))
+    text = lambda k: blk.words.text(int(blk.at[k]), int(blk.at[k]) + 13)
+    by = collections.defaultdict(list)
+    for k in range(len(blk.at)):
+        by[text(k)].append(k)
+    assert len(head) == len(by)
+    for own in by.values():
+        assert len({int(kind[k]) for k in own}) == 1 and head[kind[own[0]]] == own[0]
+        assert least[kind[own[0]]] == min(int(blk.ids[blk.row[k]]) for k in own)
+
+
+@pytest.mark.parametrize("block_mb, fan", [(8, 4096), (0.004, 4096), (0.004, 3)])
+def test_substring_dedup(spark, corpus, block_mb, fan):
     df = spark.createDataFrame(corpus, DOCS)
-    got = [tuple(r) for r in substring_dedup.dedup(df, block_mb=block_mb, spans=False).collect()]
+    got = [tuple(r) for r in substring_dedup.dedup(df, block_mb=block_mb, spans=False, fan=fan).collect()]
     assert sorted(got) == sorted(brute_dedup(corpus))
     spans = substring_dedup.dedup(df, block_mb=block_mb).collect()
     assert all(sum(b - a for a, b in r.removed_spans) == r.n_removed and len(words(r.kept_text)) == r.n_words - r.n_removed for r in spans)
@@ -500,11 +545,12 @@ def test_importance_weights_by_brute_force(spark):
     ratios = quality_resample.log_ratios(target, raw)
     for r in out:
         own = bags[r.doc_id]
-        assert r.log_weight / 1e6 == pytest.approx(10 * ratios[own].sum() / max(1, len(own)), abs=1e-4)
+        assert r.log_weight / 1e6 == pytest.approx(10 * ratios[own].sum() / (len(own) + 30), abs=1e-4)
     kept = sorted((r.perturbed for r in out if r.kept), reverse=True)
     assert kept == sorted((r.perturbed for r in out), reverse=True)[: len(kept)]
     quality = {r.doc_id: r.quality for r in labels.collect()}
-    assert all(r.kept for r in out if quality.get(r.doc_id) == 1)
+    good = [r.kept for r in out if quality.get(r.doc_id) == 1]
+    assert sum(good) >= 0.98 * len(good)  # drawn, not cut off
     assert sum(r.kept for r in out if quality.get(r.doc_id) == 0) <= 0.1 * sum(q == 0 for q in quality.values())
 
 

@@ -32,7 +32,8 @@ def test_columns(stages):
 def test_quality_keeps_the_good_and_drops_the_bad(spark, stages):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
     kept = {r.doc_id for r in stages[1].collect()}
-    assert {i for i, q in labels.items() if q == 1} <= kept
+    good = {i for i, q in labels.items() if q == 1}
+    assert len(good & kept) >= 0.98 * len(good)  # drawn, not cut off
     assert sum(i in kept for i, q in labels.items() if q == 0) <= 0.1 * sum(q == 0 for q in labels.values())
 
 

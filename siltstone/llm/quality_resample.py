@@ -10,8 +10,8 @@ up to SAMPLE_CHARS).
 
 Gumbel noise is added to the log weights and the k largest are kept, which draws
 k documents one after the other, without replacement, each time in proportion
-to exp(log weight).  k is the number of documents whose weight reaches the level
-that KEEP_GOOD of the sample reach, so it follows the corpus.  Documents as good as
+to exp(log weight).  k is the number of documents whose weight is no more than SLACK
+below the level that KEEP_GOOD of the sample reach, so it follows the corpus.  Documents as good as
 the sample are drawn almost surely, much worse ones almost never, and those between
 by chance, the more likely the larger their weight.
 
@@ -47,6 +47,8 @@ LAGS = 4
 SAMPLE_DOCS, SAMPLE_CHARS = 10_000, 50_000
 EFFECTIVE, PRIOR = 10.0, 30
 KEEP_GOOD = 0.9998
+#: What an unlabelled good document may lie below the level of the labelled ones.
+SLACK = 2.0
 SMOOTH = 1.0
 SEED = 42
 
@@ -167,7 +169,7 @@ def resample(docs: DataFrame, labels: DataFrame, keep_good: float = KEEP_GOOD, s
     # the level that keep_good of the good reach; it is one of their weights
     level = kth_largest(known, weight, max(1, -int(-n_known * keep_good // 1))) if n_known else None
     plain = durable(scored(docs.select("doc_id", "text")).select(weight, perturbed))
-    k = plain.where(F.col(weight) >= level).count() if level is not None else plain.count()
+    k = plain.where(F.col(weight) >= level - int(SLACK * 1e6)).count() if level is not None else plain.count()
     border = kth_largest(plain, perturbed, k)
     # the documents are scored once more rather than shuffled to their scores
     return scored(docs).withColumn(kept, F.lit(False) if border is None else F.col(perturbed) >= border)

@@ -1,8 +1,8 @@
-"""Queries of this subpackage: name -> callable, and name -> DuckDB SQL where SQL can express it."""
+"""Queries of this subpackage: name -> callable, and name -> DuckDB SQL where SQL can express it.
+The pipeline of the root script is registered by the entry module."""
 
 from __future__ import annotations
 
-import corpus_pipeline
 from siltstone.llm import (
     chat_format, decontaminate, html_extract, license_scan, line_crf, ngram_join, packing, quality_resample, substring_dedup, toxicity,
 )
@@ -19,7 +19,6 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_html_extract": html_extract.op9_html_extract,
     "op10_license_scan": license_scan.op10_license_scan,
-    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op1_substring_dedup": substring_dedup.SQL,
@@ -28,5 +27,3 @@ SQL = {
     "op8_chat_format": chat_format.SQL,
     "op10_license_scan": license_scan.SQL,
 }
-if corpus_pipeline.ORACLE_SQL is not None:
-    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -1,6 +1,10 @@
 """The corpus pipeline: five stages over documents, each on all that the one
 before it kept.  Every stage is (spark, docs, sf_dir) -> DataFrame; all but the
-last return the columns of documents."""
+last return the columns of documents.
+
+What holds for all stages: an empty table gives an empty result, texts of any
+length are worked on whole, and columns beyond doc_id and text are carried along
+whatever their names (n_chars is counted anew where a text is changed)."""
 
 from __future__ import annotations
 
@@ -13,32 +17,46 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling draws; the others go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_resample.resample(docs, labels).where("kept").select(docs.columns)
+    """Documents that importance resampling draws; the others go.
+
+    A null or empty text has weight 0, which is that of a middling document.  Equal
+    weights are told apart by noise made of doc_id and a fixed seed; rows that repeat
+    a doc_id have one noise, and null ids share one."""
+    return quality_resample.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the least doc_id.
-    Rows that share a doc_id are one document; documents without one stay."""
+
+    Rows that share a doc_id are one document and stay or go together; a row
+    without doc_id stays; null and empty texts are like nothing and stay."""
     groups = ngram_join.near_duplicates(docs.select("doc_id", "text"))
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a document with a smaller doc_id has too;
-    documents of which nothing is left go."""
-    return substring_dedup.cleaned(docs).select(docs.columns)
+    documents of which nothing is left go.
+
+    A null doc_id counts as larger than every other; rows with equal doc_id take
+    nothing from each other; null texts and texts without words stay as they are."""
+    return substring_dedup.cleaned(docs).select(*[f"`{c}`" for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
+    """Documents that hold no benchmark item.
+
+    Null and empty texts and items match nothing; rows that repeat are judged alike;
+    an empty benchmark leaves all documents."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences.
+
+    A null text counts as empty and still has its end token; a null id stays null;
+    rows that repeat are packed as rows of their own."""
     return packing.pack_documents(docs)
 
 

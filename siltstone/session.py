@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,8 @@ BASE = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.cbo.enabled": "true",
     "spark.sql.cbo.joinReorder.enabled": "true",
+    # checkpoints that nothing refers to any more are removed
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 #: Profiles for kinds of work, as additions to BASE.
@@ -39,10 +43,19 @@ def create(app: str = "siltstone", profile: str = "balanced", master: str | None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one only where none is set (tests)."""
+    """The session's shared folder, from spark.checkpoint.dir.
+
+    Where none is set a local session (tests) gets a temporary one, which goes when
+    the program ends; a cluster gets an error, as its machines share no such folder."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines share")
+            place = tempfile.mkdtemp(prefix="siltstone-")
+            atexit.register(shutil.rmtree, place, ignore_errors=True)
+        sc.setCheckpointDir(place)
     return sc.getCheckpointDir()
 
 
@@ -52,9 +65,16 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def durable(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, so that what
     follows neither repeats it nor depends on the executors that made it.  Spark is
-    told to remove a query's shuffle files when it ends: from then on the
-    checkpoint stands in for them."""
+    told to remove this query's shuffle files when it ends: from then on the
+    checkpoint stands in for them.  The setting is put back afterwards."""
     spark = df.sparkSession
     checkpoint_dir(spark)
+    before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
-    return df.select("*").checkpoint(eager=True)  # a plan made under this setting
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan made under this setting
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)

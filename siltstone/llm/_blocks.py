@@ -25,6 +25,12 @@ def free_name(taken: list[str], name: str) -> str:
     return name
 
 
+def plain_names(columns: list[str]) -> list[str]:
+    """doc_id and text, and numbered names for the rest, as Python functions over
+    rows cannot take columns of any name; toDF() puts the names back."""
+    return [c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(columns)]
+
+
 def in_blocks(docs: DataFrame, block_mb: float = BLOCK_MB) -> tuple[DataFrame, int]:
     """docs with their block first, and the number of blocks; one pass over the lengths."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.lit(1)).alias("n")).first()

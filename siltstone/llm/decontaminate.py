@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
 from siltstone.llm import _text as T
-from siltstone.llm._blocks import free_name
+from siltstone.llm._blocks import free_name, plain_names
 from siltstone.session import durable
 
 SIZE = 5
@@ -221,7 +221,8 @@ def _chunks(benchmark: DataFrame, chunk_bytes: int) -> list[DataFrame]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, radius: int = RADIUS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """docs with ``leaks`` as the last column: of every benchmark item that a
     document holds, the most similar window.  The columns of docs stay as they are."""
-    name = free_name(docs.columns, "leaks")
+    names, name = [*docs.columns, free_name(docs.columns, "leaks")], "leaks"
+    docs = docs.toDF(*plain_names(docs.columns))
     schema = StructType([*docs.schema.fields, StructField(name, DataType.fromDDL(LEAKS))])
     sc = docs.sparkSession.sparkContext
 
@@ -243,13 +244,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, similari
     out = docs
     for i, chunk in enumerate(_chunks(benchmark, chunk_bytes)):
         out = scan(chunk, durable(out) if i else out, add=i > 0)
-    return out
+    return out.toDF(*names)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no benchmark item, with their columns."""
     out = find_leaks(docs, benchmark, **options)
-    return out.where(F.size(out[out.columns[-1]]) == 0).select(*[out[c] for c in docs.columns])
+    return out.where(F.size(out[out.columns[-1]]) == 0).select(*[out[f"`{c}`"] for c in docs.columns])
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from siltstone.llm import _text as T
-from siltstone.llm._blocks import free_name
+from siltstone.llm._blocks import free_name, plain_names
 from siltstone.session import durable
 
 BUCKETS = 10_000
@@ -152,7 +152,9 @@ def resample(docs: DataFrame, labels: DataFrame, keep_good: float = KEEP_GOOD, s
     """docs with log_weight, perturbed (both in millionths, long) and kept as the last columns."""
     sample = good_sample(docs, labels, sample_docs)
     ratios = log_ratios(counted(sample), counted(docs))
-    weight, perturbed, kept = (free_name(docs.columns, n) for n in ("log_weight", "perturbed", "kept"))
+    weight, perturbed, kept = "log_weight", "perturbed", "kept"
+    names = [*docs.columns, *(free_name(docs.columns, n) for n in (weight, perturbed, kept))]
+    docs = docs.toDF(*plain_names(docs.columns))
 
     def score(batches):
         millionths = lambda x: pa.array(np.clip(np.rint(x * 1e6), -9e18, 9e18).astype(np.int64))
@@ -172,13 +174,13 @@ def resample(docs: DataFrame, labels: DataFrame, keep_good: float = KEEP_GOOD, s
     k = plain.where(F.col(weight) >= level - int(SLACK * 1e6)).count() if level is not None else plain.count()
     border = kth_largest(plain, perturbed, k)
     # the documents are scored once more rather than shuffled to their scores
-    return scored(docs).withColumn(kept, F.lit(False) if border is None else F.col(perturbed) >= border)
+    return scored(docs).withColumn(kept, F.lit(False) if border is None else F.col(perturbed) >= border).toDF(*names)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are drawn, with all their columns."""
     out = resample(docs, labels, **options)
-    return out.where(out[out.columns[-1]]).select(*[out[c] for c in docs.columns])
+    return out.where(out[out.columns[-1]]).select(*[out[f"`{c}`"] for c in docs.columns])
 
 
 def op5_quality_resample(spark, sf_dir: str) -> DataFrame:

@@ -79,3 +79,21 @@ def test_all_that_is_left_is_packed(stages):
 
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def test_columns_of_any_name_come_through(spark):
+    """Each stage returns what it was given beside the text, under clashing names and with nulls."""
+    names = ["leaks", "kept", "log_weight", "Perturbed", "component_id", "block", "n_shingles", "a.b", "word"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    for i, name in enumerate(names):
+        docs = docs.withColumn(name, docs["doc_id"] * 10 + i)
+    odd = spark.createDataFrame([(None, None, None, None, None, *[None] * 9), (7777, "", "en", "s", 0, *range(9))], docs.schema)
+    rows = docs.union(odd).cache()
+    want = {r["doc_id"]: tuple(r[n] for n in names) for r in rows.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, DATA)
+        assert out.columns == rows.columns, name
+        got = out.collect()
+        assert got and all(tuple(r[n] for n in names) == want[r["doc_id"]] for r in got), name
+        assert stage(spark, rows.limit(0), DATA).count() == 0, name
+    assert corpus_pipeline.pack(spark, rows, DATA).select("doc_id").distinct().count() == len(want)

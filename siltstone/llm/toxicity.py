@@ -47,7 +47,7 @@ from siltstone.session import durable
 
 EXAMPLES = 4_096
 TERMS = 10_000
-LEAST_DOCS, MOST = 3, 0.1
+LEAST_DOCS, MOST = 3, 0.05
 #: Chi-square at which a term has half of the full relevance, and the relevance of all others.
 CHI2, BASE = 30.0, 0.05
 PREFIXES = (4, 6)
@@ -74,24 +74,43 @@ class Vocabulary:
         self.index = {t: i for i, t in enumerate(terms)}
         self.cache: dict[str, tuple[int, ...]] = {}
 
-    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(terms of a text in order, their counts)."""
-        if not self.index or not text:
-            return np.zeros(0, np.int64), np.zeros(0)
+    def _known(self, word: str) -> tuple[int, ...]:
+        known = self.cache[word] = tuple(self.index[t] for t in terms_of(word) if t in self.index)
+        return known
+
+    def _words(self, text: str | None) -> list[str]:
         if len(self.cache) > self.CACHE:
             self.cache.clear()
-        cache, index = self.cache, self.index
+        return _WORD.findall(text.lower()) if text and self.index else []
+
+    def present(self, text: str | None) -> set[int]:
+        """The terms of a text."""
+        out: set[int] = set()
+        get = self.cache.get
+        for word in set(self._words(text)):
+            known = get(word)
+            if known is None:
+                known = self._known(word)
+            if known:
+                out.update(known)
+        return out
+
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(terms of a text in order, their counts)."""
         ids: list[int] = []
         times: list[int] = []
-        for word, n in Counter(_WORD.findall(text.lower())).items():
-            known = cache.get(word)
+        get = self.cache.get
+        for word, n in Counter(self._words(text)).items():
+            known = get(word)
             if known is None:
-                known = cache[word] = tuple(index[t] for t in terms_of(word) if t in index)
-            for i in known:
-                ids.append(i)
-                times.append(n)
+                known = self._known(word)
+            if known:
+                ids += known
+                times += [n] * len(known)
+        if not ids:
+            return np.zeros(0, np.int64), np.zeros(0)
         terms, at = np.unique(np.array(ids, dtype=np.int64), return_inverse=True)
-        return terms, np.bincount(at, weights=times, minlength=len(terms)) if ids else np.zeros(0)
+        return terms, np.bincount(at, weights=times, minlength=len(terms))
 
 
 def vector(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -113,7 +132,7 @@ class BlockMaxIndex:
     An entry is one term's postings in one block: ``entry_first`` gives a term's
     entries, ``first`` an entry's postings."""
 
-    STEP = 4  # blocks of the first visit; each next one takes twice as many
+    STEP = 16  # blocks of the first visit; each next one takes twice as many
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         self.n, self.block = len(vectors), block
@@ -268,7 +287,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, max_terms:
         for b in batches:
             rows += b.num_rows
             for text in b["text"].to_pylist():
-                total[vocabulary.counts(text)[0]] += 1
+                own = vocabulary.present(text)
+                total[np.fromiter(own, np.int64, len(own))] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([rows, *total[at]], pa.int64())], names=["term", "n"])
 

@@ -180,7 +180,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, block_m
     """(texts in blocks, flags): flags has, of each block, the windows that also
     start in a smaller document of another block, as lists of first words."""
     texts, n_blocks = B.in_blocks(docs, block_mb)
-    buckets = groups = B.buckets_for(n_blocks)
+    buckets, groups = B.buckets_for(n_blocks), max(1, n_blocks // 2)
     split = _plan(texts.select("doc_id", "text"), n_blocks, anchor, window) if n_blocks > 1 else np.zeros(0, np.uint64)
 
     def spread(key, table):

@@ -45,13 +45,13 @@ from pyspark.sql import functions as F
 
 from siltstone.session import durable
 
-EXAMPLES = 4_096
+EXAMPLES = 3_072
 TERMS = 10_000
 LEAST_DOCS, MOST = 3, 0.05
 #: Chi-square at which a term has half of the full relevance, and the relevance of all others.
 CHI2, BASE = 30.0, 0.05
 PREFIXES = (4, 6)
-BLOCK = 64
+BLOCK = 32
 K = 15
 HELD_OUT = 2
 CUT = 0.3
@@ -132,7 +132,7 @@ class BlockMaxIndex:
     An entry is one term's postings in one block: ``entry_first`` gives a term's
     entries, ``first`` an entry's postings."""
 
-    STEP = 16  # blocks of the first visit; each next one takes twice as many
+    STEP = 32  # blocks of the first visit; each next one takes twice as many
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         self.n, self.block = len(vectors), block
@@ -150,11 +150,11 @@ class BlockMaxIndex:
         self.entry_max = np.maximum.reduceat(self.weight, begin) if len(begin) else np.zeros(0)
         self.entry_first = np.searchsorted(key[begin] // self.blocks, np.arange(n_terms + 1))
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The examples whose cosine is over 0 and no less than the k-th largest,
-        best first, ties by number."""
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, numbers) of the examples whose cosine is over 0 and no less than
+        the k-th largest, best first, ties by number."""
         if not len(terms):
-            return []
+            return np.zeros(0), np.zeros(0, np.int64)
         a, b = self.entry_first[terms], self.entry_first[terms + 1]
         entry = _ranges(a, b)
         own = np.repeat(weights, b - a)
@@ -185,13 +185,13 @@ class BlockMaxIndex:
                 last = int(np.searchsorted(-cosines, -cosines[k - 1], "right"))
                 ids, cosines = ids[:last], cosines[:last]
             seen, step = seen + step, step * 2
-        return list(zip(cosines.tolist(), ids.tolist()))
+        return cosines, ids
 
 
-def vote(neighbours: list[tuple[float, int]], labels: np.ndarray, k: int) -> float:
+def vote(cosines: np.ndarray, labels: np.ndarray) -> float:
     """Share of votes for label 1, each 1 / (distance + 0.05)."""
-    weights = [1.0 / (1.05 - s) for s, _ in neighbours]
-    return sum(w * labels[i] for w, (_, i) in zip(weights, neighbours)) / sum(weights)
+    weights = 1.0 / (1.05 - cosines)
+    return float(weights @ labels / weights.sum())
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,9 +230,9 @@ class Model:
         own = np.where(self.labels == 1, up, down)
         votes, at = [], []
         for i, (t, w) in enumerate(vectors):
-            found = self.index.nearest(t, w, k, without=i)
-            if found:
-                votes.append(vote(found, self.labels, k))
+            cosines, near = self.index.nearest(t, w, k, without=i)
+            if len(near):
+                votes.append(vote(cosines, self.labels[near]))
                 at.append(i)
         at = np.array(at, dtype=np.int64)
         self.knots, self.values = isotonic(np.array(votes), self.labels[at], own[at]) if len(at) else (np.zeros(1), np.zeros(1))
@@ -240,11 +240,12 @@ class Model:
         mass = own[bare].sum() if len(vectors) else 0.0
         self.bare = float((own[bare] * self.labels[bare]).sum() / mass) if mass else float(share)
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[float, int]]]:
-        found = self.index.nearest(terms, vector(terms, counts, self.weight), self.k)
-        if not found:
-            return self.bare, []
-        return float(np.interp(vote(found, self.labels, self.k), self.knots, self.values)), found
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """(score, cosines, numbers of the neighbours)."""
+        cosines, near = self.index.nearest(terms, vector(terms, counts, self.weight), self.k)
+        if not len(near):
+            return self.bare, cosines, near
+        return float(np.interp(vote(cosines, self.labels[near]), self.knots, self.values)), cosines, near
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, max_terms: int = TERMS, k: int = K) -> Model:
@@ -313,37 +314,43 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, max_terms:
     return Model(terms, idf * (stands_out / (stands_out + CHI2) + BASE), rows, share, k)
 
 
-SCHEMA = "doc_id long, held_out boolean, score double, predicted int, neighbours array<struct<doc_id:bigint,toxic:int,cosine:double>>"
+SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
+EVIDENCE = "neighbours array<struct<doc_id:bigint,toxic:int,cosine:double>>"
 _EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
 
-def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
-    """Score, verdict and evidence for every document; no shuffle."""
+def score(docs: DataFrame, model: Model, cut: float = CUT, evidence: bool = True) -> DataFrame:
+    """Score, verdict and, if wanted, the neighbours that voted, for every document; no shuffle."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == HELD_OUT, F.lit(False))
 
+    def neighbours(cosines: np.ndarray, near: np.ndarray) -> list[dict]:
+        return [{"doc_id": model.ids[i], "toxic": int(model.labels[i]), "cosine": c} for c, i in zip(cosines.tolist(), near.tolist())]
+
     def run(batches):
         vocabulary = Vocabulary(model.terms)
         seen: dict[bytes, tuple] = {}  # copies are scored once
         for b in batches:
-            scores, evidence = [], []
+            rows = []
             for text in b["text"].to_pylist():
                 key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 if (got := seen.get(key)) is None:
                     if len(seen) > 20_000:
                         seen.clear()
-                    s, near = model.score(*vocabulary.counts(text))
-                    got = seen[key] = (round(s, 9), [{"doc_id": model.ids[i], "toxic": int(model.labels[i]), "cosine": c} for c, i in near])
-                scores.append(got[0])
-                evidence.append(got[1])
-            yield pa.RecordBatch.from_arrays(
-                [b["doc_id"], b["held_out"], pa.array(scores, pa.float64()), pa.array([int(s >= cut) for s in scores], pa.int32()), pa.array(evidence, _EVIDENCE)],
-                names=[x.split()[0] for x in SCHEMA.split(", ")],
-            )
+                    s, cosines, near = model.score(*vocabulary.counts(text))
+                    got = seen[key] = (round(s, 9), neighbours(cosines, near) if evidence else None)
+                rows.append(got)
+            columns = [b["doc_id"], b["held_out"], pa.array([s for s, _ in rows], pa.float64()), pa.array([int(s >= cut) for s, _ in rows], pa.int32())]
+            names = ["doc_id", "held_out", "score", "predicted"]
+            if evidence:
+                columns.append(pa.array([n for _, n in rows], _EVIDENCE))
+                names.append("neighbours")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
+    return source.mapInArrow(run, f"{SCHEMA}, {EVIDENCE}" if evidence else SCHEMA)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
-    return score(docs, model).select("doc_id", "held_out", "score", "predicted")
+    return score(docs, model, evidence=False)

@@ -33,28 +33,20 @@ def _meet(left: DataFrame, right: DataFrame, txs: DataFrame, on: Column, key: st
     """(tx_a, tx_b, key) of rows a of left and b of right that satisfy ``on`` and
     whose transactions overlap; key is taken from side ``key``.
 
-    Time is cut into slots of about a transaction's length; two finished
-    transactions that overlap share the slot in which the later one began, so
-    they meet there, once, and a busy key is not joined with itself over all
-    time.  Running transactions have no end and are joined apart: they are few."""
+    Time is cut into slots of about a transaction's length; two transactions that
+    overlap share the slot in which the later one began, so they meet there, once,
+    and a busy key is not joined with itself over all time.  A running transaction
+    lies in all slots from its start to the last start of any."""
     length = txs.agg(F.percentile_approx(F.col("commit_ts") - F.col("start_ts"), 0.95)).first()[0]
     size = max(1, int(length or 1))
     slot = lambda c: F.floor(F.col(c) / size)
-    a, b = left.join(txs, "tx_id"), right.join(txs, "tx_id")
-    ended, running = F.col("commit_ts").isNotNull(), F.col("commit_ts").isNull()
-    spread = lambda t: t.where(ended).withColumn("slot", F.explode(F.sequence(slot("start_ts"), slot("commit_ts"))))
+    last = txs.agg(F.max("start_ts").alias("last"))
+    until = txs.crossJoin(F.broadcast(last)).withColumn("until", F.coalesce("commit_ts", "last")).drop("last")
+    spread = lambda t: t.join(until, "tx_id").withColumn("slot", F.explode(F.sequence(slot("start_ts"), F.greatest(slot("start_ts"), slot("until")))))
     later = F.greatest(slot("a.start_ts"), slot("b.start_ts"))
-    parts = [
-        (spread(a), spread(b), (F.col("a.slot") == F.col("b.slot")) & (F.col("a.slot") == later)),
-        (a.where(running), b, F.lit(True)),
-        (a.where(ended), b.where(running), F.lit(True)),
-    ]
-    out = None
-    for x, y, where in parts:
-        both = x.alias("a").join(y.alias("b"), where & on & _overlap("a", "b"))
-        both = both.select(F.col("a.tx_id").alias("tx_a"), F.col("b.tx_id").alias("tx_b"), F.col(f"{key}.key").alias("key"))
-        out = both if out is None else out.union(both)
-    return out.distinct()
+    meet = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.slot") == later)
+    both = spread(left).alias("a").join(spread(right).alias("b"), meet & on & _overlap("a", "b"))
+    return both.select(F.col("a.tx_id").alias("tx_a"), F.col("b.tx_id").alias("tx_b"), F.col(f"{key}.key").alias("key")).distinct()
 
 
 def _pairs(left: DataFrame, right: DataFrame, txs: DataFrame, unordered: bool) -> DataFrame:
@@ -129,18 +121,18 @@ def _components(edges: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame] |
 def cycles(edges: DataFrame, rounds: int = 16) -> DataFrame:
     """Nodes that lie on a cycle of edges (src, dst) of any length.
 
-    Strongly connected components are taken off by colors, which costs a join
-    with the edges a step; what needs more than ``rounds`` steps is left to
-    reachability by doubling.  Raises an error if paths still grow after
-    ``rounds`` doublings."""
+    Strongly connected components are taken off by colors, each step a join with
+    the edges; nothing larger than the edges is ever kept.  Raises an error if a
+    color still spreads after 2 ** rounds steps, or components are left after that
+    many times."""
     edges = durable(edges.select("src", "dst").distinct())
     found = edges.where("src = dst").select(F.col("src").alias("node"))
     edges = edges.where("src <> dst")
-    for _ in range(rounds):
+    for _ in range(1 << rounds):
         edges = _trimmed(edges, rounds)
         if edges.isEmpty():
             return found.distinct()
-        parts = _components(edges, rounds)
+        parts = _components(edges, 1 << rounds)
         if parts is None:
             break
         members, colors = parts
@@ -148,17 +140,7 @@ def cycles(edges: DataFrame, rounds: int = 16) -> DataFrame:
         rest = colors.join(members.select("node"), "node", "left_anti")
         of = lambda end: rest.select(F.col("node").alias(end), F.col("color").alias(f"{end}_color"))  # noqa: B023, E731
         edges = durable(edges.join(of("src"), "src").join(of("dst"), "dst").where("src_color = dst_color").select("src", "dst"))
-    reach = edges
-    n = reach.count()
-    for _ in range(rounds):
-        step = reach.alias("a").join(reach.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-        reach = durable(reach.union(step.distinct()).distinct())
-        before, n = n, reach.count()
-        if before == n:
-            break
-    else:
-        raise RuntimeError(f"paths still grow after {rounds} doublings")
-    return found.union(reach.where("src = dst").select(F.col("src").alias("node"))).distinct()
+    raise RuntimeError(f"cycles longer than {1 << rounds} steps")
 
 
 def first_committer(writes: DataFrame, versions: DataFrame, txs: DataFrame) -> DataFrame:

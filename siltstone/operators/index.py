@@ -1,13 +1,17 @@
 """Secondary indexes: projections (index key, primary key) and queries on them.
 
 An index over several columns has a struct as its key, so its order is the order
-of the tuples.  Rows that lack one of the columns are not indexed.  An index is
-derived from its table, so it needs no maintenance of its own.
+of the tuples.  Rows that lack one of the columns are not indexed.
+
+An index may be stored: entries in Parquet, in ranges of the key and sorted in
+them, so that a key or range reads few row groups.  A stored index is maintained by
+``changed``, which writes what inserted and deleted rows make of it; without a store
+the entries are derived from the table with each use.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -25,14 +29,35 @@ class Index:
     columns: tuple[str, ...]
     primary_key: str
     unique: bool = False
+    stored: DataFrame | None = None
 
     def entries(self) -> DataFrame:
         """(index_key, primary_key); index_key is a column or a struct of columns."""
+        return self.stored if self.stored is not None else self._of(self.table)
+
+    def store(self, path: str, entries: DataFrame | None = None) -> Index:
+        """The index written to path; entries: what to write instead of the table's."""
+        rows = self._of(self.table) if entries is None else entries
+        rows.repartitionByRange("index_key", "primary_key").sortWithinPartitions("index_key", "primary_key").write.parquet(path)
+        return replace(self, stored=self.table.sparkSession.read.parquet(path))
+
+    def changed(self, table: DataFrame, path: str, inserted: DataFrame | None = None, deleted: DataFrame | None = None) -> Index:
+        """The stored index after rows were inserted and deleted (whole rows, as in the
+        table); table is the table after it.  An updated row is one of either."""
+        entries = self.entries()
+        if deleted is not None:
+            gone = self._of(deleted)
+            entries = entries.join(gone, (entries["index_key"] == gone["index_key"]) & (entries["primary_key"] == gone["primary_key"]), "left_anti")
+        if inserted is not None:
+            entries = entries.unionByName(self._of(inserted))
+        return replace(self, table=table).store(path, entries)
+
+    def _of(self, table: DataFrame) -> DataFrame:
         present = F.lit(True)
         for c in self.columns:
             present = present & F.col(c).isNotNull()
         key = F.col(self.columns[0]) if len(self.columns) == 1 else F.struct(*self.columns)
-        return self.table.where(present).select(key.alias("index_key"), F.col(self.primary_key).alias("primary_key"))
+        return table.where(present).select(key.alias("index_key"), F.col(self.primary_key).alias("primary_key"))
 
     def _literal(self, value: Any) -> Column:
         if len(self.columns) == 1:
@@ -54,7 +79,11 @@ class Index:
         return out
 
     def lookup(self, value: Any) -> DataFrame:
-        """Rows of the table whose key is value: a filter that reaches the scan."""
+        """Rows of the table whose key is value: a filter that reaches the scan, or, with
+        a stored index, the rows with the primary keys that it gives."""
+        if self.stored is not None:
+            hits = self.key(value).select(F.col("primary_key").alias(self.primary_key))
+            return self.table.join(hits, self.primary_key, "left_semi")
         condition = F.lit(True)
         for c, v in zip(self.columns, (value,) if len(self.columns) == 1 else value, strict=True):
             condition = condition & (F.col(c) == F.lit(v))

@@ -24,8 +24,8 @@ def successor(prefix: bytes) -> bytes | None:
 
 @dataclass(frozen=True)
 class NumberKey:
-    """Keys made of a text prefix and a column padded to a fixed width, such as
-    'order:0000000042'.  Bounds on such keys are bounds on the column too, which
+    """Keys made of a text prefix and a column of numbers from 0, padded to a fixed
+    width that they fit, such as 'order:0000000042'.  Bounds on such keys are bounds on the column too, which
     a Parquet scan can use to skip row groups."""
 
     prefix: str
@@ -35,12 +35,65 @@ class NumberKey:
     def key(self) -> Column:
         return F.concat(F.lit(self.prefix), F.lpad(F.col(self.column).cast("string"), self.width, "0"))
 
-    def bounds(self, start: str | None, end: str | None) -> Column:
+    def _number(self, key: str | None) -> int | None:
+        if key is None or not key.startswith(self.prefix):
+            return None
+        digits = key[len(self.prefix) :]
+        return int(digits) if len(digits) == self.width and digits.isascii() and digits.isdigit() else None
+
+    def bounds(self, start: str | None, end: str | None, include_end: bool = False) -> Column:
+        """What a key in the range asks of the column; the key's own test still decides."""
+        out, low, high = F.lit(True), self._number(start), self._number(end)
+        if low is not None:
+            out = out & (F.col(self.column) >= low)
+        if high is not None:
+            out = out & (F.col(self.column) <= high if include_end else F.col(self.column) < high)
+        return out
+
+    def prefix_bounds(self, prefix: str) -> Column:
+        """What a key with the prefix asks of the column."""
+        digits = prefix[len(self.prefix) :]
+        if not prefix.startswith(self.prefix):
+            return F.lit(self.prefix.startswith(prefix))
+        if not (digits.isascii() and digits.isdigit()) or len(digits) > self.width:
+            return F.lit(True)  # the key's own test decides
+        rest = 10 ** (self.width - len(digits))
+        return F.col(self.column).between(int(digits) * rest, (int(digits) + 1) * rest - 1)
+
+
+@dataclass(frozen=True)
+class NamedNumberKey:
+    """Keys made of a text prefix, a text column, a separator and a column padded to a
+    fixed width, such as 'cust:BUILDING:00000042'."""
+
+    prefix: str
+    name: str
+    separator: str
+    column: str
+    width: int
+
+    def key(self) -> Column:
+        return F.concat(F.lit(self.prefix), F.col(self.name), F.lit(self.separator), F.lpad(F.col(self.column).cast("string"), self.width, "0"))
+
+    def bounds(self, start: str | None, end: str | None, include_end: bool = False) -> Column:
+        """Only bounds that are the beginning of a name are used: a key is no less than
+        one if its name is not, or if the bound goes beyond its name at a separator."""
         out = F.lit(True)
-        if start is not None and start.startswith(self.prefix) and (digits := start[len(self.prefix) :]).isdigit() and len(digits) == self.width:
-            out = out & (F.col(self.column) >= int(digits))
-        if end is not None and end.startswith(self.prefix) and (digits := end[len(self.prefix) :]).isdigit() and len(digits) == self.width:
-            out = out & (F.col(self.column) < int(digits))
+        if start is not None and start.startswith(self.prefix) and self.separator not in (rest := start[len(self.prefix) :]):
+            out = out & ((F.col(self.name) >= F.lit(rest)) | F.startswith(F.lit(rest), F.col(self.name)))
+        if end is not None and end.startswith(self.prefix) and self.separator not in (rest := end[len(self.prefix) :]):
+            out = out & (F.col(self.name) <= F.lit(rest))
+        return out
+
+    def prefix_bounds(self, prefix: str) -> Column:
+        """A name that begins with the rest, or one that the rest goes beyond at a separator."""
+        if not prefix.startswith(self.prefix):
+            return F.lit(self.prefix.startswith(prefix))
+        rest = prefix[len(self.prefix) :]
+        out = F.col(self.name).startswith(rest)
+        for i in range(len(rest)):
+            if rest.startswith(self.separator, i):
+                out = out | (F.col(self.name) == F.lit(rest[:i]))
         return out
 
 
@@ -49,21 +102,21 @@ class KeyValue:
     """A key-value view; ``codec`` and ``rows`` allow bounds to reach the table."""
 
     frame: DataFrame
-    codec: NumberKey | None = None
+    codec: NumberKey | NamedNumberKey | None = None
     rows: DataFrame | None = None
     value: Column | None = None
 
     @classmethod
-    def of(cls, rows: DataFrame, codec: NumberKey, value: Column) -> KeyValue:
+    def of(cls, rows: DataFrame, codec: NumberKey | NamedNumberKey, value: Column) -> KeyValue:
         return cls(rows.select(codec.key().alias("key"), value.alias("value")), codec, rows, value)
 
-    def _bounded(self, start, end) -> DataFrame:
+    def _bounded(self, start, end, include_end: bool = False) -> DataFrame:
         if self.codec is None or self.rows is None or self.value is None:
             return self.frame
-        return self.rows.where(self.codec.bounds(start, end)).select(self.codec.key().alias("key"), self.value.alias("value"))
+        return self.rows.where(self.codec.bounds(start, end, include_end)).select(self.codec.key().alias("key"), self.value.alias("value"))
 
     def scan(self, start=None, end=None, reverse: bool = False, include_start: bool = True, include_end: bool = False, limit: int | None = None, ordered: bool = True) -> DataFrame:
-        base = self._bounded(start, None if include_end else end)
+        base = self._bounded(start, end, include_end)
         if start is not None:
             base = base.where(F.col("key") >= F.lit(start) if include_start else F.col("key") > F.lit(start))
         if end is not None:
@@ -77,14 +130,17 @@ class KeyValue:
         that a stored key column is pruned."""
         raw = prefix.encode() if isinstance(prefix, str) else prefix
         end = successor(raw)
-        base = self.frame.where(F.col("key") >= F.lit(prefix)).where(F.startswith(F.col("key"), F.lit(prefix)))
+        base = self.frame
+        if self.codec is not None and self.rows is not None and self.value is not None and isinstance(prefix, str):
+            base = self.rows.where(self.codec.prefix_bounds(prefix)).select(self.codec.key().alias("key"), self.value.alias("value"))
+        base = base.where(F.col("key") >= F.lit(prefix)).where(F.startswith(F.col("key"), F.lit(prefix)))
         if end is not None and not isinstance(prefix, str):
             base = base.where(F.col("key") < F.lit(end))
         base = base.orderBy("key")
         return base.limit(limit) if limit is not None else base
 
     def get(self, key) -> DataFrame:
-        return self._bounded(key, None).where(F.col("key") == F.lit(key)).select("value")
+        return self._bounded(key, key, include_end=True).where(F.col("key") == F.lit(key)).select("value")
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
         """keys(ordinal, key) -> (ordinal, key, value), value NULL where missing."""

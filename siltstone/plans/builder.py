@@ -41,7 +41,7 @@ _TYPES = {
     "bool": "boolean", "int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "float32": "float", "float64": "double",
     "string": "string", "binary": "binary", "date": "date", "timestamp": "timestamp_ntz",
 }
-_HINTS = {"hash": "shuffle_hash", "merge": "merge", "nested": "shuffle_replicate_nl", "broadcast": "broadcast", "index": "merge"}
+_HINTS = {"hash": "shuffle_hash", "merge": "merge", "nested": "shuffle_replicate_nl", "broadcast": "broadcast"}
 _KINDS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "cross": "cross", "semi": "left_semi", "anti": "left_anti"}
 
 
@@ -123,6 +123,8 @@ class Builder:
         if j.kind not in _KINDS:
             raise SpecError(f"unknown join {j.kind}")
         right = self.source(j.table)
+        if j.strategy == "index":
+            return self.index_join(left, right, j)
         if j.strategy != "auto":
             if j.strategy not in _HINTS:
                 raise SpecError(f"unknown join strategy {j.strategy}")
@@ -137,10 +139,37 @@ class Builder:
             raise SpecError("a join needs a condition")
         return left.join(right, reduce(lambda a, b: a & b, conditions), _KINDS[j.kind])
 
+    def index_join(self, left: DataFrame, right: DataFrame, j: S.Join) -> DataFrame:
+        """Joins through the stored index on the right side's column: left rows find
+        their entries in the narrow index, and only the entries found are looked up in
+        the table, by primary key.  Needs one pair of columns and an index on it."""
+        if j.kind not in ("inner", "left") or len(j.on) != 1 or j.residual is not None or not isinstance(j.table, str):
+            raise SpecError("an index join is an inner or left join with a table on one pair of columns")
+        (own, column), index = j.on[0], self.catalog.index_on(j.table, j.on[0][1])
+        if index is None:
+            raise SpecError(f"no index on {j.table}.{column}")
+        entries = index.entries().select(F.col("index_key").alias("__key"), F.col("primary_key").alias("__primary"))
+        found = left.join(entries, left[own] == entries["__key"], j.kind)
+        return found.join(right, found["__primary"] == right[index.primary_key], j.kind).drop("__key", "__primary")
+
+    def exchange(self, df: DataFrame, x: S.Exchange) -> DataFrame:
+        if x.kind == "gather":
+            return df.coalesce(1)
+        if x.kind == "broadcast":
+            return F.broadcast(df)
+        if x.kind == "round_robin" and x.n:
+            return df.repartition(x.n)
+        if x.kind == "repartition" and x.keys:
+            keys = [self.expr(e) for e in x.keys]
+            return df.repartition(x.n, *keys) if x.n else df.repartition(*keys)
+        raise SpecError(f"unknown exchange {x!r}")
+
     def aggregate(self, a: S.Agg) -> Column:
         e = self.expr(a.expr) if a.expr is not None else None
         if e is None and a.fn != "count":
             raise SpecError(f"{a.fn} needs an expression")
+        if a.where is not None:  # rows that it does not accept count as NULL
+            e = F.when(self.predicate(a.where), F.lit(1) if e is None else e)
         match a.fn:
             case "count":
                 out = F.count(F.lit(1)) if e is None else F.count(e)
@@ -155,7 +184,8 @@ class Builder:
             case "count_distinct":
                 out = F.count_distinct(e)
             case "group_concat":  # ordered by the values, so that results do not depend on the order of input
-                out = F.array_join(F.array_sort(F.collect_list(e.cast("string"))), a.param if a.param is not None else ",")
+                joined = F.array_join(F.array_sort(F.collect_list(e.cast("string"))), a.param if a.param is not None else ",")
+                out = F.when(F.count(e) > 0, joined)  # NULL where there is nothing to join
             case _:
                 raise SpecError(f"unknown aggregate {a.fn}")
         return out.alias(a.alias)
@@ -189,7 +219,10 @@ class Builder:
             if not q.aggregates:
                 df = df.select(*[self.expr(e).alias(n) for n, e in q.group_by]).distinct()
             else:
-                df = df.groupBy(*[self.expr(e).alias(n) for n, e in q.group_by]).agg(*[self.aggregate(a) for a in q.aggregates])
+                if q.grouping not in ("plain", "rollup", "cube"):
+                    raise SpecError(f"unknown grouping {q.grouping}")
+                group = {"plain": df.groupBy, "rollup": df.rollup, "cube": df.cube}[q.grouping]
+                df = group(*[self.expr(e).alias(n) for n, e in q.group_by]).agg(*[self.aggregate(a) for a in q.aggregates])
         elif q.having is not None:
             raise SpecError("having without aggregates")
         if q.having is not None:
@@ -208,4 +241,4 @@ class Builder:
             df = df.offset(q.offset)
         if q.limit is not None:
             df = df.limit(q.limit)
-        return df
+        return self.exchange(df, q.exchange) if q.exchange is not None else df

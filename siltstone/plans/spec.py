@@ -158,12 +158,14 @@ class Join:
 @dataclass(frozen=True)
 class Agg:
     """fn: count sum avg min max group_concat stddev variance percentile
-    count_distinct; ``param`` is the separator or the percentile."""
+    count_distinct; ``param`` is the separator or the percentile; ``where`` limits
+    the rows that count."""
 
     fn: str
     expr: Expr | None
     alias: str
     param: Any = None
+    where: Predicate | None = None
 
 
 @dataclass(frozen=True)
@@ -187,6 +189,16 @@ class WindowFn:
     default: Any = None
 
 
+@dataclass(frozen=True)
+class Exchange:
+    """kind: gather (into one partition), repartition (by keys, into n), round_robin
+    (into n), broadcast (to every task of the join that takes it)."""
+
+    kind: str
+    n: int | None = None
+    keys: tuple[Expr, ...] = ()
+
+
 @dataclass(frozen=True)
 class QuerySpec:
     table: str
@@ -203,3 +215,5 @@ class QuerySpec:
     offset: int = 0
     union: tuple["QuerySpec", ...] = ()
     union_distinct: bool = False
+    grouping: str = "plain"  # or rollup, cube
+    exchange: Exchange | None = None

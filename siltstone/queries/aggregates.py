@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import content, metrics, stats
-from siltstone.plans.spec import Agg, Binary, Call, Case, Col, Compare, Lit, QuerySpec
+from siltstone.plans.spec import Agg, Binary, Call, Case, Col, Compare, Lit, Not, QuerySpec
 from siltstone.queries.tables import compiled, table
 from siltstone.registry import register
 
@@ -45,6 +45,25 @@ register(
     compiled(QuerySpec("orders", group_by=(("o_custkey", C("o_custkey")),), aggregates=(Agg("count", None, "n"),), having=Compare(">", C("n"), L(15)))),
     "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 15",
 )
+
+_SUMS = (Agg("count", None, "n"), Agg("sum", C("l_quantity"), "q"))
+for _kind in ("rollup", "cube"):
+    register(
+        f"agg_{_kind}",
+        compiled(QuerySpec("lineitem", group_by=BY, aggregates=_SUMS, grouping=_kind)),
+        f"SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY {_kind.upper()} (l_returnflag, l_linestatus)",
+    )
+_LARGE = Compare(">", C("l_quantity"), L(40))
+register(
+    "agg_filter",
+    compiled(QuerySpec("lineitem", group_by=BY, aggregates=(Agg("count", None, "n", where=_LARGE), Agg("sum", C("l_linenumber"), "s", where=_LARGE), Agg("max", C("l_quantity"), "m", where=Not(_LARGE))))),
+    "SELECT l_returnflag, l_linestatus, count(*) FILTER (l_quantity > 40) AS n, sum(l_linenumber) FILTER (l_quantity > 40) AS s, max(l_quantity) FILTER (NOT l_quantity > 40) AS m FROM lineitem GROUP BY 1, 2",
+)
+register(
+    "agg_group_concat_empty",
+    compiled(QuerySpec("nation", group_by=(("n_regionkey", C("n_regionkey")),), aggregates=(Agg("group_concat", C("n_name"), "names", "; ", where=Compare("<", C("n_nationkey"), L(4))),))),
+    "SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_name) FILTER (n_nationkey < 4) AS names FROM nation GROUP BY 1",
+)
 register("agg_distinct_count", compiled(QuerySpec("lineitem", group_by=BY[:1], aggregates=(Agg("count_distinct", C("l_suppkey"), "n"),))), "SELECT l_returnflag, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1")
 
 # --- column profiles

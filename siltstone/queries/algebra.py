@@ -3,12 +3,15 @@ specification that the builder compiles."""
 
 from __future__ import annotations
 
+import uuid
+
 from siltstone.plans.builder import Builder
 from siltstone.plans.spec import (
-    Agg, And, Between, Binary, Call, Col, Compare, In, IsNotNull, IsNull, Join, Like, Lit, Not, Or, Order, QuerySpec, Range,
+    Agg, And, Between, Binary, Call, Col, Compare, Exchange, In, IsNotNull, IsNull, Join, Like, Lit, Not, Or, Order, QuerySpec, Range,
 )
 from siltstone.queries.tables import compiled
 from siltstone.registry import register
+from siltstone.session import checkpoint_dir
 from siltstone.sources.catalog import Catalog
 
 C, L = Col, Lit
@@ -45,16 +48,21 @@ scan("scan_range", Range(C("o_orderkey"), L(100), L(900)), "o_orderkey >= 100 AN
 scan("scan_skip", Compare("=", C("o_orderpriority"), L("1-URGENT")), "o_orderpriority = '1-URGENT'")
 
 
+def _place(spark, name: str) -> str:
+    """A folder of its own for a stored index or view."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def scan_index(spark, folder):
     catalog = Catalog(spark, folder)
-    return catalog.create_index("by_customer", "orders", ["o_custkey"], "o_orderkey").lookup(42).select(*ORDER_COLS)
+    return catalog.create_index("by_customer", "orders", ["o_custkey"], "o_orderkey", path=_place(spark, "by_customer")).lookup(42).select(*ORDER_COLS)
 
 
 def scan_bitmap(spark, folder):
-    """Two indexes' primary keys intersected, then the rows: as semi joins."""
+    """Two stored indexes' primary keys intersected, then the rows: as semi joins."""
     catalog = Catalog(spark, folder)
-    status = catalog.create_index("by_status", "orders", ["o_orderstatus"], "o_orderkey").key("F")
-    priority = catalog.create_index("by_priority", "orders", ["o_orderpriority"], "o_orderkey").key("1-URGENT")
+    status = catalog.create_index("by_status", "orders", ["o_orderstatus"], "o_orderkey", path=_place(spark, "by_status")).key("F")
+    priority = catalog.create_index("by_priority", "orders", ["o_orderpriority"], "o_orderkey", path=_place(spark, "by_priority")).key("1-URGENT")
     orders = catalog.table("orders")
     for hits in (status, priority):
         orders = orders.join(hits.select(hits["primary_key"].alias("o_orderkey")), "o_orderkey", "left_semi")
@@ -62,14 +70,14 @@ def scan_bitmap(spark, folder):
 
 
 def scan_index_only(spark, folder):
-    """All columns needed are in the index: only they are read."""
-    index = Catalog(spark, folder).create_index("covering", "orders", ["o_custkey", "o_orderstatus"], "o_orderkey")
+    """All columns needed are in the stored index: the table is not read."""
+    index = Catalog(spark, folder).create_index("covering", "orders", ["o_custkey", "o_orderstatus"], "o_orderkey", path=_place(spark, "covering"))
     return index.entries().where("index_key.o_custkey < 50").selectExpr("index_key.o_custkey AS o_custkey", "index_key.o_orderstatus AS o_orderstatus", "primary_key AS o_orderkey")
 
 
 def scan_matview(spark, folder):
     catalog = Catalog(spark, folder)
-    catalog.create_view("urgent", Builder(catalog).build(QuerySpec("orders", where=Like(C("o_orderpriority"), "1-%"), group_by=cols("o_custkey"), aggregates=(Agg("count", None, "n"),))))
+    catalog.create_view("urgent", Builder(catalog).build(QuerySpec("orders", where=Like(C("o_orderpriority"), "1-%"), group_by=cols("o_custkey"), aggregates=(Agg("count", None, "n"),))), _place(spark, "urgent"))
     return Builder(catalog).build(QuerySpec("urgent", where=Compare(">=", C("n"), L(2)), select=cols("o_custkey", "n")))
 
 
@@ -137,8 +145,20 @@ join("join_inner", "inner", "INNER")
 join("join_left", "left", "LEFT", DEAR)
 join("join_right", "right", "RIGHT", DEAR)
 join("join_full", "full", "FULL", DEAR)
-for strategy in ("hash", "nested", "merge", "index", "broadcast"):
+for strategy in ("hash", "nested", "merge", "broadcast"):
     join(f"js_{strategy}", "inner", "INNER", strategy=strategy)
+
+
+def js_index(spark, folder):
+    """Orders find their customers through a stored index on c_custkey."""
+    catalog = Catalog(spark, folder)
+    catalog.create_index("customers", "customer", ["c_custkey"], "c_custkey", unique=True, path=_place(spark, "customers"))
+    return Builder(catalog).build(QuerySpec("orders", joins=(Join("customer", "inner", (("o_custkey", "c_custkey"),), strategy="index"),), select=PAIR))
+
+
+register("js_index", js_index, "SELECT o_orderkey, o_custkey, c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey")
+for _kind, _x in (("gather", Exchange("gather")), ("repartition", Exchange("repartition", 6, (C("o_custkey"),))), ("round_robin", Exchange("round_robin", 6)), ("broadcast", Exchange("broadcast"))):
+    register(f"exchange_{_kind}", compiled(QuerySpec("orders", select=cols(*ORDER_COLS), exchange=_x)), f"SELECT {O} FROM orders")
 for _kind, _not in (("semi", ""), ("anti", "NOT ")):
     register(
         f"join_{_kind}",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from siltstone.operators.index import Index, JoinQuery, multi_query
 from siltstone.queries.tables import table
 from siltstone.registry import register
+from siltstone.session import checkpoint_dir
 from siltstone.sources.catalog import Catalog
 
 
@@ -29,7 +32,23 @@ register(
     lambda s, d: multi_query({"a": _indexes(s, d)[0].key(70), "b": _indexes(s, d)[1].range(1, 30)}, 25),
     "SELECT * FROM (SELECT 'a' AS alias, o_orderkey AS primary_key FROM orders WHERE o_custkey = 70 UNION ALL SELECT 'b', c_custkey FROM customer WHERE c_custkey >= 1 AND c_custkey < 30) ORDER BY 1, 2 LIMIT 25",
 )
-register("idx_maintain", lambda s, d: _indexes(s, d)[0].violations().where("n > 10"), "SELECT o_custkey AS index_key, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 10")
+
+
+def idx_maintain(spark, folder):
+    """A stored index that rows are inserted into, deleted from and moved in: orders
+    without every tenth, with some under a wrong customer, become all orders."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    wrong = orders.where("o_orderkey % 7 = 0")
+    moved = wrong.withColumn("o_custkey", F.col("o_custkey") + 1)
+    place = f"{checkpoint_dir(spark)}/maintain-{uuid.uuid4().hex}"
+    catalog = Catalog(spark)
+    catalog.register("orders", orders.where("o_orderkey % 10 <> 0 AND o_orderkey % 7 <> 0").union(moved))
+    catalog.create_index("by_customer", "orders", ["o_custkey"], "o_orderkey", path=f"{place}/first")
+    catalog.maintain("orders", orders, f"{place}/then", inserted=wrong.union(orders.where("o_orderkey % 10 = 0 AND o_orderkey % 7 <> 0")), deleted=moved)
+    return catalog.index("by_customer").violations().where("n > 10")
+
+
+register("idx_maintain", idx_maintain, "SELECT o_custkey AS index_key, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 10")
 
 
 def idx_ddl(spark, folder):

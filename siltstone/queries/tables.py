@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators.kv import KeyValue, NumberKey
+from siltstone.operators.kv import KeyValue, NamedNumberKey, NumberKey
 from siltstone.plans.builder import Builder
 from siltstone.plans.spec import QuerySpec
 from siltstone.sources.catalog import Catalog
@@ -31,12 +31,12 @@ def kv_orders(spark: SparkSession, folder: str) -> KeyValue:
     return KeyValue.of(table(spark, folder, "orders"), ORDER_KEY, F.concat_ws(":", "o_orderstatus", "o_orderpriority"))
 
 
+SEG_KEY = NamedNumberKey("cust:", "c_mktsegment", ":", "c_custkey", 8)
 SEG_SQL = "(SELECT 'cust:' || c_mktsegment || ':' || lpad(c_custkey::VARCHAR, 8, '0') AS key, c_name AS value FROM customer)"
 
 
 def kv_segments(spark: SparkSession, folder: str) -> KeyValue:
-    key = F.concat(F.lit("cust:"), "c_mktsegment", F.lit(":"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))
-    return KeyValue(table(spark, folder, "customer").select(key.alias("key"), F.col("c_name").alias("value")))
+    return KeyValue.of(table(spark, folder, "customer"), SEG_KEY, F.col("c_name"))
 
 
 #: Versions of (l_orderkey, l_linenumber); the tie-break makes the order total up to equal rows.

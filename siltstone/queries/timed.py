@@ -121,10 +121,10 @@ def st_rate_limit(spark, folder):
 register("st_rate_limit", st_rate_limit)
 
 
-# --- streams over the same table, run to the end into memory
-def _once(spark, make, mode: str):
+# --- streams over the same table, run to the end
+def _once(spark, make, mode: str, keys=()):
     name = f"s{uuid.uuid4().hex}"
-    return streams.run_once(make, name, f"{checkpoint_dir(spark)}/{name}", mode)
+    return streams.run_once(make, name, f"{checkpoint_dir(spark)}/{name}", mode, keys)
 
 
 def _stream(spark, folder):
@@ -132,7 +132,7 @@ def _stream(spark, folder):
 
 
 def stream_tumbling(spark, folder):
-    out = _once(spark, streams.tumbling(_stream(spark, folder), "ts", "1 day", "event_type", "value"), "complete")
+    out = _once(spark, streams.tumbling(_stream(spark, folder), "ts", "1 day", "event_type", "value"), "update", ("start", "end", "event_type"))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("avg_value", 6).alias("avg_value"))
 
 
@@ -140,21 +140,28 @@ register("stream_tumbling", stream_tumbling, "SELECT date_trunc('day', ts)::TIME
 
 
 def stream_sliding(spark, folder):
-    out = _once(spark, streams.sliding(_stream(spark, folder), "ts", "2 hours", "1 hour", "event_type", "value"), "complete")
-    return out.groupBy("event_type").agg(F.sum("n").alias("n"))
+    """Every window with its count and mean."""
+    out = _once(spark, streams.sliding(_stream(spark, folder), "ts", "2 hours", "1 hour", "event_type", "value"), "update", ("start", "end", "event_type"))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("avg_value", 6).alias("avg_value"))
 
 
-register("stream_sliding", stream_sliding, "SELECT event_type, (count(*) * 2)::BIGINT AS n FROM events GROUP BY 1")
+register(
+    "stream_sliding",
+    stream_sliding,
+    "SELECT (date_trunc('hour', ts) - to_hours(h))::TIMESTAMP AS start, event_type, count(*) AS n, round(avg(value), 6) AS avg_value FROM events, (SELECT unnest([0, 1]) AS h) GROUP BY 1, 2",
+)
 
 
 def stream_sessions(spark, folder):
-    """Closed and open sessions with gaps of 30 minutes, by user."""
+    """Every session, closed or open, with gaps of 30 minutes, by user."""
     out = _once(spark, streams.sessions(_stream(spark, folder), "ts", "30 minutes", "user_id"), "complete")
-    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("n"))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
 register(
     "stream_sessions",
     stream_sessions,
-    "SELECT user_id, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 30 MINUTE THEN 1 ELSE 0 END)::BIGINT AS sessions, count(*)::BIGINT AS n FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) GROUP BY 1",
+    """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS end, count(*) AS n FROM
+    (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM
+      (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, session""",
 )

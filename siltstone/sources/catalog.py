@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,7 @@ class Catalog:
         self._frames: dict[str, DataFrame] = {}
         self._views: dict[str, DataFrame] = {}
         self._indexes: dict[str, Index] = {}
+        self._indexed: dict[str, str] = {}
 
     def register(self, name: str, frame: DataFrame) -> None:
         self._frames[name] = frame
@@ -48,19 +50,41 @@ class Catalog:
         self._views.pop(name, None)
 
     # secondary indexes
-    def create_index(self, name: str, table: str, columns: Sequence[str], primary_key: str, unique: bool = False) -> Index:
+    def create_index(self, name: str, table: str, columns: Sequence[str], primary_key: str, unique: bool = False, path: str | None = None) -> Index:
+        """With a path the index is stored there; otherwise it is derived with each use."""
         if name in self._indexes:
             raise ValueError(f"index {name} exists")
         index = Index(name, self.table(table), tuple(columns), primary_key, unique)
+        if path:
+            index = index.store(path)
         if unique:
             index.check_unique()
         self._indexes[name] = index
+        self._indexed[name] = table
         return index
 
+    def index_on(self, table: str, column: str) -> Index | None:
+        """An index on that column alone."""
+        return next((self._indexes[n] for n, t in self._indexed.items() if t == table and self._indexes[n].columns == (column,)), None)
+
+    def maintain(self, table: str, after: DataFrame, path: str, inserted: DataFrame | None = None, deleted: DataFrame | None = None) -> None:
+        """Puts the table's new state under its name and brings its stored indexes up
+        to it, each under path."""
+        self.register(table, after)
+        for name in [n for n, t in self._indexed.items() if t == table]:
+            index = self._indexes[name]
+            if index.stored is not None:
+                index = index.changed(after, f"{path}/{name}", inserted, deleted)
+                if index.unique:
+                    index.check_unique()
+                self._indexes[name] = index
+            else:
+                self._indexes[name] = replace(index, table=after)
+
     def drop_index(self, name: str) -> None:
         if name not in self._indexes:
             raise KeyError(name)
-        del self._indexes[name]
+        del self._indexes[name], self._indexed[name]
 
     def index(self, name: str) -> Index:
         return self._indexes[name]

@@ -17,8 +17,9 @@ SCHEMA = "lsn long, ts timestamp, op string, key string, value string, tx_id lon
 
 
 def checksum() -> F.Column:
-    """CRC-32 of an entry's content."""
-    return F.crc32(F.concat_ws("|", "lsn", "op", "key", "value", "tx_id"))
+    """CRC-32 of an entry's content: each field after its length, -1 for NULL."""
+    fields = [F.col(c).cast("string") for c in ("lsn", "op", "key", "value", "tx_id")]
+    return F.crc32(F.concat(*[F.concat(F.coalesce(F.octet_length(c), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(c, F.lit("")), F.lit("|")) for c in fields]))
 
 
 def applied(log: DataFrame) -> DataFrame:

@@ -7,12 +7,13 @@ only closed windows are given out; update and complete give open ones too.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from siltstone.operators.versions import newest
 
@@ -82,11 +83,26 @@ def fold_into(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over all there is, into an in-memory table of that name."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete", keys: Sequence[str] = ()) -> DataFrame:
+    """Runs a stream over all there is; each batch's results are written as Parquet
+    under the checkpoint's folder by the executors, and read back.
+
+    With mode update a batch holds the groups that it changed, and the last state of
+    each (by ``keys``) is the result; complete gives the last batch, whose state is
+    kept whole, as windows of sessions can only be had so before they close."""
+    path = f"{checkpoint}-{name}"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    query = stream.writeStream.foreachBatch(write).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if query.lastProgress is None:  # nothing came
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    out = stream.sparkSession.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(path)
+    if mode == "update":
+        return newest(out, list(keys), ["batch"]).drop("batch")
+    return out.join(F.broadcast(out.agg(F.max("batch").alias("batch"))), "batch", "left_semi").drop("batch")
 
 
 def auto_batch(stream: DataFrame, path: str, checkpoint: str, delay: str = "10 seconds"):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,19 +64,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that what
-    follows neither repeats it nor depends on the executors that made it.  Spark is
-    told to remove this query's shuffle files when it ends: from then on the
-    checkpoint stands in for them.  The setting is put back afterwards."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark removes a query's shuffle files when the query ends; after it,
+    the setting is what it was before.  For functions that run many jobs."""
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        return df.select("*").checkpoint(eager=True)  # a plan made under this setting
+        yield
     finally:
         if before is None:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared checkpoint folder, so that what
+    follows neither repeats it nor depends on the executors that made it.  Its shuffle
+    files are removed: from then on the checkpoint stands in for them."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    with tidy(spark):
+        return df.select("*").checkpoint(eager=True)  # a plan made under this setting

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from siltstone.llm import _blocks as B
 from siltstone.llm import _text as T
 from siltstone.llm._graph import components
-from siltstone.session import durable
+from siltstone.session import durable, tidy
 
 SIZE = 5
 THRESHOLD = 75
@@ -337,7 +337,8 @@ def _joined(linked: DataFrame, more: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    rows, sets, linked = similar_sets(docs, **options)
+    with tidy(docs.sparkSession):
+        rows, sets, linked = similar_sets(docs, **options)
     classes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("least"))
     labels = sets.select("set_key", "node").join(linked, "node").select("set_key", "component")
     groups = labels.join(classes, "set_key").groupBy("component").agg(F.min("least").alias("component_id"))

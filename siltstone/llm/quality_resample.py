@@ -40,11 +40,11 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from siltstone.llm import _text as T
 from siltstone.llm._blocks import free_name, plain_names
-from siltstone.session import durable
+from siltstone.session import durable, tidy
 
 BUCKETS = 10_000
 LAGS = 4
-SAMPLE_DOCS, SAMPLE_CHARS = 10_000, 50_000
+SAMPLE_DOCS, SAMPLE_CHARS = 4_000, 50_000
 EFFECTIVE, PRIOR = 10.0, 30
 KEEP_GOOD = 0.9998
 #: What an unlabelled good document may lie below the level of the labelled ones.
@@ -150,31 +150,39 @@ def good_sample(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DO
 
 def resample(docs: DataFrame, labels: DataFrame, keep_good: float = KEEP_GOOD, sample_docs: int = SAMPLE_DOCS, seed: int = SEED) -> DataFrame:
     """docs with log_weight, perturbed (both in millionths, long) and kept as the last columns."""
-    sample = good_sample(docs, labels, sample_docs)
-    ratios = log_ratios(counted(sample), counted(docs))
-    weight, perturbed, kept = "log_weight", "perturbed", "kept"
-    names = [*docs.columns, *(free_name(docs.columns, n) for n in (weight, perturbed, kept))]
+    names = [*docs.columns, *(free_name(docs.columns, n) for n in ("log_weight", "perturbed", "kept"))]
     docs = docs.toDF(*plain_names(docs.columns))
+    with tidy(docs.sparkSession):
+        ratios, border = _drawn(docs, labels, keep_good, sample_docs, seed)
+    # the documents are scored once more rather than shuffled to their scores
+    drawn = F.lit(False) if border is None else F.col("perturbed") >= border
+    return _scored(docs, ratios, seed).withColumn("kept", drawn).toDF(*names)
+
+
+def _scored(docs: DataFrame, ratios: np.ndarray, seed: int) -> DataFrame:
+    """docs with log_weight and perturbed in millionths."""
 
     def score(batches):
         millionths = lambda x: pa.array(np.clip(np.rint(x * 1e6), -9e18, 9e18).astype(np.int64))
         for batch in batches:
             for b in T.slices(batch, "text"):
                 w = weights(b["text"], ratios)
-                yield pa.RecordBatch.from_arrays([*b.columns, millionths(w), millionths(w + gumbel(b["doc_id"], seed))], names=[*b.schema.names, weight, perturbed])
+                yield pa.RecordBatch.from_arrays([*b.columns, millionths(w), millionths(w + gumbel(b["doc_id"], seed))], names=[*b.schema.names, "log_weight", "perturbed"])
 
-    def scored(df: DataFrame) -> DataFrame:
-        return df.mapInArrow(score, StructType([*df.schema.fields, StructField(weight, LongType()), StructField(perturbed, LongType())]))
+    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField("log_weight", LongType()), StructField("perturbed", LongType())]))
 
-    known = durable(scored(sample.select("doc_id", "text")).select(weight))
+
+def _drawn(docs: DataFrame, labels: DataFrame, keep_good: float, sample_docs: int, seed: int) -> tuple[np.ndarray, int | None]:
+    """The ratios of the two models, and the least perturbed weight that is drawn."""
+    sample = good_sample(docs, labels, sample_docs)
+    ratios = log_ratios(counted(sample), counted(docs))
+    known = durable(_scored(sample, ratios, seed).select("log_weight"))
     n_known = known.count()
     # the level that keep_good of the good reach; it is one of their weights
-    level = kth_largest(known, weight, max(1, -int(-n_known * keep_good // 1))) if n_known else None
-    plain = durable(scored(docs.select("doc_id", "text")).select(weight, perturbed))
-    k = plain.where(F.col(weight) >= level - int(SLACK * 1e6)).count() if level is not None else plain.count()
-    border = kth_largest(plain, perturbed, k)
-    # the documents are scored once more rather than shuffled to their scores
-    return scored(docs).withColumn(kept, F.lit(False) if border is None else F.col(perturbed) >= border).toDF(*names)
+    level = kth_largest(known, "log_weight", max(1, -int(-n_known * keep_good // 1))) if n_known else None
+    plain = durable(_scored(docs.select("doc_id", "text"), ratios, seed).select("log_weight", "perturbed"))
+    k = plain.where(F.col("log_weight") >= level - int(SLACK * 1e6)).count() if level is not None else plain.count()
+    return ratios, kth_largest(plain, "perturbed", k)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

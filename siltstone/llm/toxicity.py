@@ -2,7 +2,7 @@
 
 Terms are lower-cased words and their first 4 and 6 characters.  The vocabulary
 holds the TERMS terms of largest document frequency among the examples, those in
-fewer than LEAST_DOCS or more than MOST of them aside, and all that stand out in
+fewer than LEAST_DOCS or more than MOST_DOCS of them aside, and all that stand out in
 toxic ones (chi-square of CHI2 at least).  A term's weight is (1 + log tf) * idf *
 relevance: idf counts all documents, and relevance is chi2 / (chi2 + CHI2) + BASE
 for terms that are commoner in toxic examples, BASE for the others, so that
@@ -47,7 +47,7 @@ from siltstone.session import durable
 
 EXAMPLES = 3_072
 TERMS = 10_000
-LEAST_DOCS, MOST = 3, 0.05
+LEAST_DOCS, MOST_DOCS = 3, 60
 #: Chi-square at which a term has half of the full relevance, and the relevance of all others.
 CHI2, BASE = 30.0, 0.05
 PREFIXES = (4, 6)
@@ -278,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, max_terms:
     below = (a + b) * (c + d) * (a + c) * (b + d)
     scored = stats.withColumn("chi2", F.when((below > 0) & (a * d > b * c), float(n) * (a * d - b * c) ** 2 / below).otherwise(0.0))
     telling = F.col("chi2") >= CHI2
-    chosen = scored.where(telling | (F.col("n") <= MOST * n)).orderBy(telling.desc(), F.desc("n"), "term").limit(max_terms)
+    chosen = scored.where(telling | (F.col("n") <= MOST_DOCS)).orderBy(telling.desc(), F.desc("n"), "term").limit(max_terms)
     chi2 = {r["term"]: r["chi2"] for r in chosen.select("term", "chi2").collect()}
     terms = sorted(chi2)
     stands_out = np.array([chi2[t] for t in terms], dtype=np.float64)

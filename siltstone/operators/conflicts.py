@@ -7,8 +7,11 @@ committed (commit_ts NULL: still running).  Times are numbers.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltstone.session import durable
 
@@ -29,45 +32,118 @@ def _overlap(a: str, b: str) -> Column:
     return begun(a, b) & begun(b, a)
 
 
-def _meet(left: DataFrame, right: DataFrame, txs: DataFrame, on: Column, key: str) -> DataFrame:
-    """(tx_a, tx_b, key) of rows a of left and b of right that satisfy ``on`` and
-    whose transactions overlap; key is taken from side ``key``.
-
-    Time is cut into slots of about a transaction's length; two transactions that
-    overlap share the slot in which the later one began, so they meet there, once,
-    and a busy key is not joined with itself over all time.  A running transaction
-    lies in all slots from its start to the last start of any."""
-    length = txs.agg(F.percentile_approx(F.col("commit_ts") - F.col("start_ts"), 0.95)).first()[0]
-    size = max(1, int(length or 1))
-    slot = lambda c: F.floor(F.col(c) / size)
-    last = txs.agg(F.max("start_ts").alias("last"))
-    until = txs.crossJoin(F.broadcast(last)).withColumn("until", F.coalesce("commit_ts", "last")).drop("last")
-    spread = lambda t: t.join(until, "tx_id").withColumn("slot", F.explode(F.sequence(slot("start_ts"), F.greatest(slot("start_ts"), slot("until")))))
-    later = F.greatest(slot("a.start_ts"), slot("b.start_ts"))
-    meet = (F.col("a.slot") == F.col("b.slot")) & (F.col("a.slot") == later)
-    both = spread(left).alias("a").join(spread(right).alias("b"), meet & on & _overlap("a", "b"))
-    return both.select(F.col("a.tx_id").alias("tx_a"), F.col("b.tx_id").alias("tx_b"), F.col(f"{key}.key").alias("key")).distinct()
+#: Children of a node of time or keys (a power of two, by its exponent), and the
+#: pairs per row that may be compared in vain before time is cut finer.
+RADIX_BITS, PAIRS = 3, 64
+
+
+def _nodes(lo: Column, hi: Column, top: int) -> Column:
+    """The fewest nodes that cover the slots [lo, hi), each slot once: a node of
+    level n stands for 2 ** (RADIX_BITS * n) slots, and levels end at ``top``."""
+    none = F.array().cast("array<bigint>")
+    run = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(none)
+    up = lambda n: F.shiftright(lo + ((1 << RADIX_BITS * n) - 1), RADIX_BITS * n)
+    down = lambda n: F.shiftright(hi, RADIX_BITS * n)
+    parts = []
+    for n in range(top + 1):
+        part = run(up(n), down(n))
+        if n < top:
+            a, b = up(n + 1), down(n + 1)
+            part = F.when(a < b, F.concat(run(up(n), F.shiftleft(a, RADIX_BITS)), run(F.shiftleft(b, RADIX_BITS), down(n)))).otherwise(part)
+        parts.append(F.transform(part, lambda x: x * 64 + n))  # noqa: B023
+    return F.concat(*parts)
+
+
+def _above(slot: Column, top: int) -> Column:
+    """The nodes that a slot lies in, one of each level."""
+    return F.array(*[F.shiftright(slot, RADIX_BITS * n) * 64 + n for n in range(top + 1)])
+
+
+def _timed(rows: DataFrame, txs: DataFrame) -> DataFrame:
+    return durable(rows.join(txs.where("start_ts is not null").select("tx_id", "start_ts", "commit_ts"), "tx_id"))
+
+
+def _meet(left: DataFrame, right: DataFrame, on: Column, key: str, unordered: bool = False) -> DataFrame:
+    """(tx_a, tx_b, key) of rows a of left and b of right that share a cell, satisfy
+    ``on`` and whose transactions differ and overlap; key is taken from side ``key``.
+
+    Rows: tx_id, start_ts, commit_ts, cell, and what ``on`` needs.  Of two
+    transactions that overlap, the later one begins while the earlier one runs: the
+    time of the earlier one is taken apart into nodes, few even if it never ends,
+    and the start of the later one lies in one of them, once.  Slots of time are as
+    long as they may be without comparing more than PAIRS pairs per row in vain; if
+    few rows share a cell that is all of time, and nothing is multiplied.
+    ``unordered``: left and right are the same, and pairs are given once."""
+    ends = left.select("start_ts").union(right.select("start_ts")).agg(F.min("start_ts").alias("lo"), F.max("start_ts").alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    first, span = ends["lo"] or 0, float((ends["hi"] or 0) - (ends["lo"] or 0)) + 1.0
+    top = 0
+    slot = lambda c: F.least(F.floor((c - F.lit(first)) / F.lit(span / (1 << RADIX_BITS * top))), F.lit((1 << RADIX_BITS * top) - 1)).cast("long")
+    while span > 1 << RADIX_BITS * top:
+        of = lambda t, n: t.groupBy("cell", slot(F.col("start_ts")).alias("slot")).agg(F.count(F.lit(1)).cast("double").alias(n))
+        pairs = of(left, "x").join(of(right, "y"), ["cell", "slot"]).agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0.0
+        if pairs <= PAIRS * ends["n"]:
+            break
+        top += max(1, round(math.log(pairs / (PAIRS * ends["n"]), 1 << RADIX_BITS)))
+    last = F.when(F.col("commit_ts").isNull(), F.lit((1 << RADIX_BITS * top) - 1)).otherwise(F.greatest(slot(F.col("start_ts")), slot(F.col("commit_ts"))))
+    spans = lambda t: t.withColumn("node", F.explode(_nodes(slot(F.col("start_ts")), last + 1, top)))
+    points = lambda t: t.withColumn("node", F.explode(_above(slot(F.col("start_ts")), top)))
+    same = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.node") == F.col("b.node")) & (F.col("a.tx_id") != F.col("b.tx_id")) & on & _overlap("a", "b")
+    began, tie = F.col("a.start_ts") < F.col("b.start_ts"), F.col("a.start_ts") == F.col("b.start_ts")
+    ids = [F.col("a.tx_id"), F.col("b.tx_id")]
+    if unordered:
+        both = spans(left).alias("a").join(points(right).alias("b"), same & (began | (tie & (ids[0] < ids[1]))))
+        return both.select(F.least(*ids).alias("tx_a"), F.greatest(*ids).alias("tx_b"), F.col(f"{key}.key").alias("key"))
+    out = lambda a, b, when: a.alias("a").join(b.alias("b"), same & when).select(ids[0].alias("tx_a"), ids[1].alias("tx_b"), F.col(f"{key}.key").alias("key"))
+    return out(spans(left), points(right), began | tie).union(out(points(left), spans(right), F.col("b.start_ts") < F.col("a.start_ts")))
 
 
-def _pairs(left: DataFrame, right: DataFrame, txs: DataFrame, unordered: bool) -> DataFrame:
-    """(tx_a, tx_b, key): left's and right's transactions overlap on a key."""
-    apart = F.col("a.tx_id") < F.col("b.tx_id") if unordered else F.col("a.tx_id") != F.col("b.tx_id")
-    return _meet(left, right, txs, (F.col("a.key") == F.col("b.key")) & apart, "a")
+def _by_key(rows: DataFrame, txs: DataFrame) -> DataFrame:
+    return _timed(rows.where("key is not null").select("tx_id", "key").distinct(), txs).withColumn("cell", F.col("key"))
 
 
 def write_write(writes: DataFrame, txs: DataFrame) -> DataFrame:
-    return _pairs(writes, writes, txs, unordered=True)
+    rows = _by_key(writes, txs)
+    return _meet(rows, rows, F.lit(True), "a", unordered=True)
 
 
 def read_write(reads: DataFrame, writes: DataFrame, txs: DataFrame) -> DataFrame:
     """tx_a read what tx_b wrote."""
-    return _pairs(reads, writes, txs, unordered=False)
+    return _meet(_by_key(reads, txs), _by_key(writes, txs), F.lit(True), "a")
+
+
+def _places(keys: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(value, place) of the values of keys and bounds: how many distinct keys lie
+    below.  Sorted in ranges, each counted on from the ranges before it."""
+    marks = keys.select(F.col("key").alias("value"), F.lit(1).alias("is_key")).union(bounds.select("value", F.lit(0)))
+    dealt = marks.groupBy("value").agg(F.max("is_key").alias("is_key")).repartitionByRange("value")
+    dealt = durable(dealt.withColumn("part", F.spark_partition_id()))
+    sums = {r.part: r.n for r in dealt.groupBy("part").agg(F.sum("is_key").alias("n")).collect()}
+    before, offsets = 0, []
+    for part in sorted(sums):
+        offsets += [F.lit(part), F.lit(before)]
+        before += sums[part]
+    over = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = F.sum("is_key").over(over) - F.col("is_key")
+    return dealt.select("value", (upto + (F.create_map(*offsets)[F.col("part")] if offsets else 0)).cast("long").alias("place"))
 
 
 def phantoms(ranges: DataFrame, writes: DataFrame, txs: DataFrame) -> DataFrame:
-    """(tx_a, tx_b, key): tx_b wrote a key in a range [lo, hi) that tx_a scanned."""
-    inside = (F.col("b.key") >= F.col("a.lo")) & (F.col("b.key") < F.col("a.hi"))
-    return _meet(ranges, writes, txs, inside & (F.col("a.tx_id") != F.col("b.tx_id")), "b")
+    """(tx_a, tx_b, key): tx_b wrote a key in a range [lo, hi) that tx_a scanned.
+
+    Keys of any type are numbered in their order, and a range is taken apart into
+    nodes of neighbouring keys as a transaction's time is."""
+    ranges, writes = ranges.where("lo < hi").select("tx_id", "lo", "hi").distinct(), writes.where("key is not null").select("tx_id", "key").distinct()
+    place = durable(_places(writes, ranges.select(F.explode(F.array("lo", "hi")).alias("value"))))
+    at = lambda c: place.select(F.col("value").alias(c), F.col("place").alias(f"{c}_at"))
+    a = durable(_timed(ranges, txs).join(at("lo"), "lo").join(at("hi"), "hi").where("lo_at < hi_at"))
+    width = a.agg(F.percentile_approx(F.col("hi_at") - F.col("lo_at"), 0.5).alias("mid"), F.max(F.col("hi_at") - F.col("lo_at")).alias("most")).first()
+    size = max(1, int(width["mid"] or 1))
+    top = max(0, (int(width["most"] or 1) // size).bit_length() // RADIX_BITS)
+    leaf = lambda c: F.floor(F.col(c) / size).cast("long")
+    a = a.withColumn("cell", F.explode(_nodes(leaf("lo_at"), F.floor((F.col("hi_at") - 1) / size).cast("long") + 1, top)))
+    b = _timed(writes, txs).join(at("key"), "key").withColumn("cell", F.explode(_above(leaf("key_at"), top)))
+    inside = (F.col("b.key_at") >= F.col("a.lo_at")) & (F.col("b.key_at") < F.col("a.hi_at"))
+    return _meet(durable(a), durable(b), inside, "b").distinct()
 
 
 def write_skew(reads: DataFrame, writes: DataFrame, txs: DataFrame) -> DataFrame:

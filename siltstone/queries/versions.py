@@ -179,15 +179,25 @@ _WW, _RW = _both(_WRITES_SQL, _WRITES_SQL, "<"), _both(_READS_SQL, _WRITES_SQL,
 _PH = f"(SELECT DISTINCT a.tx_id AS tx_a, b.tx_id AS tx_b, b.key AS key FROM {_RANGES_SQL} AS a JOIN {_WRITES_SQL} AS b ON b.key >= a.lo AND b.key < a.hi AND a.tx_id <> b.tx_id JOIN {_TXS_SQL} AS x ON x.tx_id = a.tx_id JOIN {_TXS_SQL} AS y ON y.tx_id = b.tx_id WHERE {_OVERLAP})"
 
 
-def _conflicts(spark, folder):
-    txs, reads, writes, ranges = _txs(spark, folder)
-    return txs, X.write_write(writes, txs), X.read_write(reads, writes, txs), X.phantoms(ranges, writes, txs)
+def _ww(spark, folder):
+    txs, _, writes, _ = _txs(spark, folder)
+    return X.write_write(writes, txs)
+
+
+def _rw(spark, folder):
+    txs, reads, writes, _ = _txs(spark, folder)
+    return X.read_write(reads, writes, txs)
+
 
+def _phantoms(spark, folder):
+    txs, _, writes, ranges = _txs(spark, folder)
+    return X.phantoms(ranges, writes, txs)
 
-register("c_ww", lambda s, d: _conflicts(s, d)[1], f"SELECT * FROM {_WW}")
-register("c_rw", lambda s, d: _conflicts(s, d)[2], f"SELECT * FROM {_RW}")
-register("c_phantom", lambda s, d: _conflicts(s, d)[3], f"SELECT * FROM {_PH}")
-register("join_interval", lambda s, d: _conflicts(s, d)[3].groupBy("tx_a").agg(F.count(F.lit(1)).alias("n")), f"SELECT tx_a, count(*) AS n FROM {_PH} GROUP BY 1")
+
+register("c_ww", _ww, f"SELECT * FROM {_WW}")
+register("c_rw", _rw, f"SELECT * FROM {_RW}")
+register("c_phantom", _phantoms, f"SELECT * FROM {_PH}")
+register("join_interval", lambda s, d: _phantoms(s, d).groupBy("tx_a").agg(F.count(F.lit(1)).alias("n")), f"SELECT tx_a, count(*) AS n FROM {_PH} GROUP BY 1")
 
 
 def c_skew(spark, folder):
@@ -200,9 +210,9 @@ register("c_skew", c_skew, f"SELECT DISTINCT a.tx_a, a.tx_b FROM {_RW} AS a JOIN
 
 def c_validate(spark, folder):
     """Verdicts with the level chosen by the transaction's number."""
-    txs, ww, rw, ph = _conflicts(spark, folder)
+    txs, reads, writes, ranges = _txs(spark, folder)
     level = F.element_at(F.array(*[F.lit(x) for x in V.LEVELS]), (F.col("tx_id") % 5 + 1).cast("int"))
-    return X.validate(txs, level, ww, rw, ph)
+    return X.validate(txs, level, X.write_write(writes, txs), X.read_write(reads, writes, txs), X.phantoms(ranges, writes, txs))
 
 
 def _ends(sql: str) -> str:

@@ -5,8 +5,14 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from siltstone.functions import metrics
 from siltstone.operators import conflicts
+from siltstone.plans.builder import Builder
+from siltstone.plans.spec import Col, Compare, Join, QuerySpec
+from siltstone.sources.catalog import Catalog
+from tests.test_faults import plan
 
 
 def _meet(txs, a, b) -> bool:
@@ -34,3 +40,33 @@ def test_long_times_between_transactions(spark, monkeypatch, seed, pairs, scale)
     got = [tuple(r) for r in conflicts.phantoms(spark.createDataFrame(ranges, "tx_id long, lo string, hi string"), of(writes), frame).collect()]
     want = {(a, b, k) for a, lo, hi in ranges for b, k in writes if lo <= k < hi and _meet(txs, a, b)}
     assert len(got) == len(want) and set(got) == want
+
+
+def test_a_nested_join_on_keys_makes_no_product(spark):
+    catalog = Catalog(spark)
+    catalog.register("a", spark.createDataFrame([(1, 10), (2, 20), (3, 20), (4, None), (5, 99)], "x long, k long"))
+    catalog.register("b", spark.createDataFrame([(10, 1), (20, 2), (20, 3), (None, 4)], "id long, v long"))
+    build = lambda *parts: Builder(catalog).build(QuerySpec("a", joins=(Join("b", *parts, strategy="nested"),)))
+    got = build("inner", (("k", "id"),))
+    assert "Cartesian" not in plan(got) and "NestedLoop" not in plan(got)
+    assert sorted((r.x, r.v) for r in got.collect()) == [(1, 1), (2, 2), (2, 3), (3, 2), (3, 3)]
+    theta = build("inner", (), Compare("<", Col("k"), Col("id")))
+    assert "Cartesian" in plan(theta) and sorted((r.x, r.v) for r in theta.collect()) == [(1, 2), (1, 3)]
+
+
+@pytest.mark.parametrize("seconds", [60, 3600, 5000])
+def test_trailing_windows_are_not_gathered(spark, seconds):
+    rng = random.Random(seconds)
+    rows = [(i, rng.randrange(20_000), rng.choice("ab"), None if rng.random() < 0.1 else rng.randrange(3000) / 100) for i in range(600)]
+    rows += [(600, 15_000, "a", 1.0), (601, 15_000 - seconds, "a", 2.0), (602, 15_000, "c", None)]
+    df = spark.createDataFrame(rows, "id long, s long, g string, v double").withColumn("t", F.timestamp_seconds("s"))
+    out = metrics.trailing(df, "t", "v", "g", seconds)
+    assert "collect_list" not in plan(out) and "Window" not in plan(out)
+    got = {r.id: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for i, s, g, _ in rows:
+        seen = sorted(v for _, x, h, v in rows if h == g and s - seconds <= x <= s and v is not None)
+        r, n = got[i], len(seen)
+        assert r.n == n and r.per_sec == pytest.approx(n / seconds)
+        assert (r.p95, r.p99) == ((seen[int(n * 0.95)], seen[int(n * 0.99)]) if n else (None, None))
+        assert r.avg == (pytest.approx(sum(seen) / n, abs=1e-9) if n else None)

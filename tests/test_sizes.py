@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.functions import metrics
+import siltstone.queries  # noqa: F401
+from siltstone import registry
+from siltstone.functions import content, metrics
 from siltstone.operators import conflicts
 from siltstone.plans.builder import Builder
 from siltstone.plans.spec import Col, Compare, Join, QuerySpec
 from siltstone.sources.catalog import Catalog
+from tests.conftest import DATA
 from tests.test_faults import plan
 
 
@@ -70,3 +75,20 @@ def test_trailing_windows_are_not_gathered(spark, seconds):
         assert r.n == n and r.per_sec == pytest.approx(n / seconds)
         assert (r.p95, r.p99) == ((seen[int(n * 0.95)], seen[int(n * 0.99)]) if n else (None, None))
         assert r.avg == (pytest.approx(sum(seen) / n, abs=1e-9) if n else None)
+
+
+def test_characters_are_counted_once(spark):
+    rng = random.Random(5)
+    texts = ["", "a", "aaaa", '{"k": [1, 2]}', "é7" * 9, "1.5e-3", "\t\n\r\x00\x7f", "😀😀b", "".join(rng.choices("abé漢😀{", k=5000)), "".join(map(chr, range(0x1000, 0x1900))), None, "a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.m for r in df.select("i", content.measures(F.col("t")).alias("m")).collect()}
+    for i, t in enumerate(texts):
+        if t is None:
+            assert got[i] is None
+            continue
+        bits = -sum(c / len(t) * math.log2(c / len(t)) for c in Counter(t).values())
+        classes = [sum(c in chars for c in t) for chars in ("".join(map(chr, range(32, 127))) + "\t\n\r", '{}[]":,', "0123456789.-+eE")]
+        assert [got[i].chars, got[i].printable, got[i].json_marks, got[i].numeric] == [len(t), *classes] and got[i].bits == pytest.approx(bits, abs=1e-12)
+    for name in ("s_entropy", "s_dtype", "p_content"):
+        text = plan(registry.QUERIES[name](spark, DATA))
+        assert "ArrowEvalPython" in text and "array_distinct" not in text and "regexp_replace" not in text

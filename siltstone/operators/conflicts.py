@@ -156,13 +156,14 @@ def write_skew(reads: DataFrame, writes: DataFrame, txs: DataFrame) -> DataFrame
 
 
 def _trimmed(edges: DataFrame, rounds: int) -> DataFrame:
-    """Edges without nodes that have no edge in or out, removed ``rounds`` times at most."""
+    """Edges without nodes that have no edge in or out, removed ``rounds`` times at
+    most, and no longer than it takes off more than a fiftieth."""
     n = edges.count()
     for _ in range(rounds):
         inner = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
         edges = durable(inner.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         before, n = n, edges.count()
-        if before == n:
+        if n * 50 >= before * 49:
             break
     return edges
 
@@ -194,11 +195,12 @@ def _components(edges: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame] |
     return None
 
 
-def cycles(edges: DataFrame, rounds: int = 16) -> DataFrame:
+def cycles(edges: DataFrame, rounds: int = 16, least: int = 1) -> DataFrame:
     """Nodes that lie on a cycle of edges (src, dst) of any length.
 
     Strongly connected components are taken off by colors, each step a join with
-    the edges; nothing larger than the edges is ever kept.  Raises an error if a
+    the edges; nothing larger than the edges is ever kept.  With ``least`` above 1,
+    only components with as many nodes that are not negative.  Raises an error if a
     color still spreads after 2 ** rounds steps, or components are left after that
     many times."""
     edges = durable(edges.select("src", "dst").distinct())
@@ -212,7 +214,9 @@ def cycles(edges: DataFrame, rounds: int = 16) -> DataFrame:
         if parts is None:
             break
         members, colors = parts
-        found = durable(found.union(members.join(members.groupBy("color").count().where("count > 1"), "color", "left_semi").select("node")))
+        size = F.count_if(F.col("node") >= 0) if least > 1 else F.count(F.lit(1))
+        whole = members.groupBy("color").agg(size.alias("n")).where(F.col("n") >= max(2, least))
+        found = durable(found.union(members.join(whole, "color", "left_semi").select("node")))
         rest = colors.join(members.select("node"), "node", "left_anti")
         of = lambda end: rest.select(F.col("node").alias(end), F.col("color").alias(f"{end}_color"))  # noqa: B023, E731
         edges = durable(edges.join(of("src"), "src").join(of("dst"), "dst").where("src_color = dst_color").select("src", "dst"))
@@ -262,6 +266,31 @@ def waits_for(requests: DataFrame, held: DataFrame) -> DataFrame:
     return both.where("not compatible").select("src", "dst").distinct()
 
 
+def wait_cycles(requests: DataFrame, held: DataFrame) -> DataFrame:
+    """Nodes of ``waits_for`` on cycles, without its edges: a transaction points at
+    what it asks for (key, mode), and that at the holders in its way, so there are as
+    many edges as requests and locks, not their product on each key.
+
+    A transaction that only meets itself there, on a key that it holds and asks for,
+    waits for nobody: it is on a cycle if another one is in its component."""
+    spark = requests.sparkSession
+    requests, held = requests.select("tx_id", "key", "mode").distinct(), held.select("tx_id", "key", "mode").distinct()
+    asked = durable(requests.where("key is not null").join(held.select("key").distinct(), "key", "left_semi"))
+    places = durable(asked.select("key", "mode").distinct().select("key", "mode", (-1 - F.monotonically_increasing_id()).alias("place")))
+    ids = durable(asked.select("tx_id").union(held.select("tx_id")).distinct().select("tx_id", F.monotonically_increasing_id().alias("id")))
+    out = asked.join(places, ["key", "mode"]).join(ids, "tx_id").select(F.col("id").alias("src"), F.col("place").alias("dst"))
+    blocked = F.broadcast(lock_matrix(spark).where("not compatible").select(F.col("held").alias("mode"), "wanted"))
+    back = held.join(ids, "tx_id").join(blocked, "mode").join(places.withColumnRenamed("mode", "wanted"), ["key", "wanted"])
+    edges = out.union(back.select(F.col("place").alias("src"), F.col("id").alias("dst")))
+    found = cycles(edges, least=2)
+    return ids.join(found.where("node >= 0").withColumnRenamed("node", "id"), "id", "left_semi").select(F.col("tx_id").alias("node"))
+
+
+def youngest(nodes: DataFrame) -> DataFrame:
+    """The youngest transaction (largest id), if there is one."""
+    return nodes.agg(F.max("node").alias("victim")).where("victim is not null")
+
+
 def deadlock_victims(edges: DataFrame) -> DataFrame:
-    """The youngest transaction (largest id) of those on wait cycles."""
-    return cycles(edges).agg(F.max("node").alias("victim")).where("victim is not null")
+    """The youngest transaction of those on wait cycles."""
+    return youngest(cycles(edges))

@@ -237,17 +237,21 @@ def c_first_committer(spark, folder):
 register("c_first_committer", c_first_committer, f"SELECT tx_id, tx_id IN (SELECT w.tx_id FROM {_WRITES_SQL} AS w JOIN {_TXS_SQL} AS t USING (tx_id) JOIN {EV_SQL} AS v ON v.key = w.key AND v.tx_id <> w.tx_id AND v.ts > t.start_ts) AS aborts FROM {_TXS_SQL}")
 
 
-def _wait_edges(spark, folder):
+def _locks(spark, folder):
     """Requests for what other transactions hold, over all transactions and keys."""
     _, _, writes, _ = _txs(spark, folder)
     held = writes.withColumn("mode", F.when(F.col("key") % 2 == 0, "exclusive").otherwise("shared"))
     keys = writes.agg((F.max("key") + 1).alias("keys"))
     asked = writes.crossJoin(F.broadcast(keys)).select("tx_id", ((F.col("key") * 7 + F.col("tx_id")) % F.col("keys")).alias("key"), F.when(F.col("key") % 3 == 0, "update").otherwise("shared").alias("mode"))
-    return X.waits_for(asked, held)
+    return asked, held
+
+
+def _wait_edges(spark, folder):
+    return X.waits_for(*_locks(spark, folder))
 
 
-register("c_cycle", lambda s, d: X.cycles(_wait_edges(s, d)))
-register("c_deadlock", lambda s, d: X.deadlock_victims(_wait_edges(s, d)))
+register("c_cycle", lambda s, d: X.wait_cycles(*_locks(s, d)))
+register("c_deadlock", lambda s, d: X.youngest(X.wait_cycles(*_locks(s, d))))
 register(
     "c_lock_compat",
     lambda s, d: X.lock_matrix(s),

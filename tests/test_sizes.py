@@ -18,6 +18,7 @@ from siltstone.plans.spec import Col, Compare, Join, QuerySpec
 from siltstone.sources.catalog import Catalog
 from tests.conftest import DATA
 from tests.test_faults import plan
+from tests.test_whole import on_cycles
 
 
 def _meet(txs, a, b) -> bool:
@@ -92,3 +93,16 @@ def test_characters_are_counted_once(spark):
     for name in ("s_entropy", "s_dtype", "p_content"):
         text = plan(registry.QUERIES[name](spark, DATA))
         assert "ArrowEvalPython" in text and "array_distinct" not in text and "regexp_replace" not in text
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_wait_cycles_without_edges_between_all(spark, seed):
+    """Few locks, so that some transactions only wait for themselves."""
+    rng = random.Random(seed)
+    of = lambda n: [(rng.randrange(30), rng.choice("abcdefghijklmnopqrst"), rng.choice(conflicts.LOCKS)) for _ in range(n)]
+    held = of(16) + [(90, "z", "exclusive"), (91, "y", "exclusive")]
+    asked = of(16) + [(90, "z", "exclusive"), (91, "z", "shared"), (92, "y", "shared")]
+    edges = {(a, b) for a, k, x in asked for b, l, y in held if k == l and a != b and x not in conflicts.COMPATIBLE[y]}
+    frame = lambda rows: spark.createDataFrame(rows, "tx_id long, key string, mode string")
+    got = [r.node for r in conflicts.wait_cycles(frame(asked), frame(held)).collect()]
+    assert len(got) == len(set(got)) and set(got) == on_cycles(edges) and not {90, 91, 92} & set(got)
